@@ -1,56 +1,60 @@
 """Counting inside one array, without exploding it.
 
-Each step is its own projection, because a lambda would otherwise evaluate the
-array it refers to once per element. The work is linear in the array after a
-sort, needs no shuffle, and keeps a row's tokens inside that row.
+The work is linear in the array after a sort, needs no shuffle, and keeps a
+row's tokens inside that row.
 """
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from collections.abc import Callable
+
+from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from answerloom.functions.binding import let
 
-def _run_starts(ordered: Column) -> Column:
-    positions = F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered))).otherwise(
-        F.array().cast("array<int>")
-    )
-    return F.filter(positions, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2)))
 
+def _over_runs(tokens: Column, body: Callable[[Column, Column, Column], Column]) -> Column:
+    """One element per distinct token: ``body`` of the sorted array and the first and last place of its run."""
 
-def _run_end(starts: Column, run: Column, ordered: Column) -> Column:
-    return F.coalesce(F.get(starts, run + 1), F.size(ordered) + 1)
+    def of_sorted(ordered: Column) -> Column:
+        places = F.when(F.size(ordered) > 0, F.sequence(F.lit(1), F.size(ordered))).otherwise(
+            F.array().cast("array<int>")
+        )
+        starts = F.filter(
+            places, lambda i: (i == 1) | (F.get(ordered, i - 1) != F.get(ordered, i - 2))
+        )
+        return let(starts, lambda s: F.transform(s, lambda first, run: body(ordered, first, last(s, run, ordered))))
 
+    def last(starts: Column, run: Column, ordered: Column) -> Column:
+        return F.coalesce(F.get(starts, run + 1) - 1, F.size(ordered))
 
-def with_counts(df: DataFrame, tokens: str, terms: str, counts: str) -> DataFrame:
-    """Add the distinct tokens of an array, sorted, and how often each occurs."""
-    ordered, starts = f"{tokens}__ordered", f"{tokens}__starts"
-    return (
-        df.withColumn(ordered, F.sort_array(tokens))
-        .withColumn(starts, _run_starts(F.col(ordered)))
-        .withColumn(terms, F.transform(starts, lambda i: F.get(F.col(ordered), i - 1)))
-        .withColumn(counts, F.transform(starts, lambda i, run: _run_end(F.col(starts), run, F.col(ordered)) - i))
-        .drop(ordered, starts)
-    )
+    return let(F.sort_array(tokens), of_sorted)
 
 
-def with_numbered(df: DataFrame, tokens: str, out: str) -> DataFrame:
-    """Add the array with a running number per equal token, so that it has no repeats.
+def counted(tokens: Column) -> Column:
+    """The distinct tokens with how often each occurs: array<struct<term, n>>."""
+    return _over_runs(
+        tokens,
+        lambda ordered, first, last: F.struct(
+            F.get(ordered, first - 1).alias("term"), (last - first + 1).alias("n")
+        ),
+    )
 
-    The intersection of two such arrays is the multiset intersection.
-    """
-    ordered, starts = f"{tokens}__ordered", f"{tokens}__starts"
 
-    def number_run(start, run):
-        end = _run_end(F.col(starts), run, F.col(ordered))
-        return F.transform(
-            F.sequence(start, end - 1),
-            lambda p: F.concat(F.get(F.col(ordered), p - 1), F.lit("\t"), (p - start).cast("string")),
+def numbered(tokens: Column) -> Column:
+    """The tokens, each with a running number among its equals, so that none repeats."""
+    return F.flatten(
+        _over_runs(
+            tokens,
+            lambda ordered, first, last: F.transform(
+                F.sequence(first, last),
+                lambda p: F.concat(F.get(ordered, p - 1), F.lit("\t"), (p - first).cast("string")),
+            ),
         )
-
-    return (
-        df.withColumn(ordered, F.sort_array(tokens))
-        .withColumn(starts, _run_starts(F.col(ordered)))
-        .withColumn(out, F.flatten(F.transform(starts, number_run)))
-        .drop(ordered, starts)
     )
+
+
+def common(a: Column, b: Column) -> Column:
+    """The multiset intersection of two arrays, as numbered tokens."""
+    return F.array_intersect(numbered(a), numbered(b))

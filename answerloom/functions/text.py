@@ -8,6 +8,7 @@ from collections.abc import Sequence
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from answerloom.functions.binding import let
 from answerloom.functions.words import ENGLISH_STOP_WORDS, SPLIT_WORDS
 
 WORD_PATTERN = r"[\p{L}\p{N}_]{2,}"
@@ -82,7 +83,7 @@ def matches_tags(words: Column, tags: Column, match: str = "substring") -> Colum
     """Whether any of ``words`` occurs in the tags, as a part of them or as a whole tag."""
     lowered = F.lower(text_or_blank(tags))
     if match == "substring":
-        return F.exists(words, lambda w: F.contains(lowered, w))
+        return let(lowered, lambda t: F.exists(words, lambda w: F.contains(t, w)))
     if match == "tag":
         return F.arrays_overlap(words, F.split(lowered, r"\|"))
     raise ValueError(f"unknown tag match: {match}")

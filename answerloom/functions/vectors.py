@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from answerloom.functions.binding import let
+
 
 def dot(a: Column, b: Column) -> Column:
     products = F.zip_with(a, b, lambda x, y: x.cast("double") * y.cast("double"))
@@ -15,9 +17,13 @@ def norm(a: Column) -> Column:
     return F.sqrt(F.aggregate(a, F.lit(0.0), lambda total, x: total + x.cast("double") * x.cast("double")))
 
 
-def divided(a: Column, length: Column) -> Column:
-    """Each element over ``length``; a zero vector is left as it is."""
-    return F.transform(a, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+def normalised(a: Column) -> Column:
+    """Scaled to length one; a zero vector stays zero."""
+
+    def over(v: Column, length: Column) -> Column:
+        return F.transform(v, lambda x: F.when(length > 0, x.cast("double") / length).otherwise(F.lit(0.0)))
+
+    return let(a, lambda v: let(norm(v), lambda length: over(v, length)))
 
 
 def cosine(a: Column, b: Column) -> Column:

@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions import vectors
@@ -14,11 +14,7 @@ QUERY_NUMBERS_PER_BLOCK = 8_000_000
 
 def normalised(df: DataFrame, column: str = "embedding") -> DataFrame:
     """Scale each vector to length one."""
-    return (
-        df.withColumn("__length", vectors.norm(F.col(column)))
-        .withColumn(column, vectors.divided(F.col(column), F.col("__length")))
-        .drop("__length")
-    )
+    return df.withColumn(column, vectors.normalised(F.col(column)))
 
 
 def nearest(

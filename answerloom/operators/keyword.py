@@ -33,14 +33,13 @@ class KeywordIndex:
 
 
 def term_counts(df: DataFrame, key: str, column: str, stop_words: Sequence[str]) -> DataFrame:
-    """(key, terms, counts) of each text, computed inside the row."""
-    tokens = df.select(key, text.word_tokens(F.col(column), stop_words).alias("tokens"))
-    return multisets.with_counts(tokens, "tokens", "terms", "counts").select(key, "terms", "counts")
+    """(key, counts) of each text: its distinct terms, counted inside the row."""
+    return df.select(key, multisets.counted(text.word_tokens(F.col(column), stop_words)).alias("counts"))
 
 
 def term_statistics(counted: DataFrame, n_documents: int) -> DataFrame:
     """Document frequency and smoothed inverse document frequency: (term, df, idf)."""
-    frequency = counted.select(F.explode("terms").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+    frequency = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return frequency.withColumn("idf", F.log((F.lit(1.0) + n_documents) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
@@ -51,9 +50,7 @@ def weighted(counted: DataFrame, key: str, terms: DataFrame, n_terms: int) -> Da
     common terms, a fixed number of them, are broadcast, and only the rare rest
     is shuffled by term, so that no term makes a hot key.
     """
-    postings = counted.select(key, F.explode(F.arrays_zip("terms", "counts")).alias("t")).select(
-        key, F.col("t.terms").alias("term"), F.col("t.counts").alias("n")
-    )
+    postings = counted.select(key, F.inline("counts"))
     idf = terms.select("term", "df", "idf")
 
     def product(joined: DataFrame) -> DataFrame:

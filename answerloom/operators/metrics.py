@@ -12,6 +12,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from answerloom.functions import multisets, text
+from answerloom.functions.binding import let
 from answerloom.functions.similarity import lcs_of_arrays, lcs_of_texts, stemmed
 
 METRICS = ("bleu", "rouge1", "rougel", "edit_similarity")
@@ -43,75 +44,80 @@ def paired(predictions: DataFrame, truths: DataFrame, key: str = "qid", report:
     return joined.drop("missing")
 
 
-def _grams(tokens: Column, n: int) -> Column:
-    starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(1), F.size(tokens) - (n - 1)))
-    grams = F.transform(starts, lambda i: F.concat(F.lit(f"{n} "), F.array_join(F.slice(tokens, i, n), " ")))
-    return F.coalesce(grams, F.array().cast("array<string>"))
+def _f_measure(shared: Column, left: Column, right: Column) -> Column:
+    return F.when(shared > 0, 2.0 * shared / (left + right)).otherwise(F.lit(0.0))
 
 
-def _f_measure(common: Column, left: Column, right: Column) -> Column:
-    return F.when(common > 0, 2.0 * common / (left + right)).otherwise(F.lit(0.0))
+def _grams(tokens: Column) -> Column:
+    """All runs of one to four tokens, each led by its length."""
 
+    def of_length(n: int) -> Column:
+        # Single elements are looked up in place, while a slice would copy the whole array.
+        starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n))
+        grams = F.transform(
+            starts, lambda i: F.concat_ws(" ", F.lit(str(n)), *[F.get(tokens, i + offset) for offset in range(n)])
+        )
+        return F.coalesce(grams, F.array().cast("array<string>"))
 
-def with_bleu(df: DataFrame, pred: str, truth: str, out: str = "bleu") -> DataFrame:
+    return F.concat(*[of_length(n) for n in range(1, BLEU_ORDER + 1)])
+
+
+def bleu(pred: Column, truth: Column) -> Column:
     """Sentence BLEU of up to four tokens against one reference."""
-    added = []
 
-    def scratch(name: str) -> str:
-        added.append(f"__bleu_{name}")
-        return added[-1]
+    def of_tokens(p: Column, t: Column) -> Column:
+        shared = multisets.common(_grams(p), _grams(t))
+        return let(shared, lambda found: score(found, F.size(p), F.size(t)))
 
-    for side, column in (("p", pred), ("t", truth)):
-        tokens, grams, numbered = scratch(f"{side}_tokens"), scratch(f"{side}_grams"), scratch(f"{side}_numbered")
-        df = df.withColumn(tokens, text.space_tokens(text.text_or_blank(F.col(column))))
-        df = df.withColumn(grams, F.concat(*[_grams(F.col(tokens), n) for n in range(1, BLEU_ORDER + 1)]))
-        df = multisets.with_numbered(df, grams, numbered)
-    common = scratch("common")
-    df = df.withColumn(common, F.array_intersect("__bleu_p_numbered", "__bleu_t_numbered"))
-    matches = []
-    for n in range(1, BLEU_ORDER + 1):
-        matches.append(scratch(f"match_{n}"))
-        df = df.withColumn(matches[-1], F.size(F.filter(common, lambda g: g.startswith(f"{n} "))))
-
-    length, reference = F.size("__bleu_p_tokens"), F.size("__bleu_t_tokens")
-    log_mean = F.lit(0.0)
-    for n, match in enumerate(matches, start=1):
-        possible = F.greatest(F.lit(1), length - (n - 1))
-        found = F.when(F.col(match) > 0, F.col(match).cast("double")).otherwise(BLEU_SMOOTHING)
-        log_mean = log_mean + F.log(found / possible) / BLEU_ORDER
-    brevity = F.when(length > reference, 1.0).otherwise(F.exp(1.0 - reference / length))
-    score = F.when(F.col(matches[0]) == 0, 0.0).otherwise(brevity * F.exp(log_mean))
-    return df.withColumn(out, score).drop(*added)
+    def score(shared: Column, length: Column, reference: Column) -> Column:
+        log_mean = F.lit(0.0)
+        for n in range(1, BLEU_ORDER + 1):
+            matches = F.size(F.filter(shared, lambda g: g.startswith(f"{n} "))).cast("double")
+            possible = F.greatest(F.lit(1), length - (n - 1))
+            log_mean = log_mean + F.log(F.greatest(matches, F.lit(BLEU_SMOOTHING)) / possible) / BLEU_ORDER
+        brevity = F.when(length > reference, 1.0).otherwise(F.exp(1.0 - reference / length))
+        has_word = F.exists(shared, lambda g: g.startswith("1 "))
+        return F.when(has_word, brevity * F.exp(log_mean)).otherwise(0.0)
+
+    def tokens(column: Column) -> Column:
+        return text.space_tokens(text.text_or_blank(column))
+
+    return let(tokens(pred), lambda p: let(tokens(truth), lambda t: of_tokens(p, t)))
+
+
+def rouge1(pred_tokens: Column, truth_tokens: Column) -> Column:
+    """F-measure of the common words of two token arrays."""
+
+    def of_tokens(p: Column, t: Column) -> Column:
+        return let(F.size(multisets.common(p, t)), lambda shared: _f_measure(shared, F.size(p), F.size(t)))
+
+    return let(pred_tokens, lambda p: let(truth_tokens, lambda t: of_tokens(p, t)))
+
+
+def with_bleu(df: DataFrame, pred: str, truth: str, out: str = "bleu") -> DataFrame:
+    return df.withColumn(out, bleu(F.col(pred), F.col(truth)))
 
 
 def with_rouge(
     df: DataFrame,
     pred: str,
     truth: str,
-    rouge1: str | None = "rouge1",
-    rougel: str | None = "rougel",
+    rouge1_out: str | None = "rouge1",
+    rougel_out: str | None = "rougel",
     stem: bool = True,
 ) -> DataFrame:
     """F-measure of common words (ROUGE-1) and of the longest common subsequence (ROUGE-L)."""
-    scratch = []
+    sides = []
     for side, column in (("p", pred), ("t", truth)):
         tokens = text.ascii_tokens(text.text_or_blank(F.col(column)))
-        name = f"__rouge_{side}"
-        df = df.withColumn(name, stemmed(tokens) if stem else tokens)
-        scratch.append(name)
-    sizes = F.size("__rouge_p"), F.size("__rouge_t")
-    if rouge1:
-        for side in "pt":
-            df = multisets.with_numbered(df, f"__rouge_{side}", f"__rouge_{side}_numbered")
-            scratch.append(f"__rouge_{side}_numbered")
-        common = F.size(F.array_intersect("__rouge_p_numbered", "__rouge_t_numbered"))
-        df = df.withColumn("__rouge_common", common).withColumn(rouge1, _f_measure(F.col("__rouge_common"), *sizes))
-        scratch.append("__rouge_common")
-    if rougel:
-        df = df.withColumn("__rouge_lcs", lcs_of_arrays("__rouge_p", "__rouge_t"))
-        df = df.withColumn(rougel, _f_measure(F.col("__rouge_lcs"), *sizes))
-        scratch.append("__rouge_lcs")
-    return df.drop(*scratch)
+        df = df.withColumn(f"__rouge_{side}", stemmed(tokens) if stem else tokens)
+        sides.append(F.col(f"__rouge_{side}"))
+    if rougel_out:
+        df = df.withColumn("__rouge_lcs", lcs_of_arrays(*sides))
+        df = df.withColumn(rougel_out, _f_measure(F.col("__rouge_lcs"), *map(F.size, sides))).drop("__rouge_lcs")
+    if rouge1_out:
+        df = df.withColumn(rouge1_out, rouge1(*sides))
+    return df.drop("__rouge_p", "__rouge_t")
 
 
 def with_edit_similarity(df: DataFrame, pred: str, truth: str, out: str = "edit_similarity") -> DataFrame:

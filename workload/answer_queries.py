@@ -219,7 +219,7 @@ FROM keyed JOIN bleu_scores USING (qid) JOIN rouge1_scores USING (qid) GROUP BY
 def config_compare(spark, sf_dir):
     """All configurations side by side on the two scores that SQL can check."""
     pairs = all_predictions(spark, sf_dir)
-    scored = metrics.with_rouge(metrics.with_bleu(pairs, "prediction", "truth"), "prediction", "truth", rougel=None, stem=False)
+    scored = metrics.with_rouge(metrics.with_bleu(pairs, "prediction", "truth"), "prediction", "truth", rougel_out=None, stem=False)
     means = metrics.summary(scored, ["config"], metrics=("bleu", "rouge1"))
     return means.select("config", F.round("bleu", 6).alias("bleu"), F.round("rouge1", 6).alias("rouge1"), "n")
 

@@ -25,7 +25,7 @@ def bleu(spark, sf_dir):
     f"WITH {S.PAIRS}, {S.rouge1('question', 'answer', 'pairs')} SELECT qid, round(rouge1, 6) AS rouge1 FROM rouge1_scores",
 )
 def rouge1(spark, sf_dir):
-    scored = metrics.with_rouge(fixtures.scored_pairs(spark, sf_dir), "prediction", "truth", rougel=None, stem=False)
+    scored = metrics.with_rouge(fixtures.scored_pairs(spark, sf_dir), "prediction", "truth", rougel_out=None, stem=False)
     return scored.select("qid", F.round("rouge1", 6).alias("rouge1"))
 
 
@@ -35,7 +35,7 @@ def rouge1(spark, sf_dir):
 SELECT qid, round(CASE WHEN common > 0 THEN 2.0 * common / (la + lb) ELSE 0.0 END, 6) AS rougel FROM lcs_lengths""",
 )
 def rougel(spark, sf_dir):
-    scored = metrics.with_rouge(fixtures.scored_pairs(spark, sf_dir), "prediction", "truth", rouge1=None, stem=False)
+    scored = metrics.with_rouge(fixtures.scored_pairs(spark, sf_dir), "prediction", "truth", rouge1_out=None, stem=False)
     return scored.select("qid", F.round("rougel", 6).alias("rougel"))
 
 
@@ -80,7 +80,7 @@ FROM bleu_scores JOIN rouge1_scores USING (qid)""",
 )
 def metric_means(spark, sf_dir):
     pairs = metrics.with_bleu(fixtures.scored_pairs(spark, sf_dir), "prediction", "truth")
-    scored = metrics.with_rouge(pairs, "prediction", "truth", rougel=None, stem=False)
+    scored = metrics.with_rouge(pairs, "prediction", "truth", rougel_out=None, stem=False)
     means = metrics.summary(scored, metrics=("bleu", "rouge1"))
     return means.select(F.round("bleu", 6).alias("bleu"), F.round("rouge1", 6).alias("rouge1"), "n")
 

@@ -49,10 +49,8 @@ FROM (SELECT doc_id, unnest({S.word_tokens('text')}) AS term FROM documents) GRO
 )
 def tfidf_tokens(spark, sf_dir):
     counted = keyword.term_counts(document_texts(spark, sf_dir), "doc_id", "text", ENGLISH_STOP_WORDS)
-    terms = counted.select(F.explode(F.arrays_zip("terms", "counts")).alias("t"))
-    return terms.groupBy(F.col("t.terms").alias("term")).agg(
-        F.sum("t.counts").alias("n"), F.count(F.lit(1)).alias("df")
-    )
+    terms = counted.select(F.inline("counts"))
+    return terms.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
 @query(
