@@ -3,10 +3,11 @@
 from __future__ import annotations
 
 import numpy as np
-from pyspark.sql import DataFrame
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.functions import vectors
+from answerloom.functions import multisets, vectors
+from answerloom.functions.binding import let
 from answerloom.operators import blocks, ranking
 
 QUERY_NUMBERS_PER_BLOCK = 8_000_000
@@ -63,26 +64,21 @@ def _scorer(shared, depth: int, digits: int):
     return score
 
 
-def hash_vectors(df: DataFrame, tokens: str, key: str, dimensions: int = 64) -> DataFrame:
+def hash_vectors(df: DataFrame, tokens: Column, key: str, dimensions: int = 64) -> DataFrame:
     """A model-free text encoder: counts of tokens per hash bucket, scaled to length one.
 
     Stands in for a sentence encoder where none is available. Returns
     (key, embedding); a text without tokens gets a zero vector.
     """
-    bucket = F.conv(F.substring(F.md5(F.col("token")), 1, 7), 16, 10).cast("int") % dimensions
-    counts = (
-        df.select(key, F.explode_outer(tokens).alias("token"))
-        .groupBy(key, bucket.alias("bucket"))
-        .count()
-        .groupBy(key)
-        .agg(
-            F.map_from_entries(
-                F.collect_list(F.when(F.col("bucket").isNotNull(), F.struct("bucket", "count")))
-            ).alias("counts")
+
+    def bucket(token: Column) -> Column:
+        return F.conv(F.substring(F.md5(token), 1, 7), 16, 10).cast("int") % dimensions
+
+    def filled(counts: Column) -> Column:
+        return F.transform(
+            F.sequence(F.lit(0), F.lit(dimensions - 1)),
+            lambda b: F.coalesce(F.try_element_at(counts, b), F.lit(0)).cast("double"),
         )
-    )
-    filled = F.transform(
-        F.sequence(F.lit(0), F.lit(dimensions - 1)),
-        lambda b: F.coalesce(F.try_element_at("counts", b), F.lit(0)).cast("double"),
-    )
-    return normalised(counts.select(key, filled.alias("embedding")))
+
+    entries = multisets.counted(F.transform(tokens, bucket))
+    return df.select(key, vectors.normalised(let(F.map_from_entries(entries), filled)).alias("embedding"))

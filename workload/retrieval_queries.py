@@ -211,7 +211,7 @@ def vector_context(spark, sf_dir):
 def hash_encoded(df, key):
     """Text vectors by token hashing, standing in for a sentence encoder."""
     tokens = df.select(key, text.word_tokens(F.col("text"), ENGLISH_STOP_WORDS).alias("tokens"))
-    return dense.hash_vectors(tokens, "tokens", key)
+    return dense.hash_vectors(tokens, F.col("tokens"), key)
 
 
 @query(

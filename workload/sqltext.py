@@ -170,17 +170,19 @@ def filled(stage: str, reasoning: bool = False, **slots: str) -> str:
 
 def bleu(p: str, t: str, source: str) -> str:
     """CTE bleu_scores (qid, bleu)."""
-    grams = " UNION ALL ".join(
-        f"""SELECT qid, {n} AS n, side, unnest(list_transform(range(1, greatest(len(tokens) - {n - 2}, 1)),
-            lambda i: array_to_string(tokens[i:i + {n - 1}], ' '))) AS gram FROM sides"""
-        for n in range(1, 5)
-    )
+    grams = " UNION ALL ".join(f"SELECT qid, {n} AS n, side, g{n} AS gram FROM runs WHERE g{n} IS NOT NULL" for n in range(1, 5))
     return f"""sides AS (
   SELECT qid, 'p' AS side, {space_tokens(p)} AS tokens FROM {source}
   UNION ALL SELECT qid, 't', {space_tokens(t)} FROM {source}),
 sizes AS (
   SELECT qid, max(len(tokens)) FILTER (side = 'p') AS lp, max(len(tokens)) FILTER (side = 't') AS lt
   FROM sides GROUP BY qid),
+tokens AS (
+  SELECT qid, side, unnest(tokens) AS word, generate_subscripts(tokens, 1) AS place FROM sides),
+runs AS (
+  SELECT qid, side, word AS g1, g1 || ' ' || lead(word, 1) OVER w AS g2, g2 || ' ' || lead(word, 2) OVER w AS g3,
+         g3 || ' ' || lead(word, 3) OVER w AS g4
+  FROM tokens WINDOW w AS (PARTITION BY qid, side ORDER BY place)),
 grams AS ({grams}),
 gram_counts AS (
   SELECT qid, n, gram, count(*) FILTER (side = 'p') AS cp, count(*) FILTER (side = 't') AS ct
