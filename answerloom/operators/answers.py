@@ -30,6 +30,20 @@ def best_comment(comments: Column) -> Column:
     return F.array_max(F.filter(scored, lambda c: c.body != ""))
 
 
+def best_comments(comments: DataFrame, key: str) -> DataFrame:
+    """(key, score, answer) from a table of comments (key, place, body, reactions).
+
+    The same choice for comments that are rows: a maximum with map-side parts,
+    so an issue with very many comments is no burden to one task.
+    """
+    body = text.strip(text.text_or_blank(F.col("body")))
+    scored = comments.select(
+        key, F.struct(reaction_score(F.col("reactions")).alias("score"), (-F.col("place")).alias("order")).alias("by"), body.alias("body")
+    )
+    best = scored.filter("body <> ''").groupBy(key).agg(F.max("by").alias("by"), F.max_by("body", "by").alias("answer"))
+    return best.select(key, F.col("by.score").alias("score"), "answer")
+
+
 def issue_pairs(issues: DataFrame, *keys: str) -> DataFrame:
     """Question/answer pairs of issues (title, body, comments_details).
 

@@ -2,10 +2,14 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable, Iterator, Sequence
+
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from answerloom import storage
 from answerloom.functions import multisets, vectors
 from answerloom.functions.binding import let
 from answerloom.operators import blocks, ranking
@@ -27,10 +31,11 @@ def nearest(
 ) -> DataFrame:
     """The ``depth`` best documents per query by inner product.
 
-    ``queries`` has (qid, embedding) and ``corpus`` (doc_id, embedding). Returns
+    ``queries`` has (qid, embedding) and ``corpus`` (doc_id, embedding), the latter
+    best a written table, as it is scanned once per block of queries. Returns
     (qid, doc_id, score, raw_rank).
     """
-    queries = queries.select("qid", "embedding").filter("embedding is not null")
+    queries = storage.save(queries.select("qid", "embedding").filter("embedding is not null"), "query-vectors")
     corpus = corpus.select("doc_id", "embedding").filter("embedding is not null")
     size = queries.agg(F.sum(F.size("embedding"))).first()[0] or 0
 
@@ -64,6 +69,39 @@ def _scorer(shared, depth: int, digits: int):
     return score
 
 
+def build(
+    texts: DataFrame, encode: Callable[[DataFrame, str], DataFrame], location: str | None = None
+) -> DataFrame:
+    """Encode a corpus (doc_id, text) once and write its vectors (doc_id, embedding)."""
+    return storage.save(encode(texts, "doc_id").select("doc_id", "embedding"), "vectors", location)
+
+
+def encoded(
+    df: DataFrame,
+    key: str,
+    load: Callable[[], Callable[[list[str]], Sequence]],
+    batch_size: int = 32,
+    partitions: int | None = None,
+) -> DataFrame:
+    """Unit vectors (key, embedding) of the column ``text`` from an encoder model.
+
+    ``load`` runs once per task and returns a function from a list of texts to
+    one vector each.
+    """
+    if partitions:
+        df = df.repartition(partitions, key)
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        model = load()
+        for frame in frames:
+            for start in range(0, len(frame), batch_size):
+                part = frame.iloc[start : start + batch_size]
+                found = [[float(x) for x in vector] for vector in model(part["text"].tolist())]
+                yield pd.DataFrame({key: part[key].to_numpy(), "embedding": found})
+
+    return normalised(df.select(key, "text").mapInPandas(run, f"`{key}` long, embedding array<double>"))
+
+
 def hash_vectors(df: DataFrame, tokens: Column, key: str, dimensions: int = 64) -> DataFrame:
     """A model-free text encoder: counts of tokens per hash bucket, scaled to length one.
 

@@ -5,6 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from answerloom import storage
 from answerloom.functions import text
 
 BROADCAST_HITS = 500_000
@@ -54,6 +55,7 @@ def with_attributes(hits: DataFrame, corpus: DataFrame, n_hits: int) -> DataFram
     """
     if n_hits <= BROADCAST_HITS:
         return corpus.join(F.broadcast(hits), "doc_id")
+    hits = storage.save(hits, "hits")
     wanted = corpus.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
     copies = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
     parted = hits.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(SPREAD)).cast("int"))

@@ -2,9 +2,13 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+PLAIN_LIMIT = 1000
+GROUPS = 64
+ROWS_PER_SLICE = 100_000
+
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, ratio: float = 0.1, seed: int = 42) -> DataFrame:
     """Keep ``max(1, floor(n * ratio))`` rows of every stratum, without replacement.
@@ -42,9 +46,23 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, ratio: float = 0.1,
 
 def _slices(df: DataFrame) -> int:
     """Enough slices that each holds a bounded number of rows, whatever the stratum."""
-    return max(1, -(-df.count() // 100_000))
+    return max(1, -(-df.count() // ROWS_PER_SLICE))
+
 
+def first_rows(df: DataFrame, n: int | None, *order: str) -> DataFrame:
+    """The first ``n`` rows in an explicit order; all rows when ``n`` is None.
 
-def first_rows(df: DataFrame, n: int | None, *order: str | Column) -> DataFrame:
-    """The first ``n`` rows in an explicit order; all rows when ``n`` is None."""
-    return df if n is None else df.orderBy(*order).limit(n)
+    A plain limit sends ``n`` rows of every task to one task. A large ``n`` is
+    therefore first cut within groups of tasks.
+    """
+    if n is None:
+        return df
+    if n > PLAIN_LIMIT:
+        ranks = Window.partitionBy("__group").orderBy(*order)
+        df = (
+            df.withColumn("__group", F.spark_partition_id() % GROUPS)
+            .withColumn("__rank", F.row_number().over(ranks))
+            .filter(F.col("__rank") <= n)
+            .drop("__group", "__rank")
+        )
+    return df.orderBy(*order).limit(n)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from collections.abc import Sequence
 from functools import reduce
 
-from pyspark.sql import Column, DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 
 from answerloom.operators import answers as answering
@@ -65,15 +65,22 @@ def qa_from_issues(
     leaf_only: bool = True,
     limit: int | None = None,
     output: str | None = None,
+    progress: Observation | None = None,
 ) -> DataFrame:
     """Sample the issue files below ``root`` and pair each issue with its best comment.
 
     Files are drawn per folder before any is opened. Unreadable files are skipped.
-    With ``output`` the pairs are also written there as CSV.
+    With ``output`` the pairs are also written there as CSV. ``progress`` observes
+    the number of files read and of those skipped, without another pass.
     """
     chosen = issues.sample_files(issues.list_files(spark, root, leaf_only), ratio, seed)
-    parsed = issues.read_issues(spark, chosen, root).filter(~F.col("malformed"))
-    pairs = first_rows(answering.issue_pairs(parsed, "path"), limit, "path").select("question", "answer")
+    parsed = issues.read_issues(spark, chosen, root)
+    if progress is not None:
+        parsed = parsed.observe(
+            progress, F.count(F.lit(1)).alias("files"), F.count_if("malformed").alias("skipped")
+        )
+    readable = parsed.filter(~F.col("malformed"))
+    pairs = first_rows(answering.issue_pairs(readable, "path"), limit, "path").select("question", "answer")
     if output:
         tables.write_csv(pairs, output)
     return pairs

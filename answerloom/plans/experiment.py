@@ -28,7 +28,7 @@ class RunConfig:
     overfetch: int = 2
     boost: float = 5.0
     max_feedback: int = 5
-    pad_zero: bool = False
+    pad_zero: bool = True
     spell_braces: bool = False
     strip_echo: bool = False
 

@@ -48,11 +48,12 @@ def keyword_hits(
     corpus: DataFrame,
     index: keyword.KeywordIndex | None = None,
     options: RetrievalOptions = RetrievalOptions(),
-    pad_zero: bool = False,
+    pad_zero: bool = True,
 ) -> DataFrame:
     """The ``k`` best documents per query by TF-IDF, after the tag boost.
 
-    ``pad_zero`` fills short lists with documents that share no term.
+    ``pad_zero`` fills short lists with documents that share no term, which the
+    boost can still move up.
     """
     index = index or keyword.build(corpus_texts(corpus))
     hits = keyword.nearest(queries, index, options.depth, options.digits)

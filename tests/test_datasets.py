@@ -1,6 +1,7 @@
 import json
 
 import pytest
+from pyspark.sql import Observation
 from pyspark.sql import functions as F
 
 from answerloom import schemas, storage
@@ -68,6 +69,12 @@ def test_issue_tree(spark, issue_tree, tmp_path):
     assert datasets.qa_from_issues(spark, str(issue_tree), ratio=1.0, leaf_only=False).count() == 2
 
 
+def test_progress_counts_files(spark, issue_tree):
+    seen = Observation()
+    assert datasets.qa_from_issues(spark, str(issue_tree), ratio=1.0, progress=seen).count() == 1
+    assert seen.get == {"files": 4, "skipped": 1}
+
+
 def test_listing_reads_no_contents(spark, issue_tree):
     assert "content#" not in physical_plan(issues.list_files(spark, str(issue_tree)))
 
@@ -94,6 +101,23 @@ def test_best_comment_keeps_first_of_equals_and_zero(spark):
     assert {r.id: r.b and r.b.body for r in best.collect()} == {1: "b", 2: "text", 3: None, 4: None}
 
 
+def test_best_comments_of_rows(spark):
+    rows = [(1, 0, "a", (1, 0, 0)), (1, 1, "b", (1, 1, 1)), (1, 2, "c", (3, None, 0)), (1, 3, " ", (9, 9, 9)), (2, 0, "", (1, 1, 1))]
+    df = spark.createDataFrame(
+        rows, "id long, place int, body string, reactions struct<`+1` int, heart int, hooray int>"
+    )
+    assert [tuple(r) for r in answers.best_comments(df, "id").collect()] == [(1, 3, "b")]
+
+
+def test_first_rows_by_groups_of_tasks(spark, monkeypatch):
+    df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(20)
+    expected = sorted(r.v for r in df.collect())[:300]
+    assert [r.v for r in sampling.first_rows(df, 300, "v").collect()] == expected
+    monkeypatch.setattr(sampling, "PLAIN_LIMIT", 10)
+    monkeypatch.setattr(sampling, "GROUPS", 3)
+    assert [r.v for r in sampling.first_rows(df, 300, "v").collect()] == expected
+
+
 @pytest.mark.parametrize("slices", [1, 7, 1000])
 def test_stratified_sample(spark, monkeypatch, slices):
     rows = [(i, "big" if i % 3 else f"s{i % 10}") for i in range(600)] + [(1000, None), (1001, "one")]

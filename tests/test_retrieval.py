@@ -149,6 +149,20 @@ def test_small_corpus_gives_short_lists(vectors):
     assert dense.nearest(few.withColumnRenamed("doc_id", "qid"), few, 10).count() == 9
 
 
+def test_encoder_model_runs_in_batches(spark):
+    texts = spark.createDataFrame([(i, "x" * i) for i in range(7)], "doc_id long, text string").repartition(2)
+
+    def load():
+        def model(batch):
+            assert len(batch) <= 2
+            return [[float(len(t)), 0.0] for t in batch]
+
+        return model
+
+    built = dense.build(texts, lambda df, key: dense.encoded(df, key, load, batch_size=2))
+    assert {r.doc_id: r.embedding for r in built.collect()} == {0: [0.0, 0.0], **{i: [1.0, 0.0] for i in range(1, 7)}}
+
+
 def corpus_of(spark, rows):
     return spark.createDataFrame(rows, "doc_id long, title string, body string, tags string, answer string")
 
@@ -193,7 +207,7 @@ def test_context_layout(spark):
         [(1, "sort a list", "how", "python|list", "use sorted"), (2, "sort a list twice", "why", "c", None)],
     )
     asked = spark.createDataFrame([(1, "sort list"), (2, "nothing")], "qid long, text string")
-    hits = retrieval.keyword_hits(asked, corpus, options=retrieval.RetrievalOptions(k=2))
+    hits = retrieval.keyword_hits(asked, corpus, options=retrieval.RetrievalOptions(k=2), pad_zero=False)
     contexts = {r.qid: r.context for r in retrieval.contexts(hits, asked).collect()}
     assert contexts == {
         1: "0)\nQuestion: sort a list\nTags: python, list\nAnswer: use sorted\n\n"

@@ -7,7 +7,7 @@ from pyspark.sql import functions as F
 
 from answerloom import storage
 from answerloom.functions import text
-from answerloom.operators import metrics, prompts
+from answerloom.operators import dense, metrics, prompts
 from answerloom.operators.generation import ExpressionGenerator, ReplayGenerator
 from answerloom.plans import answering, evaluation, experiment, retrieval
 from workload import fixtures
@@ -16,8 +16,8 @@ from workload import sqltext as S
 from workload.registry import query
 
 EVAL = f"{S.PAIRS}, users AS (SELECT qid, question AS text FROM pairs)"
-KEYWORD = f"""{EVAL}, {S.CORPUS}, {R.TEXTS}, {S.keyword_scores('users', 'texts', 10)},
-{S.reranked('kw_hits', 'kw_raw', 'users')}, {S.contexts('kw_found', 'kw_hits', 'users')},
+KEYWORD = f"""{EVAL}, {S.CORPUS}, {R.TEXTS}, {S.padded_scores('users', 'texts', 10)},
+{S.reranked('kw_hits', 'padded', 'users')}, {S.contexts('kw_found', 'kw_hits', 'users')},
 kw AS MATERIALIZED (SELECT qid, question, answer, context FROM pairs JOIN kw_found USING (qid))"""
 SEMANTIC = f"""{S.hash_vectors('dv', 'doc_id', 'texts')}, {S.hash_vectors('qv', 'qid', 'users')},
 {S.vector_scores('qv', 'dv', 10)}, {S.reranked('vec_hits', 'vec_raw', 'users')},
@@ -192,7 +192,7 @@ def judge_scores(spark, sf_dir):
 
 def knowledge(spark, sf_dir) -> experiment.Knowledge:
     corpus = fixtures.corpus(spark, sf_dir)
-    vectors = storage.save(R.hash_encoded(retrieval.corpus_texts(corpus), "doc_id"), "vectors")
+    vectors = dense.build(retrieval.corpus_texts(corpus), R.hash_encoded)
     return experiment.Knowledge(corpus, vectors=vectors, encode=R.hash_encoded)
 
 

@@ -14,19 +14,14 @@ from workload import fixtures
 from workload import sqltext as S
 from workload.registry import query
 
-ISSUES_SQL = f"""{S.TURNS}, firsts AS (
-  SELECT conv_id, min(turn) AS turn, min_by(text, turn) AS asked FROM turns WHERE role = 'user' GROUP BY conv_id),
-comments AS (
-  SELECT t.conv_id, t.turn, {S.strip('t.text')} AS body,
-         length(t.text) % 4 + t.turn % 2 + 0 AS score
-  FROM turns t ANTI JOIN firsts f ON f.conv_id = t.conv_id AND f.turn = t.turn),
+ISSUE_PAIRS_SQL = f"""WITH {S.PAIRS}, lines AS (
+  SELECT qid, unnest(string_split(answer, chr(10))) AS line,
+         generate_subscripts(string_split(answer, chr(10)), 1) - 1 AS place FROM pairs),
 best AS (
-  SELECT conv_id, body, score FROM comments WHERE body <> ''
-  QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY score DESC, turn) = 1),
-issues AS (SELECT conv_id, {S.first_line('asked')} AS title, {S.other_lines('asked')} AS body FROM firsts)"""
-
-ISSUE_PAIRS_SQL = f"""SELECT {S.strip("title || chr(10) || i.body")} AS question, b.body AS answer
-FROM issues i JOIN best b ON b.conv_id = i.conv_id WHERE title <> '' AND i.body <> ''"""
+  SELECT qid, {S.strip('line')} AS answer FROM lines WHERE {S.strip('line')} <> ''
+  QUALIFY row_number() OVER (PARTITION BY qid ORDER BY length(line) % 4 + place % 2 DESC, place) = 1)
+SELECT {S.strip('question')} AS question, b.answer
+FROM pairs JOIN best b USING (qid) WHERE {S.first_line('question')} <> '' AND {S.other_lines('question')} <> ''"""
 
 
 @query(
@@ -134,27 +129,32 @@ def json_events(spark, sf_dir):
 
 @query(
     "best_comment",
-    f"WITH {ISSUES_SQL} SELECT conv_id, CAST(score AS INTEGER) AS score, body AS answer FROM best",
+    f"""WITH {S.TURNS} SELECT conv_id, CAST(length(text) % 4 + turn % 2 AS INTEGER) AS score, {S.strip('text')} AS answer
+FROM turns WHERE {S.strip('text')} <> ''
+QUALIFY row_number() OVER (PARTITION BY conv_id ORDER BY length(text) % 4 + turn % 2 DESC, turn) = 1""",
 )
 def best_comment(spark, sf_dir):
-    best = answers.best_comment(F.col("comments_details"))
-    found = fixtures.issues(spark, sf_dir).select("conv_id", best.alias("best"))
-    return found.filter("best is not null").select(
-        "conv_id", F.col("best.score").cast("int").alias("score"), F.col("best.body").alias("answer")
+    """The best turn of every conversation, with the turns as rows."""
+    comments = fixtures.turns(spark, sf_dir).select(
+        "conv_id",
+        F.col("turn").alias("place"),
+        F.col("text").alias("body"),
+        fixtures.reactions(F.length("text"), F.col("turn")).alias("reactions"),
     )
+    return answers.best_comments(comments, "conv_id")
 
 
-@query("issue_pairs", f"WITH {ISSUES_SQL} {ISSUE_PAIRS_SQL}")
+@query("issue_pairs", ISSUE_PAIRS_SQL)
 def issue_pairs(spark, sf_dir):
     return answers.issue_pairs(fixtures.issues(spark, sf_dir))
 
 
-@query("issue_tree", f"WITH {ISSUES_SQL} {ISSUE_PAIRS_SQL}")
+@query("issue_tree", ISSUE_PAIRS_SQL)
 def issue_tree(spark, sf_dir):
     """Write every issue as a JSON file of its own, then build the pairs from the tree."""
     root = storage.new_location(spark, "issue-tree")
-    issues = fixtures.issues(spark, sf_dir).withColumn("repo", F.pmod("conv_id", F.lit(10)))
-    issues.drop("conv_id").repartition(8, "repo").write.option("maxRecordsPerFile", 1).partitionBy("repo").json(root)
+    issues = fixtures.issues(spark, sf_dir).withColumn("repo", F.pmod("qid", F.lit(10)))
+    issues.drop("qid").write.option("maxRecordsPerFile", 1).partitionBy("repo").json(root)
     return datasets.qa_from_issues(spark, root, ratio=1.0)
 
 

@@ -79,31 +79,23 @@ def spread_rows(df: DataFrame) -> DataFrame:
     return df.repartition(df.sparkSession.sparkContext.defaultParallelism * 2, "qid")
 
 
-def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
-    """One issue per conversation: the first user turn asks, the other turns comment.
-
-    The comments of one conversation are one row of the source format, so the
-    list per conversation is as large as an issue.
-    """
-    all_turns = turns(spark, sf_dir)
-    first = all_turns.filter("role = 'user'").groupBy("conv_id").agg(F.min_by("text", "turn").alias("asked"), F.min("turn").alias("turn"))
-    reactions = F.struct(
-        (F.length("text") % 4).cast("int").alias("+1"),
-        (F.col("turn") % 2).cast("int").alias("heart"),
-        F.lit(None).cast("int").alias("hooray"),
+def reactions(score: Column, liked: Column) -> Column:
+    return F.struct(
+        (score % 4).cast("int").alias("+1"), (liked % 2).cast("int").alias("heart"), F.lit(None).cast("int").alias("hooray")
     )
-    comment = F.struct(F.col("text").alias("body"), reactions.alias("reactions"))
-    others = (
-        all_turns.join(first.select("conv_id", "turn"), ["conv_id", "turn"], "left_anti")
-        .groupBy("conv_id")
-        .agg(F.array_sort(F.collect_list(F.struct("turn", comment.alias("comment")))).alias("c"))
-        .select("conv_id", F.transform("c", lambda c: c.comment).alias("comments_details"))
+
+
+def issues(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """One issue per pair: the question asks, the lines of the answer are the comments."""
+    comments = F.transform(
+        F.split("answer", "\n"),
+        lambda line, i: F.struct(line.alias("body"), reactions(F.length(line), i).alias("reactions")),
     )
-    return first.join(others, "conv_id", "left").select(
-        "conv_id",
-        first_line(F.col("asked")).alias("title"),
-        other_lines(F.col("asked")).alias("body"),
-        "comments_details",
+    return pairs(spark, sf_dir).select(
+        "qid",
+        first_line(F.col("question")).alias("title"),
+        other_lines(F.col("question")).alias("body"),
+        comments.alias("comments_details"),
     )
 
 

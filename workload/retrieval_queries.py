@@ -20,6 +20,9 @@ HITS = "SELECT qid, rank, doc_id, tags, score, round(boosted, 6) AS boosted, raw
 USER_HITS = f"""WITH {USERS}, {S.CORPUS}, {TEXTS}, {S.keyword_scores('users', 'texts', 10)},
 {S.reranked('hits', 'kw_raw', 'users')}"""
 
+PADDED_USER_HITS = f"""WITH {USERS}, {S.CORPUS}, {TEXTS}, {S.padded_scores('users', 'texts', 10)},
+{S.reranked('hits', 'padded', 'users')}"""
+
 VECTOR_CORPUS = """corpus AS (
   SELECT vec_id AS doc_id, 'vector ' || vec_id AS title, 'group' || label || '|set' || (vec_id % 3) AS tags,
          'label ' || label AS answer FROM embeddings),
@@ -104,7 +107,7 @@ def user_hits(spark, sf_dir, **options):
 
 @query("keyword_topk_boost", f"{USER_HITS} {HITS}")
 def keyword_topk_boost(spark, sf_dir):
-    return shown(user_hits(spark, sf_dir))
+    return shown(user_hits(spark, sf_dir, pad_zero=False))
 
 
 @query(
@@ -114,7 +117,7 @@ def keyword_topk_boost(spark, sf_dir):
 {HITS}""",
 )
 def keyword_topk_exact_tag(spark, sf_dir):
-    return shown(user_hits(spark, sf_dir, options=retrieval.RetrievalOptions(match="tag")))
+    return shown(user_hits(spark, sf_dir, pad_zero=False, options=retrieval.RetrievalOptions(match="tag")))
 
 
 # Keywords alone, as short queries, so that many lists need filling.
@@ -125,12 +128,7 @@ SHORT = f"""{S.TURNS}, short AS (
 
 @query(
     "keyword_topk_padded",
-    f"""WITH {SHORT}, {S.CORPUS}, {TEXTS}, {S.keyword_scores('short', 'texts', 10)},
-padded AS (
-  SELECT qid, doc_id, coalesce(score, 0.0) AS score,
-         row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, 0.0) DESC, score IS NULL, doc_id) AS raw_rank
-  FROM short CROSS JOIN (SELECT doc_id FROM corpus) LEFT JOIN kw_scores USING (qid, doc_id)
-  QUALIFY raw_rank <= 10),
+    f"""WITH {SHORT}, {S.CORPUS}, {TEXTS}, {S.padded_scores('short', 'texts', 10)},
 {S.reranked('hits', 'padded', 'short')} {HITS}""",
 )
 def keyword_topk_padded(spark, sf_dir):
@@ -138,10 +136,10 @@ def keyword_topk_padded(spark, sf_dir):
     queries = fixtures.user_queries(spark, sf_dir).select(
         "qid", text.text_or_blank(F.try_element_at(words, F.lit(-1))).alias("text")
     )
-    return shown(retrieval.keyword_hits(queries, fixtures.corpus(spark, sf_dir), pad_zero=True))
+    return shown(retrieval.keyword_hits(queries, fixtures.corpus(spark, sf_dir)))
 
 
-@query("keyword_context", f"{USER_HITS}, {S.contexts('found', 'hits', 'users')} SELECT * FROM found")
+@query("keyword_context", f"{PADDED_USER_HITS}, {S.contexts('found', 'hits', 'users')} SELECT * FROM found")
 def keyword_context(spark, sf_dir):
     return retrieval.contexts(user_hits(spark, sf_dir), fixtures.user_queries(spark, sf_dir))
 

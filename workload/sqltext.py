@@ -104,6 +104,16 @@ kw_raw AS (
   FROM kw_scores QUALIFY raw_rank <= {depth})"""
 
 
+def padded_scores(queries: str, documents: str, depth: int) -> str:
+    """As ``keyword_scores``, with CTE padded that also lists documents sharing no term."""
+    return f"""{keyword_scores(queries, documents, depth)},
+padded AS (
+  SELECT qid, doc_id, coalesce(score, 0.0) AS score,
+         row_number() OVER (PARTITION BY qid ORDER BY coalesce(score, 0.0) DESC, score IS NULL, doc_id) AS raw_rank
+  FROM {queries} CROSS JOIN (SELECT doc_id FROM {documents}) LEFT JOIN kw_scores USING (qid, doc_id)
+  QUALIFY raw_rank <= {depth})"""
+
+
 def hash_vectors(name: str, key: str, source: str, dimensions: int = 64) -> str:
     """CTE NAME (key, embedding)."""
     bucket = f"(CAST(('0x' || substr(md5(token), 1, 7)) AS INTEGER) % {dimensions})"
