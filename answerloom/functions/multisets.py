@@ -43,16 +43,17 @@ def counted(tokens: Column) -> Column:
 
 
 def numbered(tokens: Column) -> Column:
-    """The tokens, each with a running number among its equals, so that none repeats."""
-    return F.flatten(
-        _over_runs(
-            tokens,
-            lambda ordered, first, last: F.transform(
-                F.sequence(first, last),
-                lambda p: F.concat(F.get(ordered, p - 1), F.lit("\t"), (p - first).cast("string")),
-            ),
-        )
-    )
+    """The tokens with the second, third, ... of equals numbered, so that none repeats.
+
+    Tokens must not hold tabs.
+    """
+
+    def of_run(ordered: Column, first: Column, last: Column) -> Column:
+        token = F.get(ordered, first - 1)
+        more = F.transform(F.sequence(first + 1, last), lambda p: F.concat(token, F.lit("\t"), (p - first).cast("string")))
+        return F.when(first == last, F.array(token)).otherwise(F.concat(F.array(token), more))
+
+    return F.flatten(_over_runs(tokens, of_run))
 
 
 def common(a: Column, b: Column) -> Column:

@@ -54,9 +54,13 @@ def _grams(tokens: Column) -> Column:
     def of_length(n: int) -> Column:
         # Single elements are looked up in place, while a slice would copy the whole array.
         starts = F.when(F.size(tokens) >= n, F.sequence(F.lit(0), F.size(tokens) - n))
-        grams = F.transform(
-            starts, lambda i: F.concat_ws(" ", F.lit(str(n)), *[F.get(tokens, i + offset) for offset in range(n)])
-        )
+        def gram(start: Column) -> Column:
+            parts = [F.lit(f"{n}")]
+            for offset in range(n):
+                parts += [F.lit(" "), F.get(tokens, start + offset)]
+            return F.concat(*parts)
+
+        grams = F.transform(starts, gram)
         return F.coalesce(grams, F.array().cast("array<string>"))
 
     return F.concat(*[of_length(n) for n in range(1, BLEU_ORDER + 1)])
