@@ -6,6 +6,7 @@ from collections.abc import Callable, Iterator, Sequence
 
 import numpy as np
 import pandas as pd
+import pyarrow.compute as pc
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -35,8 +36,8 @@ def nearest(
     best a written table, as it is scanned once per block of queries. Returns
     (qid, doc_id, score, raw_rank).
     """
-    queries = storage.save(queries.select("qid", "embedding").filter("embedding is not null"), "query-vectors")
-    corpus = corpus.select("doc_id", "embedding").filter("embedding is not null")
+    queries = storage.save(queries.select("qid", "embedding"), "query-vectors").filter("embedding is not null")
+    corpus = corpus.select("doc_id", "embedding")
     size = queries.agg(F.sum(F.size("embedding"))).first()[0] or 0
 
     def search(block: DataFrame) -> DataFrame:
@@ -58,6 +59,8 @@ def _scorer(shared, depth: int, digits: int):
         best = blocks.BestPerQuery(len(qids), depth, digits)
         step = max(1, blocks.CELLS_PER_STEP // len(qids))
         for batch in batches:
+            # Here rather than in a filter, which would compute an encoded vector twice.
+            batch = batch.filter(pc.is_valid(batch.column("embedding")))
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 doc_ids = part.column("doc_id").to_numpy(zero_copy_only=False)

@@ -99,9 +99,20 @@ def build(
 
 
 def query_vectors(queries: DataFrame, index: KeywordIndex) -> DataFrame:
-    """Unit TF-IDF rows of (qid, text) in the corpus vocabulary."""
-    counted = term_counts(queries, "qid", "text", index.stop_words)
-    return unit_rows(weighted(counted, "qid", index.terms, index.n_terms), "qid")
+    """Unit TF-IDF rows of (qid, text) in the corpus vocabulary, written.
+
+    The vocabulary is scanned past the query terms, which are broadcast if they
+    are few enough; it is never broadcast or sorted for them.
+    """
+    counted = storage.save(term_counts(queries, "qid", "text", index.stop_words), "query-terms")
+    size = counted.agg(F.sum(F.size("counts"))).first()[0] or 0
+    postings = counted.select("qid", F.inline("counts"))
+    if size <= QUERY_TERMS_PER_BLOCK:
+        postings = F.broadcast(postings)
+    weights = index.terms.select("term", "idf").join(postings, "term").select(
+        "qid", "term", (F.col("n") * F.col("idf")).alias("weight")
+    )
+    return storage.save(unit_rows(weights, "qid").select("qid", "terms", "weights"), "query-vectors")
 
 
 def nearest(
@@ -115,7 +126,7 @@ def nearest(
 
     Returns (qid, doc_id, score, raw_rank).
     """
-    vectors = storage.save(query_vectors(queries, index).select("qid", "terms", "weights"), "query-vectors")
+    vectors = query_vectors(queries, index)
     size = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
 
     def search(block: DataFrame) -> DataFrame:

@@ -177,21 +177,27 @@ def test_missing_input_is_an_error(spark, tmp_path):
         tables.read_eval_csv(spark, str(tmp_path / "nowhere"))
 
 
-def test_shared_folder_must_be_named_on_a_cluster():
-    class Context:
-        master = "spark://host:7077"
+class Session:
+    """The parts of a session that the shared folder depends on."""
 
-        @staticmethod
-        def getCheckpointDir():
-            return None
+    def __init__(self, master, settings):
+        self.master, self.settings, self.folder = master, settings, None
+        self.conf, self.sparkContext = self, self
 
-    class Session:
-        sparkContext = Context
+    def get(self, name, default=None):
+        return self.settings.get(name, default)
 
-        class conf:
-            @staticmethod
-            def get(name, default=None):
-                return default
+    def getCheckpointDir(self):
+        return self.folder
 
+    def setCheckpointDir(self, folder):
+        self.folder = folder
+
+
+def test_shared_folder():
+    named = {"spark.checkpoint.dir": "hdfs://shared/"}
+    assert storage.shared_root(Session("spark://host:7077", named)) == "hdfs://shared"
     with pytest.raises(RuntimeError):
-        storage.shared_root(Session)
+        storage.shared_root(Session("spark://host:7077", {}))
+    local = Session("local[4]", {})
+    assert storage.shared_root(local) == storage.shared_root(local) == local.folder

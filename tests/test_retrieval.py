@@ -144,6 +144,12 @@ def test_vector_hits_equal_brute_force(vectors, block):
     assert hits_of(dense.nearest(asked, vectors, 10, block_numbers=block)) == sorted(expected)
 
 
+def test_missing_vectors_are_left_out(vectors):
+    some = vectors.withColumn("embedding", F.when(F.col("doc_id") % 2 == 0, F.col("embedding")))
+    found = dense.nearest(some.withColumnRenamed("doc_id", "qid"), some, 300).select("qid", "doc_id").distinct()
+    assert found.count() == 150 * 150
+
+
 def test_small_corpus_gives_short_lists(vectors):
     few = vectors.filter("doc_id < 3")
     assert dense.nearest(few.withColumnRenamed("doc_id", "qid"), few, 10).count() == 9

@@ -75,8 +75,9 @@ def keywords(spark, sf_dir):
     f"WITH {S.weights('d', 'doc_id', 'documents')} SELECT term, df, round(idf, 6) AS idf FROM d_idf",
 )
 def idf_stats(spark, sf_dir):
-    index = keyword.build(document_texts(spark, sf_dir))
-    return index.terms.select("term", "df", F.round("idf", 6).alias("idf"))
+    counted = keyword.term_counts(document_texts(spark, sf_dir), "doc_id", "text", ENGLISH_STOP_WORDS)
+    terms = keyword.term_statistics(counted, fixtures.load(spark, sf_dir, "documents").count())
+    return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
 @query(
