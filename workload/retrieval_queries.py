@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from answerloom import storage
 from answerloom.functions import text
 from answerloom.functions.words import ENGLISH_STOP_WORDS
 from answerloom.operators import dense, keyword, ranking
@@ -41,6 +42,16 @@ def shown(hits):
     return hits.select("qid", "rank", "doc_id", "tags", "score", F.round("boosted", 6).alias("boosted"), "raw_rank")
 
 
+def saved_counts(spark, sf_dir):
+    """Term counts of the documents, written as an index build writes them.
+
+    Exploding them straight away would compute them again in the filter that
+    the optimizer puts before an explode.
+    """
+    counted = keyword.term_counts(document_texts(spark, sf_dir), "doc_id", "text", ENGLISH_STOP_WORDS)
+    return storage.save(counted, "term-counts")
+
+
 def document_texts(spark, sf_dir):
     return fixtures.documents(spark, sf_dir).select("doc_id", "text")
 
@@ -51,8 +62,7 @@ def document_texts(spark, sf_dir):
 FROM (SELECT doc_id, unnest({S.word_tokens('text')}) AS term FROM documents) GROUP BY term""",
 )
 def tfidf_tokens(spark, sf_dir):
-    counted = keyword.term_counts(document_texts(spark, sf_dir), "doc_id", "text", ENGLISH_STOP_WORDS)
-    terms = counted.select(F.inline("counts"))
+    terms = saved_counts(spark, sf_dir).select(F.inline("counts"))
     return terms.groupBy("term").agg(F.sum("n").alias("n"), F.count(F.lit(1)).alias("df"))
 
 
@@ -75,8 +85,8 @@ def keywords(spark, sf_dir):
     f"WITH {S.weights('d', 'doc_id', 'documents')} SELECT term, df, round(idf, 6) AS idf FROM d_idf",
 )
 def idf_stats(spark, sf_dir):
-    counted = keyword.term_counts(document_texts(spark, sf_dir), "doc_id", "text", ENGLISH_STOP_WORDS)
-    terms = keyword.term_statistics(counted, fixtures.load(spark, sf_dir, "documents").count())
+    counted = saved_counts(spark, sf_dir)
+    terms = keyword.term_statistics(counted, counted.count())
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
