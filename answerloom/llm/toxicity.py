@@ -32,6 +32,8 @@ FIELD_ROWS = 800
 LEAST_SHARE = 0.004
 LEAST_RATIO = 20.0
 LEAST_EVIDENCE = 24.0
+#: It also needs so many different words before it, by the rows that have it: copies of one text are no evidence.
+LEAST_SURROUNDINGS = 0.5
 FEATURES = 20_000
 BEGINNINGS = (4, 5)
 REMEMBERED_WORDS = 300_000
@@ -234,7 +236,29 @@ def toxic_features(rows: DataFrame) -> set[str]:
     share = toxic / (toxic + clean)
     evidence = 2 * (F.col("bad") * F.log(F.col("bad") / (having * share)) + F.when(F.col("good") > 0, F.col("good") * F.log(F.col("good") / (having * (1 - share)))).otherwise(0.0))
     chosen = counts.filter((F.col("bad") > 0) & (F.col("bad") >= LEAST_SHARE * toxic) & (ratio >= LEAST_RATIO) & (evidence >= LEAST_EVIDENCE))
-    return {r["feature"] for r in chosen.orderBy(F.desc("bad"), "feature").limit(FEATURES).collect()}
+    likely = {r["feature"]: r["bad"] for r in chosen.orderBy(F.desc("bad"), "feature").limit(FEATURES).collect()}
+    around = _surroundings(rows.filter("toxic = 1"), set(likely))
+    return {f for f, bad in likely.items() if around.get(f, 0) >= LEAST_SURROUNDINGS * bad}
+
+
+def _surroundings(rows: DataFrame, wanted: set[str]) -> dict[str, int]:
+    """For each wanted feature, the number of different words before it; copies of a text do not add any."""
+    shared = rows.sparkSession.sparkContext.broadcast(wanted)
+
+    def seen(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        wanted = shared.value
+        for batch in slices(batches, "text", 1 << 23):
+            pairs = set()
+            for text in batch.column("text"):
+                before = ""
+                for word in _TOKEN.findall(text.as_py()):
+                    pairs.update((f, before) for f in features(word) if f in wanted)
+                    before = word
+            feature, before = zip(*pairs, strict=True) if pairs else ((), ())
+            yield pa.RecordBatch.from_arrays([pa.array(feature, pa.string()), pa.array(before, pa.string())], ["feature", "before"])
+
+    pairs = rows.mapInArrow(seen, "feature string, before string").distinct()
+    return {r["feature"]: r["count"] for r in pairs.groupBy("feature").count().collect()}
 
 
 def fit(docs: DataFrame, labels: DataFrame) -> Model | None:
