@@ -100,7 +100,7 @@ def grams(words: np.ndarray, counts: np.ndarray, width: int) -> tuple[np.ndarray
     place = np.arange(len(words)) - np.repeat(ends - counts, counts)
     kept = place + width <= np.repeat(counts, counts)
     total = np.zeros(len(words), np.uint64)
-    for j, power in enumerate(powers(_STEP, width)):
+    for j, power in enumerate(powers(_STEP, width)[: len(words)]):
         total[: len(words) - j] += words[j:] * power
     return mixed(total[kept]), text[kept], place[kept]
 

@@ -9,6 +9,7 @@ and every block meets all documents without a shuffle of texts.
 
 from __future__ import annotations
 
+import itertools
 import math
 from collections.abc import Iterator
 from dataclasses import dataclass
@@ -218,8 +219,8 @@ def _finder(shared):
                 where, number = block.found(hashes)
                 ends = np.cumsum(counts)
                 rows = [[] for _ in range(piece.num_rows)]
-                edges = np.flatnonzero(np.diff(texts[where], prepend=-1)) if len(where) else []
-                for a, b in zip(edges, [*edges[1:], len(where)], strict=True):
+                edges = [*np.flatnonzero(np.diff(texts[where], prepend=-1)), len(where)]
+                for a, b in itertools.pairwise(edges):
                     t = texts[where[a]]
                     rows[t] = matches(block, words[ends[t] - counts[t] : ends[t]], places[where[a:b]], number[a:b])
                 out += rows

@@ -98,3 +98,27 @@ def op9_jaccard_join(spark, sf_dir):
 def op10_pii(spark, sf_dir):
     rows = pii.found_spans(table(spark, sf_dir, "documents"))
     return rows.select("doc_id", *counted("base", pii.KINDS[:4]), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
+
+
+SQL["op6_chats"] = r"""
+WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, role, text,
+                  md5(concat(role, '|', text)) AS own FROM conversations),
+     c AS (SELECT conv_id, count(*) AS n, string_agg(own, ',' ORDER BY place) AS h FROM t GROUP BY conv_id),
+     p AS (SELECT conv_id, place + 1 AS n, string_agg(own, ',') OVER (PARTITION BY conv_id ORDER BY place ROWS UNBOUNDED PRECEDING) AS h FROM t),
+     longer AS (SELECT DISTINCT p.n, p.h FROM p JOIN c USING (conv_id) WHERE p.n < c.n),
+     kept AS (SELECT min(c.conv_id) AS conv_id FROM c ANTI JOIN longer USING (n, h) GROUP BY c.n, c.h)
+SELECT conv_id, (place // 64)::BIGINT AS part, count(*) AS n_turns,
+       string_agg(concat('<|', role, '|>', chr(10), text, chr(10), '<|end|>', chr(10)), '' ORDER BY place) AS text
+FROM t SEMI JOIN kept USING (conv_id) GROUP BY ALL"""
+
+SQL["op9_jaccard_join"] = r"""
+WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'),
+                                              '[^\x20\x09-\x0D]+') AS w FROM documents),
+     s AS (SELECT DISTINCT doc_id, unnest(CASE WHEN len(w) >= 5 THEN [array_to_string(w[i:i + 4], ' ') FOR i IN range(1, len(w) - 3)]
+                                               WHEN len(w) > 0 THEN [array_to_string(w, ' ')] ELSE [] END) AS g FROM w),
+     n AS (SELECT doc_id, count(*) AS n FROM s GROUP BY doc_id),
+     pairs AS (SELECT x.doc_id AS a, y.doc_id AS b, count(*) AS o FROM s x JOIN s y USING (g) WHERE x.doc_id < y.doc_id GROUP BY ALL),
+     l AS (SELECT a, b FROM pairs JOIN n x ON x.doc_id = a JOIN n y ON y.doc_id = b WHERE 100 * o >= 75 * (x.n + y.n - o)),
+     e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
+     r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.root)
+SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
