@@ -32,7 +32,7 @@ def text_or_blank(column: Column) -> Column:
 
 def strip(column: Column) -> Column:
     """Trim every kind of Unicode white space, not only the space character."""
-    return F.regexp_replace(column, r"(?U)^\s+|\s+$", "")
+    return F.regexp_replace(column, r"(?U)^[\s\x1c-\x1f]+|[\s\x1c-\x1f]+$", "")
 
 
 def corpus_text(title: Column, body: Column) -> Column:
@@ -45,7 +45,7 @@ def question_text(title: Column, body: Column) -> Column:
 
 def space_tokens(column: Column) -> Column:
     """Lower-cased tokens between runs of white space."""
-    return F.filter(F.split(F.lower(column), r"(?U)\s+"), lambda t: t != "")
+    return F.filter(F.split(F.lower(column), r"(?U)[\s\x1c-\x1f]+"), lambda t: t != "")
 
 
 def word_tokens(column: Column, stop_words: Sequence[str] = ()) -> Column:

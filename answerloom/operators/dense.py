@@ -64,6 +64,8 @@ def _scorer(shared, depth: int, digits: int):
             for start in range(0, batch.num_rows, step):
                 part = batch.slice(start, step)
                 doc_ids = part.column("doc_id").to_numpy(zero_copy_only=False)
+                if pc.any(pc.not_equal(pc.list_value_length(part.column("embedding")), matrix.shape[1])).as_py():
+                    raise ValueError(f"vectors of the corpus need {matrix.shape[1]} numbers, as those of the queries")
                 values = part.column("embedding").flatten().to_numpy(zero_copy_only=False)
                 documents = values.astype(np.float64).reshape(len(doc_ids), -1)
                 best.add(matrix @ documents.T, doc_ids, positive_only=False)

@@ -28,20 +28,20 @@ class UnmatchedPairs(ValueError):
 def paired(predictions: DataFrame, truths: DataFrame, key: str = "qid", report: bool = False) -> DataFrame:
     """Join predictions and truths one to one.
 
-    Raises when a key occurs on one side only; with ``report`` returns the full
+    Raises when a key does not occur just once on each side; with ``report`` returns the full
     outer join with a ``missing`` column instead.
     """
+    if not report:
+        sides = predictions.select(key, F.lit(1).alias("__p"), F.lit(0).alias("__t")).union(truths.select(key, F.lit(0), F.lit(1)))
+        wrong = sides.groupBy(key).agg(F.sum("__p").alias("__p"), F.sum("__t").alias("__t")).filter("__p <> 1 or __t <> 1").count()
+        if wrong:
+            raise UnmatchedPairs(f"{wrong} keys do not occur once on either side")
+        return predictions.join(truths, key)
     joined = predictions.withColumn("__p", F.lit(True)).join(
         truths.withColumn("__t", F.lit(True)), key, "full_outer"
     )
     missing = F.when(F.col("__p").isNull(), "prediction").when(F.col("__t").isNull(), "truth")
-    joined = joined.withColumn("missing", missing).drop("__p", "__t")
-    if report:
-        return joined
-    one_sided = joined.filter(F.col("missing").isNotNull()).count()
-    if one_sided:
-        raise UnmatchedPairs(f"{one_sided} keys have no partner")
-    return joined.drop("missing")
+    return joined.withColumn("missing", missing).drop("__p", "__t")
 
 
 def _f_measure(shared: Column, left: Column, right: Column) -> Column:

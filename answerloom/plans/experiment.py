@@ -3,7 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
-from dataclasses import dataclass
+from dataclasses import dataclass, fields
 from functools import reduce
 
 from pyspark.sql import DataFrame
@@ -38,10 +38,13 @@ class RunConfig:
 
     @property
     def label(self) -> str:
+        """What differs from the defaults, so that different configurations have different labels."""
+        named = ("rag", "reasoning", "rerank", "baseline")
+        other = [f"{f.name}={getattr(self, f.name)}" for f in fields(self) if f.name not in named and getattr(self, f.name) != f.default]
         if self.baseline:
-            return "baseline"
+            return " ".join(["baseline", *other])
         parts = [self.rag, "reasoning" if self.reasoning else "plain"]
-        return " ".join(parts + ([f"rerank-{self.rerank}"] if self.rerank else []))
+        return " ".join(parts + ([f"rerank-{self.rerank}"] if self.rerank else []) + other)
 
     @property
     def folder(self) -> str:

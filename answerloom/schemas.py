@@ -71,3 +71,6 @@ STAGE_TEXT = T.StructType(
         T.StructField("text", T.StringType()),
     ]
 )
+
+#: What a stage store holds: a text and the digest of its prompt.
+STORED_TEXT = T.StructType([*STAGE_TEXT.fields, T.StructField("digest", T.StringType())])

@@ -39,7 +39,7 @@ def sample_files(files: DataFrame, ratio: float = 0.1, seed: int = 42) -> DataFr
 
 
 def read_issues(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """Parse the listed files: (path, title, body, comments_details, malformed).
+    """Parse the listed files: (path, title, body, comments_details, malformed). Files that are not UTF-8 are malformed.
 
     Up to a checked number of paths only those files are opened. A longer list
     stays distributed: the tree is read and joined with it.
@@ -54,12 +54,12 @@ def read_issues(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
         contents = found.join(files.select("path"), "path", "left_semi")
     schema = T.StructType([*schemas.ISSUE.fields, T.StructField("_malformed", T.StringType())])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
-    return contents.select("path", parsed.alias("issue")).select(
+    return contents.select("path", "value", parsed.alias("issue")).select(
         "path",
         "issue.title",
         "issue.body",
         "issue.comments_details",
-        F.col("issue._malformed").isNotNull().alias("malformed"),
+        (F.col("value").isNull() | F.col("issue._malformed").isNotNull()).alias("malformed"),
     )
 
 
@@ -68,5 +68,5 @@ def _contents(spark: SparkSession, path) -> DataFrame:
         spark.read.format("binaryFile")
         .options(recursiveFileLookup=True, pathGlobFilter="*.json")
         .load(path)
-        .select("path", F.decode("content", "UTF-8").alias("value"))
+        .select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
     )

@@ -201,3 +201,22 @@ def test_shared_folder():
         storage.shared_root(Session("spark://host:7077", {}))
     local = Session("local[4]", {})
     assert storage.shared_root(local) == storage.shared_root(local) == local.folder
+
+
+def test_csv_columns_by_name(spark, tmp_path):
+    (tmp_path / "e").mkdir()
+    (tmp_path / "e" / "a.csv").write_text('answer,id,question\n"a1","1","q1"\n"a2","2","q2","long"\n"a3"\n')
+    (tmp_path / "e" / "b.csv").write_text('answer,id,question\n"a4","4","q4"\n')
+    rows = tables.read_eval_csv(spark, str(tmp_path / "e")).orderBy("qid").collect()
+    assert [(r.question, r.answer) for r in rows] == [("q1", "a1"), ("", "a3"), ("q4", "a4")]
+    assert [r.qid for r in rows] == [0, 2, 1 << 33]
+    with pytest.raises(tables.MissingColumns):
+        tables.read_corpus(spark, str(tmp_path / "e" / "a.csv"))
+
+
+def test_issue_file_of_bad_bytes_is_malformed(spark, tmp_path):
+    (tmp_path / "r").mkdir()
+    (tmp_path / "r" / "1.json").write_bytes(b'{"title": "\xff"}')
+    (tmp_path / "r" / "2.json").write_text('{"title": "t"}')
+    read = issues.read_issues(spark, issues.list_files(spark, str(tmp_path)), str(tmp_path))
+    assert {(r.title, r.malformed) for r in read.collect()} == {(None, True), ("t", False)}

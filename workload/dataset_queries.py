@@ -165,6 +165,15 @@ def csv_round_trip(spark, sf_dir):
     return tables.read_eval_csv(spark, path).select("question", "answer")
 
 
+@query("csv_columns_by_name", f"WITH {S.PAIRS} SELECT question, answer FROM pairs")
+def csv_columns_by_name(spark, sf_dir):
+    """The header names the columns: they come in another order, with one that is not asked for."""
+    path = storage.new_location(spark, "eval-csv")
+    pairs = fixtures.pairs(spark, sf_dir)
+    tables.write_csv(pairs.select("answer", F.col("qid").alias("note"), "question"), path)
+    return tables.read_eval_csv(spark, path).select("question", "answer")
+
+
 @query(
     "pair_integrity",
     """SELECT coalesce(d.doc_id, l.doc_id) AS doc_id,

@@ -26,7 +26,7 @@ def other_lines(c: str) -> str:
 
 
 def strip(c: str) -> str:
-    return rf"regexp_replace({c}, '^[\s\p{{Z}}]+|[\s\p{{Z}}]+$', '', 'g')"
+    return rf"regexp_replace({c}, '^[\s\p{{Z}}\x1c-\x1f]+|[\s\p{{Z}}\x1c-\x1f]+$', '', 'g')"
 
 
 def word_tokens(c: str) -> str:
@@ -37,7 +37,7 @@ def word_tokens(c: str) -> str:
 
 
 def space_tokens(c: str) -> str:
-    return rf"list_filter(regexp_split_to_array(lower({c}), '[\s\p{{Z}}]+'), lambda t: t <> '')"
+    return rf"list_filter(regexp_split_to_array(lower({c}), '[\s\p{{Z}}\x1c-\x1f]+'), lambda t: t <> '')"
 
 
 def ascii_tokens(c: str) -> str:
@@ -51,7 +51,7 @@ def keywords(c: str) -> str:
     for word, parts in SPLIT_WORDS.items():
         text = rf"regexp_replace({text}, '\b{word}\b', {quoted(parts)}, 'g')"
     return (
-        rf"list_filter(regexp_split_to_array({text}, '[\s\p{{Z}}]+'), "
+        rf"list_filter(regexp_split_to_array({text}, '[\s\p{{Z}}\x1c-\x1f]+'), "
         f"lambda t: regexp_matches(t, {quoted(ALNUM_PATTERN)}) AND t NOT IN ({STOP_WORDS}))"
     )
 
