@@ -20,14 +20,14 @@ from pyspark.sql import Window
 from answerloom.llm.batches import fresh, held_out, mixed
 
 #: N-grams are hashed to this many bins, for all lengths together.
-BINS = 1 << 17
+BINS = 1 << 16
 LENGTHS = (1, 2, 3, 4)
 #: Rows learned from for each language at most, and the longest text among them.
 FIT_ROWS = 250
 FIT_CHARACTERS = 20_000
 #: Languages at most; a column with more distinct values is not a language.
 LANGUAGES = 500
-LANDMARKS = 300
+LANDMARKS = 200
 RIDGE = 1e-2
 
 
@@ -65,15 +65,17 @@ class Model:
 def fitted(bins: list[np.ndarray], labels: list[str]) -> Model:
     """Nyström kernel ridge regression, one language against the rest."""
     languages = sorted(set(labels))
-    dense = np.zeros((len(bins), BINS), np.float32)
-    for row, b in zip(dense, bins, strict=True):
-        row[b] = 1 / np.sqrt(max(len(b), 1))
-    every = max(1, len(bins) // LANDMARKS)
-    marks = dense[::every][:LANDMARKS]
+    marks = np.zeros((min(len(bins), LANDMARKS), BINS), np.float32)
+    for row, i in zip(marks, np.linspace(0, len(bins) - 1, len(marks)).astype(int), strict=True):
+        row[bins[i]] = 1 / np.sqrt(max(len(bins[i]), 1))
+
+    def against_marks(b: np.ndarray) -> np.ndarray:
+        return marks[:, b].sum(1, dtype=np.float64) / np.sqrt(max(len(b), 1))
+
     values, vectors = np.linalg.eigh((marks @ marks.T).astype(np.float64))
     kept = values > 1e-6 * values.max()
     to_space = vectors[:, kept] / np.sqrt(values[kept])
-    mapped = (dense @ marks.T).astype(np.float64) @ to_space
+    mapped = np.array([against_marks(b) for b in bins]) @ to_space
     wanted = np.where(np.array(labels)[:, None] == np.array(languages)[None, :], 1.0, -1.0)
     weight = 1 / np.bincount([languages.index(x) for x in labels])[[languages.index(x) for x in labels]]
     weight = (weight / weight.mean())[:, None]
