@@ -134,6 +134,9 @@ def all_predictions(
 
     Configurations that retrieve alike share one written table of contexts.
     """
+    configs = list(configs)
+    if len({c.label for c in configs}) < len(configs):
+        raise ValueError("two configurations are the same")
     written: dict[tuple, DataFrame] = {}
     tables = []
     for config in configs:
