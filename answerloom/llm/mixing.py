@@ -104,20 +104,17 @@ def pieces(placed: DataFrame) -> DataFrame:
 
 
 def _scrambled(value: Column, salt: Column) -> Column:
-    """A number below 2^31 - 1 from two numbers, in integer arithmetic that any engine has."""
-    p = F.lit(_P)
-    folded = F.pmod(value + F.floor(value / _P) * 7919 + salt * 40503, p)
-    once = F.pmod(folded * 48271 + 11, p)
-    return F.pmod(F.floor(once / 65536) + once * 69621, p)
+    """A number below 2^31 - 1 from two numbers."""
+    return F.pmod(F.xxhash64(value, salt), F.lit(_P))
 
 
 def permuted(i: Column, n: Column, salt: Column) -> Column:
     """The place of ``i`` in a pseudorandom permutation of 0 .. n - 1, by swap-or-not rounds (a published shuffle)."""
 
     def step(x: Column, r: Column) -> Column:
-        other = F.pmod(_scrambled(r * 131 + 7, salt) - x, n)
-        chosen = F.floor(_scrambled(F.greatest(x, other), salt + r * 977) / 1024) % 2
-        return F.when(chosen == 1, other).otherwise(x).cast("bigint")
+        other = F.pmod(F.pmod(F.xxhash64(r, salt), n) - x, n)
+        chosen = F.xxhash64(F.greatest(x, other), r, salt) % 2 == 0
+        return F.when(chosen, other).otherwise(x).cast("bigint")
 
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i.cast("bigint"), step)
 
@@ -182,9 +179,11 @@ def slots(spark, sources: list[Source], seed: int = 0) -> DataFrame:
 def mixture(placed: DataFrame, sources: list[Source], seed: int = 0) -> DataFrame:
     """(shard, slot, number, block, doc_id, begin, size, from_word, n_words): what fills every slot, piece by piece."""
     count = by_number([max(s.blocks, 1) for s in sources], F.col("number"), "bigint")
-    turn = F.floor(F.col("index") / count)
-    block = permuted(F.col("index") % count, count, F.col("number") * 64 + turn + F.lit(seed))
-    filled = slots(placed.sparkSession, sources, seed).select("shard", "slot", "number", block.alias("block"))
+    # written, so that the rounds below read columns and do not work these out again
+    drawn = slots(placed.sparkSession, sources, seed).withColumn("count", count)
+    salt = F.xxhash64("number", F.floor(F.col("index") / F.col("count")), F.lit(seed))
+    drawn = save(drawn.select("shard", "slot", "number", (F.col("index") % F.col("count")).alias("at"), "count", salt.alias("salt")), "mix-slots")
+    filled = drawn.select("shard", "slot", "number", permuted(F.col("at"), F.col("count"), F.col("salt")).alias("block"))
     return filled.join(pieces(placed), ["number", "block"])
 
 
