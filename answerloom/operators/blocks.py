@@ -24,12 +24,15 @@ from pyspark.sql import functions as F
 from answerloom import storage
 
 CELLS_PER_STEP = 1 << 22
+QUERIES_PER_BLOCK = 50_000
+#: Finds that wait, at least, before they are merged into the best lists.
+MERGE_ROWS = 1 << 18
 HITS = "qid long, doc_id long, score double"
 
 
-def query_blocks(queries: DataFrame, size: int, limit: int) -> list[DataFrame]:
-    """Cut a query table of ``size`` units into blocks of about ``limit`` units."""
-    blocks = -(-size // limit) if size else 1
+def query_blocks(queries: DataFrame, size: int, limit: int, n_queries: int) -> list[DataFrame]:
+    """Cut a table of ``n_queries`` queries and ``size`` units into blocks of about ``limit`` units, and a bounded number of queries."""
+    blocks = max(1, -(-size // limit), -(-n_queries // QUERIES_PER_BLOCK))
     if blocks == 1:
         return [queries]
     slot = F.pmod(F.xxhash64("qid"), F.lit(blocks))
@@ -49,12 +52,16 @@ class BestPerQuery:
 
     Scores are rounded before they are compared, so that neither the order of
     a sum nor the split into tasks can change a rank; ties go to the lower id.
+
+    Finds wait until there are as many as there are rows in the lists, so each
+    row is sorted a few times only, however small the steps are.
     """
 
     def __init__(self, n_queries: int, depth: int, digits: int):
         self.depth, self.digits = depth, digits
         self.floor = np.full(n_queries, -np.inf)
         self.rows = (np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, np.int64))
+        self.waiting, self.n_waiting = [], 0
 
     def add(self, scores: np.ndarray, doc_ids: np.ndarray, positive_only: bool) -> None:
         """``scores`` has one row per query and one column per document."""
@@ -67,9 +74,14 @@ class BestPerQuery:
         if positive_only:
             wanted &= scores > 0
         query, column = np.nonzero(wanted)
-        found = (query, np.round(scores[query, column], self.digits), doc_ids[column])
-        query, score, doc = (np.concatenate(pair) for pair in zip(self.rows, found))
-
+        self.waiting.append((query, np.round(scores[query, column], self.digits), doc_ids[column]))
+        self.n_waiting += len(query)
+        if self.n_waiting >= max(MERGE_ROWS, len(self.rows[0])):
+            self._merge()
+
+    def _merge(self) -> None:
+        query, score, doc = (np.concatenate(parts) for parts in zip(self.rows, *self.waiting))
+        self.waiting, self.n_waiting = [], 0
         order = np.lexsort((doc, -score, query))
         query, score, doc = query[order], score[order], doc[order]
         first = np.searchsorted(query, np.arange(len(self.floor) + 1))
@@ -80,6 +92,7 @@ class BestPerQuery:
         self.rows = (query[kept], score[kept], doc[kept])
 
     def batches(self, qids: np.ndarray) -> Iterator[pa.RecordBatch]:
+        self._merge()
         query, score, doc = self.rows
         yield pa.RecordBatch.from_arrays(
             [pa.array(qids[query]), pa.array(doc), pa.array(score)], names=["qid", "doc_id", "score"]

@@ -38,7 +38,7 @@ def nearest(
     """
     queries = storage.save(queries.select("qid", "embedding"), "query-vectors").filter("embedding is not null")
     corpus = corpus.select("doc_id", "embedding")
-    size = queries.agg(F.sum(F.size("embedding"))).first()[0] or 0
+    size, n_queries = queries.agg(F.coalesce(F.sum(F.size("embedding")), F.lit(0)), F.count("*")).first()
 
     def search(block: DataFrame) -> DataFrame:
         table = block.toArrow()
@@ -49,7 +49,7 @@ def nearest(
         shared = block.sparkSession.sparkContext.broadcast((qids, matrix))
         return corpus.mapInArrow(_scorer(shared, depth, digits), blocks.HITS)
 
-    hits = blocks.scored_in_blocks(blocks.query_blocks(queries, size, block_numbers), search, "vector-hits")
+    hits = blocks.scored_in_blocks(blocks.query_blocks(queries, size, block_numbers, n_queries), search, "vector-hits")
     return ranking.top(hits, depth)
 
 

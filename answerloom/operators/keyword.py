@@ -127,7 +127,7 @@ def nearest(
     Returns (qid, doc_id, score, raw_rank).
     """
     vectors = query_vectors(queries, index)
-    size = vectors.agg(F.sum(F.size("terms"))).first()[0] or 0
+    size, n_queries = vectors.agg(F.coalesce(F.sum(F.size("terms")), F.lit(0)), F.count("*")).first()
 
     def search(block: DataFrame) -> DataFrame:
         table = block.toArrow().combine_chunks()
@@ -138,7 +138,7 @@ def nearest(
             _scorer(shared, depth, digits), blocks.HITS
         )
 
-    hits = blocks.scored_in_blocks(blocks.query_blocks(vectors, size, block_terms), search, "keyword-hits")
+    hits = blocks.scored_in_blocks(blocks.query_blocks(vectors, size, block_terms, n_queries), search, "keyword-hits")
     return ranking.top(hits, depth)
 
 

@@ -94,6 +94,25 @@ def test_small_scoring_steps_give_the_same(spark, queries, index, monkeypatch):
     assert got == {e[:3] for e in brute_force(10)}
 
 
+@pytest.mark.parametrize("merge_rows", [1, 50, 1 << 18])
+def test_best_lists_do_not_depend_on_merges(monkeypatch, merge_rows):
+    monkeypatch.setattr(blocks, "MERGE_ROWS", merge_rows)
+    rng = np.random.default_rng(3)
+    scores = np.round(rng.random((30, 400)), 2)
+    best = blocks.BestPerQuery(30, 7, 6)
+    for at in range(0, 400, 9):
+        best.add(scores[:, at : at + 9], np.arange(at, min(at + 9, 400)), positive_only=True)
+    (found,) = best.batches(np.arange(30))
+    got = sorted((r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist())
+    want = [(q, d, scores[q, d]) for q in range(30) for d in sorted(range(400), key=lambda d: (-scores[q, d], d))[:7]]
+    assert got == sorted(want)
+
+
+def test_many_queries_are_cut_into_blocks(queries, index, monkeypatch):
+    monkeypatch.setattr(blocks, "QUERIES_PER_BLOCK", 5)
+    assert hits_of(keyword.nearest(queries, index, 10)) == sorted(brute_force(10))
+
+
 def test_large_vocabulary_gives_the_same_weights(docs, index, monkeypatch):
     def weights(ix):
         rows = ix.documents.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("w")).collect()

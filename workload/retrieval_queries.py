@@ -131,23 +131,26 @@ def keyword_topk_exact_tag(spark, sf_dir):
     return shown(user_hits(spark, sf_dir, pad_zero=False, options=retrieval.RetrievalOptions(match="tag")))
 
 
-# Keywords alone, as short queries, so that many lists need filling.
-SHORT = f"""{S.TURNS}, short AS (
-  SELECT qid, coalesce(word, '') AS text
-  FROM (SELECT qid, list_extract({S.keywords('text')}, -1) AS word FROM turns WHERE role = 'user'))"""
+# The test items as corpus: they are few and short, so that many lists need filling.
+ITEMS = """corpus AS (
+  SELECT item_id AS doc_id, 'item ' || item_id AS title, text AS body, 'set' || (item_id % 3) AS tags, text AS answer
+  FROM benchmark)"""
 
 
 @query(
     "keyword_topk_padded",
-    f"""WITH {SHORT}, {S.CORPUS}, {TEXTS}, {S.padded_scores('short', 'texts', 10)},
-{S.reranked('hits', 'padded', 'short')} {HITS}""",
+    f"""WITH {USERS}, {ITEMS}, {TEXTS}, {S.padded_scores('users', 'texts', 10)},
+{S.reranked('hits', 'padded', 'users')} {HITS}""",
 )
 def keyword_topk_padded(spark, sf_dir):
-    words = text.keywords(F.col("text"))
-    queries = fixtures.user_queries(spark, sf_dir).select(
-        "qid", text.text_or_blank(F.try_element_at(words, F.lit(-1))).alias("text")
+    items = fixtures.benchmark_queries(spark, sf_dir).select(
+        F.col("qid").alias("doc_id"),
+        F.concat(F.lit("item "), "qid").alias("title"),
+        F.col("text").alias("body"),
+        F.concat(F.lit("set"), F.col("qid") % 3).alias("tags"),
+        F.col("text").alias("answer"),
     )
-    return shown(retrieval.keyword_hits(queries, fixtures.corpus(spark, sf_dir)))
+    return shown(retrieval.keyword_hits(fixtures.user_queries(spark, sf_dir), items))
 
 
 @query("keyword_context", f"{PADDED_USER_HITS}, {S.contexts('found', 'hits', 'users')} SELECT * FROM found")
@@ -157,17 +160,16 @@ def keyword_context(spark, sf_dir):
 
 @query(
     "vector_normalize",
-    """SELECT vec_id, round(e, 6) AS first, round(list_sum(list_transform(v, lambda x: x * x)), 6) AS squares FROM (
-  SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS v, v[1] AS e
+    """SELECT vec_id, place, round(v[place + 1], 6) AS value FROM (
+  SELECT vec_id, list_transform(w, lambda x: x / sqrt(list_sum(list_transform(w, lambda y: y * y)))) AS v, unnest(range(len(w))) AS place
   FROM (SELECT vec_id, list_transform(embedding::DOUBLE[], lambda x: x * (label + 2)) AS w FROM embeddings))""",
 )
 def vector_normalize(spark, sf_dir):
     scaled = fixtures.load(spark, sf_dir, "embeddings").withColumn(
         "embedding", F.transform("embedding", lambda x: x.cast("double") * (F.col("label") + 2))
     )
-    unit = dense.normalised(scaled)
-    squares = F.aggregate("embedding", F.lit(0.0), lambda total, x: total + x * x)
-    return unit.select("vec_id", F.round(F.get("embedding", F.lit(0)), 6).alias("first"), F.round(squares, 6).alias("squares"))
+    unit = dense.normalised(scaled).select("vec_id", F.posexplode("embedding").alias("place", "value"))
+    return unit.select("vec_id", F.col("place").cast("bigint").alias("place"), F.round("value", 6).alias("value"))
 
 
 def vector_tables(spark, sf_dir):
