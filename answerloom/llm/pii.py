@@ -33,8 +33,6 @@ TERM = r"[\p{L}\p{N}]{3,}"
 #: A term gives an entity away if it tells so large a share of the entity's information, in so many different surroundings.
 DISCLOSURE = 0.5
 SURROUNDINGS = 3
-#: Candidate terms up to which they are broadcast (a term has no more than 2 * NEAR characters).
-BROADCAST_TERMS = 200_000
 
 
 def _lit(text: str) -> str:
@@ -137,12 +135,9 @@ def disclosing(near: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     likely = seen.filter(F.col("surroundings") >= SURROUNDINGS).select("entity", "term")
     both = save(per_doc.join(likely, ["entity", "term"], "left_semi").select("entity", "term", "doc_id", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pii-pairs")
     of_entity = near.select("entity", "doc_id", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    terms = save(both.select("term").distinct(), "pii-terms")
     words = docs.filter(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1))).alias("term"))
-    if terms.count() <= BROADCAST_TERMS:
-        of_term = words.join(F.broadcast(terms), "term", "left_semi").groupBy("term").agg(F.count("*").alias("n_term"))
-    else:
-        of_term = words.groupBy("term").agg(F.count("*").alias("n_term")).join(terms, "term", "left_semi")
+    # counted in full before any join, so what is joined is one row for each term and not each occurrence
+    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
     told = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     whole = F.log(total / F.col("n_entity"))
     share = F.when(whole > 0, told / whole).otherwise(0.0)
