@@ -5,8 +5,8 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-PLAIN_LIMIT = 1000
-GROUPS = 64
+from answerloom import storage
+
 ROWS_PER_SLICE = 100_000
 
 
@@ -52,17 +52,32 @@ def _slices(df: DataFrame) -> int:
 def first_rows(df: DataFrame, n: int | None, *order: str) -> DataFrame:
     """The first ``n`` rows in an explicit order; all rows when ``n`` is None.
 
-    A plain limit sends ``n`` rows of every task to one task. A large ``n`` is
-    therefore first cut within groups of tasks.
+    No task gets ``n`` rows. The order columns alone are dealt into ranges and
+    counted by range; the row where the cut falls is looked for in its own range,
+    and the input is filtered by that row. ``order`` should tell rows apart: of rows that
+    tie at the cut, any may be kept. Nulls come first. The input is read twice, so it has to be deterministic.
     """
     if n is None:
         return df
-    if n > PLAIN_LIMIT:
-        ranks = Window.partitionBy("__group").orderBy(*order)
-        df = (
-            df.withColumn("__group", F.spark_partition_id() % GROUPS)
-            .withColumn("__rank", F.row_number().over(ranks))
-            .filter(F.col("__rank") <= n)
-            .drop("__group", "__rank")
-        )
-    return df.orderBy(*order).limit(n)
+    if n <= 0:
+        return df.limit(0)
+    spark, key = df.sparkSession, F.struct(*order)
+    ranges = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    dealt = df.select(key.alias("key")).repartitionByRange(ranges, "key").withColumn("range", F.spark_partition_id())
+    keys = storage.save(dealt, "limit-keys")
+    before = 0
+    for row in keys.groupBy("range").count().orderBy("range").collect():
+        if before + row["count"] > n:
+            break
+        before += row["count"]
+    else:
+        return df.orderBy(*order)
+    own = keys.filter(F.col("range") == row["range"])
+    # The first row that is out: whatever sorts before it is in.
+    out = own.orderBy("key").offset(n - before).limit(1).select("key").first()["key"]
+    cut = F.struct(*[F.lit(v).cast(f.dataType).alias(f.name) for v, f in zip(out, keys.schema["key"].dataType, strict=True)])
+    missing = n - before - own.filter(F.col("key") < cut).count()
+    first = df.filter(key < cut)
+    if missing:
+        first = first.unionByName(df.filter(key == cut).limit(missing))
+    return first.orderBy(*order)

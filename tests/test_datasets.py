@@ -109,13 +109,21 @@ def test_best_comments_of_rows(spark):
     assert [tuple(r) for r in answers.best_comments(df, "id").collect()] == [(1, 3, "b")]
 
 
-def test_first_rows_by_groups_of_tasks(spark, monkeypatch):
+def test_first_rows_across_ranges(spark):
     df = spark.range(5000).select((F.col("id") * 7919 % 5003).alias("v")).repartition(20)
-    expected = sorted(r.v for r in df.collect())[:300]
-    assert [r.v for r in sampling.first_rows(df, 300, "v").collect()] == expected
-    monkeypatch.setattr(sampling, "PLAIN_LIMIT", 10)
-    monkeypatch.setattr(sampling, "GROUPS", 3)
-    assert [r.v for r in sampling.first_rows(df, 300, "v").collect()] == expected
+    expected = sorted(r.v for r in df.collect())
+    for n in (0, 1, 300, 4321, 5000, 6000):
+        assert [r.v for r in sampling.first_rows(df, n, "v").collect()] == expected[:n]
+    assert "TakeOrderedAndProject" not in physical_plan(sampling.first_rows(df, 4321, "v"))
+
+
+def test_first_rows_with_nulls_and_ties(spark):
+    rows = [(None, 1), (None, 2), ("a", None), ("a", 1), ("a", 1), ("a", 1), ("b", 0)]
+    df = spark.createDataFrame(rows * 3, "s string, i int").repartition(5)
+    expected = sorted(rows * 3, key=lambda r: (r[0] is not None, r[0] or "", r[1] is not None, r[1] or 0))
+    for n in (1, 4, 7, 11, 18, 21, 30):
+        assert [tuple(r) for r in sampling.first_rows(df, n, "s", "i").collect()] == expected[:n]
+    assert sampling.first_rows(df.filter("false"), 3, "s").count() == 0
 
 
 @pytest.mark.parametrize("slices", [1, 7, 1000])
