@@ -32,7 +32,7 @@ def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
 
 @query
 def op1_token_counts(spark, sf_dir):
-    return token_counts.token_counts(table(spark, sf_dir, "documents"), VOCABULARY)
+    return token_counts.piece_counts(table(spark, sf_dir, "documents"), VOCABULARY)
 
 
 @query

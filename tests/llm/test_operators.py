@@ -113,6 +113,32 @@ def test_token_counts_agree_with_a_library(spark):
         assert r["n_tokens"] == len(library.encode(texts[r["doc_id"]]).ids)
 
 
+def test_token_counts_with_the_whole_vocabulary(spark):
+    from sentencepiece import SentencePieceProcessor
+
+    model = SentencePieceProcessor(model_file=queries.VOCABULARY)
+    pieces = {model.id_to_piece(i) for i in range(3, model.get_piece_size()) if not model.is_byte(i)}
+    longest = max(map(len, pieces))
+
+    def plain(word):
+        at, n, marked = 0, 0, "▁" + word
+        while at < len(marked):
+            fit = next((k for k in range(min(longest, len(marked) - at), 0, -1) if marked[at : at + k] in pieces), 0)
+            at, n = at + max(fit, 1), n + (1 if fit else len(marked[at].encode()))
+        return n
+
+    assert (plain("2024"), plain("🧿")) == (5, 5)
+    odd = ["2024", "🧿", "a🧿b", "🧿🧿2", "日本語日本語", "ñandú", "a▁b", "\x01", "ßß", "\u0378x", "", None, "2024 🧿 the"]
+    texts = {-i: t for i, t in enumerate(odd, 1)}
+    docs = spark.createDataFrame(list(texts.items()), "doc_id bigint, text string")
+    given = spark.read.parquet(f"{SF}/documents.parquet").select("doc_id", "text")
+    texts |= {r["doc_id"]: r["text"] for r in rows_of(given)}
+    made = rows_of(token_counts.piece_counts(docs.union(given), queries.VOCABULARY)) + rows_of(queries.QUERIES["op1_token_counts"](spark, SF))
+    for r in made:
+        words = WORD.findall(texts[r["doc_id"]] or "")
+        assert (r["n_words"], r["n_tokens"], r["n_unknown"]) == (len(words), sum(map(plain, words)), 0)
+
+
 def test_leaks_exact_edited_and_clean(spark):
     rng = np.random.default_rng(2)
     word = lambda: "".join(rng.choice(list("abcdefgh"), 4))
