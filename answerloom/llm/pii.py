@@ -1,9 +1,10 @@
 """Personal data, and terms that give it away (operator 10); DataFrame functions only.
 
-Patterns find protected entities: addresses, numbers. For the words near an
-entity the corpus tells how strongly they reveal it: the pointwise mutual
+Patterns find protected entities: addresses, numbers. For the words of the
+documents with an entity the corpus tells how strongly they reveal it: the pointwise mutual
 information of word and entity, as a share of the information of the entity
-itself. Words above a limit are generalised to a mark of their kind, and entities are replaced.
+itself. Words above a limit are generalised to a mark of their kind, wherever
+they stand in a document with the entity, and entities are replaced.
 """
 
 from __future__ import annotations
@@ -27,12 +28,11 @@ PATTERNS = {
 #: What a text has to contain for a kind, looked for first.
 NEEDS = {"email": "@", "ip": ".", "card": "", "phone": "+"}
 
-#: Code points on either side of an entity whose whole words count as near.
-NEAR = 48
 TERM = r"[\p{L}\p{N}]{3,}"
-#: A term gives an entity away if it tells so large a share of the entity's information, in so many different surroundings.
+#: A term gives an entity away if it tells so large a share of the entity's information.
 DISCLOSURE = 0.5
-SURROUNDINGS = 3
+#: Matches whose places are worked out together.
+_TOGETHER = 128
 
 
 def _lit(text: str) -> str:
@@ -42,16 +42,21 @@ def _lit(text: str) -> str:
 def located(text: str, pattern: str) -> Column:
     """array<struct<start, end, value>> of all matches in the column ``text``, in code points, end exclusive.
 
-    Matches and what lies between them are taken out; the lengths give the places.
+    Matches and what lies between them are taken out; the lengths give the places, of a
+    fixed number of matches at a time, as a list that grows one by one would be copied as often.
     """
     hits = f"regexp_extract_all({text}, {_lit('(' + pattern + ')')}, 1)"
     gaps = f"split({text}, {_lit(pattern)}, -1)"
     kind = "array<struct<start: int, end: int, value: string>>"
+    last = f"least(c * {_TOGETHER} + {_TOGETHER - 1}, size(x.h) - 1)"
+    numbers = f"sequence(0, cast(floor((size(x.h) - 1) / {_TOGETHER}) as int))"
+    lengths = f"transform({numbers}, c -> aggregate(sequence(c * {_TOGETHER}, {last}), 0, (n, i) -> n + length(x.g[i]) + length(x.h[i])))"
     return F.expr(
-        f"transform(array(struct({hits} as h, {gaps} as g)), x -> aggregate(sequence(0, size(x.h) - 1), "
-        f"named_struct('at', 0, 'out', cast(array() as {kind})), (a, i) -> named_struct("
+        f"transform(array(struct({hits} as h, {gaps} as g)), x -> transform(array({lengths}), n -> flatten(transform({numbers}, c -> "
+        f"aggregate(sequence(c * {_TOGETHER}, {last}), "
+        f"named_struct('at', aggregate(slice(n, 1, c), 0, (a, b) -> a + b), 'out', cast(array() as {kind})), (a, i) -> named_struct("
         "'at', a.at + length(x.g[i]) + length(x.h[i]), 'out', concat(a.out, array(named_struct("
-        "'start', a.at + length(x.g[i]), 'end', a.at + length(x.g[i]) + length(x.h[i]), 'value', x.h[i])))), a -> a.out))[0]"
+        "'start', a.at + length(x.g[i]), 'end', a.at + length(x.g[i]) + length(x.h[i]), 'value', x.h[i])))), a -> a.out))))[0])[0]"
     )
 
 
@@ -88,56 +93,36 @@ def base_spans(docs: DataFrame, text: str, name: str) -> DataFrame:
     return made.withColumn(name, F.concat(*[tagged(k) for k in PATTERNS])).drop(*columns.values())
 
 
-def _contexts(found: DataFrame) -> DataFrame:
-    """(doc_id, digest, entity, terms): for each find the whole words near it, with their places."""
-    span = found.filter("size(spans) > 0").select("doc_id", "digest", "text", "spans", F.explode("spans").alias("s"))
-    left = F.greatest(F.col("s.start") - NEAR, F.lit(0))
-    sides = span.select(
-        "doc_id",
-        "digest",
-        "spans",
-        F.concat("s.kind", F.lit(":"), F.lower("s.value")).alias("entity"),
-        F.explode(
-            F.array(
-                F.struct(left.alias("at"), (left > 0).alias("open_left"), F.lit(False).alias("open_right"), F.substring("text", left + 1, F.col("s.start") - left).alias("side")),
-                F.struct(F.col("s.end").alias("at"), F.lit(False).alias("open_left"), F.lit(True).alias("open_right"), F.substring("text", F.col("s.end") + 1, F.lit(NEAR)).alias("side")),
-            )
-        ).alias("c"),
-    )
-    words = sides.select("doc_id", "digest", "spans", "entity", "c.*").withColumn("words", F.when(F.col("side").rlike(TERM), located("side", TERM)))
-    cut_left = lambda w: F.col("open_left") & (w["start"] == 0)  # noqa: E731  a word that the edge may have cut
-    cut_right = lambda w: F.col("open_right") & (w["end"] == NEAR)
-    whole = F.filter("words", lambda w: ~cut_left(w) & ~cut_right(w))
-    return words.filter("words is not null").select("doc_id", "digest", "spans", "entity", "at", whole.alias("words"))
+def _holders(found: DataFrame) -> DataFrame:
+    """(doc_id, digest, text, spans, entities): the rows with finds; ``entities`` has each different one once."""
+    entity = F.transform("spans", lambda s: F.concat(s["kind"], F.lit(":"), F.lower(s["value"])))
+    return found.filter("size(spans) > 0").select("doc_id", "digest", "text", "spans", F.array_distinct(entity).alias("entities"))
 
 
-def _near_terms(contexts: DataFrame) -> DataFrame:
-    """(doc_id, digest, entity, term, start, end, around): each near word outside all finds; ``around`` are its neighbours."""
-    at = F.posexplode("words").alias("i", "w")
-    rows = contexts.select("doc_id", "digest", "spans", "entity", "at", "words", at)
+def _terms(text: str) -> Column:
+    return F.array_distinct(F.transform(F.regexp_extract_all(text, F.lit(f"({TERM})"), F.lit(1)), F.lower))
 
-    def beside(step: int) -> Column:
-        return F.coalesce(F.lower(F.get("words", F.col("i") + step)["value"]), F.lit(""))
 
-    start, end = F.col("at") + F.col("w.start"), F.col("at") + F.col("w.end")
-    outside = ~F.exists("spans", lambda s: (s["start"] < end) & (start < s["end"]))
-    return rows.filter(outside).select("doc_id", "digest", "entity", F.lower("w.value").alias("term"), start.alias("start"), end.alias("end"), F.xxhash64(beside(-1), beside(1)).alias("around"))
+def _places(holders: DataFrame) -> DataFrame:
+    """(doc_id, digest, entity, term, start, end): each word outside all finds, with each entity of its row."""
+    words = F.when(F.col("text").rlike(TERM), located("text", TERM))
+    rows = holders.select("doc_id", "digest", "spans", "entities", words.alias("words")).select("doc_id", "digest", "spans", "entities", F.explode("words").alias("w"))
+    outside = rows.filter(~F.exists("spans", lambda s: (s["start"] < F.col("w.end")) & (F.col("w.start") < s["end"])))
+    return outside.select("doc_id", "digest", F.explode("entities").alias("entity"), F.lower("w.value").alias("term"), "w.start", "w.end")
 
 
-def disclosing(near: DataFrame, docs: DataFrame, text: str) -> DataFrame:
+def disclosing(holders: DataFrame, docs: DataFrame, text: str) -> DataFrame:
     """(entity, term, disclosure) of the terms that give an entity away.
 
-    ``disclosure`` = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)) over documents.
+    ``disclosure`` = log(N n(t,e) / (n(t) n(e))) / log(N / n(e)) over the rows of ``docs``, whose whole texts count for
+    all of them. An entity found once has terms like any other.
     """
     total = docs.count()
-    per_doc = near.select("entity", "term", "around", "doc_id", "digest")
-    seen = per_doc.groupBy("entity", "term", "around").agg(F.count("*").alias("n")).groupBy("entity", "term").agg(F.count("*").alias("surroundings"))
-    likely = seen.filter(F.col("surroundings") >= SURROUNDINGS).select("entity", "term")
-    both = save(per_doc.join(likely, ["entity", "term"], "left_semi").select("entity", "term", "doc_id", "digest").distinct().groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pii-pairs")
-    of_entity = near.select("entity", "doc_id", "digest").distinct().groupBy("entity").agg(F.count("*").alias("n_entity"))
-    words = docs.filter(F.col(text).isNotNull()).select(F.explode(F.array_distinct(F.regexp_extract_all(F.lower(text), F.lit(f"({TERM})"), 1))).alias("term"))
-    # counted in full before any join, so what is joined is one row for each term and not each occurrence
-    of_term = words.groupBy("term").agg(F.count("*").alias("n_term"))
+    held = holders.select("entities", _terms("text").alias("terms")).select(F.explode("entities").alias("entity"), "terms")
+    # both are counted in full before any join, so what is joined is one row for each pair or term and not each occurrence
+    both = save(held.select("entity", F.explode("terms").alias("term")).groupBy("entity", "term").agg(F.count("*").alias("n_both")), "pii-pairs")
+    of_entity = holders.select(F.explode("entities").alias("entity")).groupBy("entity").agg(F.count("*").alias("n_entity"))
+    of_term = docs.filter(F.col(text).isNotNull()).select(F.explode(_terms(text)).alias("term")).groupBy("term").agg(F.count("*").alias("n_term"))
     told = F.log(total * F.col("n_both") / (F.col("n_term") * F.col("n_entity")))
     whole = F.log(total / F.col("n_entity"))
     share = F.when(whole > 0, told / whole).otherwise(0.0)
@@ -153,17 +138,16 @@ def found_spans(docs: DataFrame) -> DataFrame:
     """(doc_id, digest, base, spans), a row for each row of ``docs``.
 
     ``base``: finds by pattern in the whole text; ``spans``: these and the disclosing
-    terms near them, both array<struct<kind, start, end>> by kind as listed and then start, in code
+    terms in rows that hold their entity, both array<struct<kind, start, end>> by kind as listed and then start, in code
     points with the end exclusive. ``digest`` is a hash of the text. Null and empty texts have none; rows without an id and
     repeated rows are kept; other columns are not read.
     """
     texts = docs.select("doc_id", F.coalesce("text", F.lit("")).alias("text"), _digest("text").alias("digest"))
     found = base_spans(texts, "text", "spans")
     bare = F.transform("spans", lambda s: F.struct(s["kind"].alias("kind"), s["start"].alias("start"), s["end"].alias("end")))
-    sides = _contexts(found)
-    near = save(_near_terms(sides), "pii-near")
-    given = disclosing(near, docs, "text").select("entity", "term")
-    flagged = near.join(given, ["entity", "term"], "left_semi").groupBy("doc_id", "digest").agg(
+    holders = save(_holders(found), "pii-holders")
+    given = disclosing(holders, docs, "text").select("entity", "term")
+    flagged = _places(holders).join(given, ["entity", "term"], "left_semi").groupBy("doc_id", "digest").agg(
         F.array_sort(F.collect_set(F.struct(F.lit("term").alias("kind"), "start", "end"))).alias("terms")
     )
     flagged = flagged.select(F.col("doc_id").alias("flagged_id"), F.col("digest").alias("flagged_digest"), "terms")
