@@ -42,11 +42,15 @@ _PERCENT = re.compile(r"(?:%[0-9A-Fa-f]{2})+")
 _ESCAPES = re.compile(r"(?:\\u[0-9A-Fa-f]{4}|\\u\{[0-9A-Fa-f]{1,6}\}|\\U[0-9A-Fa-f]{8}|\\x[0-9A-Fa-f]{2})+")
 _ESCAPE = re.compile(r"\\[uUx]\{?([0-9A-Fa-f]+)\}?")
 _BASE64 = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}={0,2}")
+#: The same over line breaks, as mail and key files wrap it.
+_WRAPPED = re.compile(r"(?<![A-Za-z0-9+/_-])[A-Za-z0-9+/_-]{16,}(?:\r?\n[\x20\t]*[A-Za-z0-9+/_][A-Za-z0-9+/_-]*)+={0,2}")
+_PACKED = re.compile(rb"\x1f\x8b\x08|BZh[1-9]|\xfd7zXZ\x00|\x78[\x01\x5e\x9c\xda]")
+_PACKED_TEXT = re.compile("(?:\x1f\x8b\x08|BZh[1-9]1AY|\xfd7zXZ\x00|x[\x01\x9c\xda])[\x00-\xff]*")
 _SURROGATES = re.compile("[\ud800-\udbff][\udc00-\udfff]")
 _LOWERED = ("passw", "secret", "token", "api")
 
-#: Bytes that one compressed layer may unpack to; a larger one is left closed, in whole.
-LAYER_BYTES = 1 << 24
+#: Unpacked bytes that are held at a time; a larger layer is scanned in pieces that overlap.
+LAYER_BYTES, OVERLAP = 1 << 24, 1 << 16
 
 
 def base_spans(text: str) -> list[tuple[str, int, int]]:
@@ -61,52 +65,64 @@ def base_spans(text: str) -> list[tuple[str, int, int]]:
     return found
 
 
-def _as_text(data: bytes) -> str | None:
-    """Bytes as text, where they are UTF-8 without control characters."""
-    try:
-        text = data.decode()
-    except UnicodeDecodeError:
-        return None
-    return None if any(c < " " and c not in "\t\n\r\f\v" or c == "\x7f" for c in text) else text
-
-
-def _unpacked(data: bytes) -> bytes | None:
-    """The content of gzip, zlib, bzip2 or xz bytes, unless it is damaged or too large."""
-    opened = None
-    if data[:2] == b"\x1f\x8b":
-        opened = zlib.decompressobj(31)
-    elif len(data) > 2 and data[0] & 15 == 8 and int.from_bytes(data[:2], "big") % 31 == 0:
-        opened = zlib.decompressobj()
-    elif data[:3] == b"BZh":
-        opened = bz2.BZ2Decompressor()
-    elif data[:6] == b"\xfd7zXZ\x00":
-        opened = lzma.LZMADecompressor(memlimit=1 << 27)
-    if opened is None:
-        return None
-    try:
-        out = opened.decompress(data, LAYER_BYTES + 1)
-    except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
-        return None
-    return out if opened.eof and len(out) <= LAYER_BYTES else None
-
-
-def _of_bytes(data: bytes) -> str | None:
-    seen = set()
-    while (inner := _unpacked(data)) is not None:
-        if (digest := hashlib.sha256(inner).digest()) in seen:
-            return None
+def _opened(data: memoryview):
+    head = bytes(data[:6])
+    if head[:2] == b"\x1f\x8b":
+        return zlib.decompressobj(31)
+    if len(head) > 2 and head[0] & 15 == 8 and int.from_bytes(head[:2], "big") % 31 == 0:
+        return zlib.decompressobj()
+    if head[:3] == b"BZh":
+        return bz2.BZ2Decompressor()
+    return lzma.LZMADecompressor(memlimit=1 << 27) if head == b"\xfd7zXZ\x00" else None
+
+
+def _unpacked(data: memoryview) -> Iterator[bytes]:
+    """The content of all members of gzip, zlib, bzip2 or xz bytes, in pieces; of damaged ones what comes before the damage."""
+    held, new = b"", False
+    while len(data) and (opened := _opened(data)) is not None:
+        try:
+            while not opened.eof:
+                out = opened.decompress(data, LAYER_BYTES)
+                data = getattr(opened, "unconsumed_tail", b"")
+                held, new = held + out, new or bool(out)
+                if len(held) > LAYER_BYTES:
+                    yield held
+                    held, new = held[-OVERLAP:], False
+                if not out and not opened.eof and not data:
+                    break
+        except (zlib.error, OSError, ValueError, EOFError, lzma.LZMAError):
+            break
+        data = memoryview(opened.unused_data)
+    if new:
+        yield held
+
+
+def _of_bytes(data: bytes) -> Iterator[str]:
+    """Bytes as text, with marks for what is no UTF-8, and the content of all that is packed in them."""
+    seen, waiting = set(), [iter([data])]
+    while waiting:
+        if (data := next(waiting[-1], None)) is None:
+            waiting.pop()
+            continue
+        if (digest := hashlib.sha256(data).digest()) in seen:
+            continue
         seen.add(digest)
-        data = inner
-    return _as_text(data)
+        yield data.decode(errors="replace")
+        view = memoryview(data)
+        starts = {m.start() for m in _PACKED.finditer(data)} | {0}
+        waiting += [_unpacked(view[at:]) for at in sorted(starts)]
 
 
-def _of_base64(run: str) -> str | None:
-    body = run.rstrip("=").replace("-", "+").replace("_", "/")
-    try:
-        data = base64.b64decode(body + "=" * (-len(body) % 4), validate=True)
-    except (binascii.Error, ValueError):
-        return None
-    return _of_bytes(data)
+def _of_base64(run: str) -> Iterator[str]:
+    """What the run encodes, from each of its first four characters on, as its true beginning may be glued to others."""
+    body = "".join(run.split()).rstrip("=").replace("-", "+").replace("_", "/")
+    for skipped in range(4):
+        part = body[skipped:]
+        part = part[: len(part) - (len(part) % 4 == 1)]
+        try:
+            yield from _of_bytes(base64.b64decode(part + "=" * (-len(part) % 4), validate=True))
+        except (binascii.Error, ValueError):
+            continue
 
 
 #: A layer: its text, and for each character where it starts and ends in the document; None: as the document itself.
@@ -177,9 +193,16 @@ def layers(text: str) -> Iterator[tuple[str, _Places]]:
         for mark, pattern, decoded in (("%", _PERCENT, _percent_run), ("\\", _ESCAPES, _escape_run)):
             if mark in layer and (runs := [(*m.span(), decoded(m)) for m in pattern.finditer(layer)]):
                 yield from new(*_replaced(layer, places, runs))
-        for m in _BASE64.finditer(layer):
-            if inner := _of_base64(m[0]):
+        for m in _PERCENT.finditer(layer) if "%" in layer else ():
+            for inner in _of_bytes(bytes.fromhex(m[0].replace("%", ""))):
+                yield from new(inner, [_carrier(places, *m.span())] * len(inner))
+        for m in _PACKED_TEXT.finditer(layer):
+            for inner in _of_bytes(m[0].encode("latin-1")):
                 yield from new(inner, [_carrier(places, *m.span())] * len(inner))
+        for pattern in (_BASE64, _WRAPPED):
+            for m in pattern.finditer(layer):
+                for inner in _of_base64(m[0]):
+                    yield from new(inner, [_carrier(places, *m.span())] * len(inner))
 
 
 def all_spans(text: str) -> tuple[list[tuple[str, int, int]], list[tuple[str, int, int]]]:

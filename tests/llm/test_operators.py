@@ -329,3 +329,17 @@ def test_terms_of_rare_entities_at_every_place(spark):
         assert [s for s in found[i] if s[0] == "term"] == marked
     assert [rows[150][1][a:b] for k, a, b in found[1000] if k == "term"] == ["Zaphod", "ZAPHOD"]
     assert sum(k == "term" for k, _, _ in found[1001]) == sum(k == "term" for k, _, _ in found[1002]) == 1
+
+
+def test_secrets_in_wrapped_glued_large_and_dirty_layers(monkeypatch):
+    inner = b"password=hunter2secret"
+    noise = bytes(np.random.default_rng(9).integers(97, 123, 300, dtype=np.uint8))
+    b64 = lambda data: base64.b64encode(data).decode()
+    wrapped = base64.encodebytes(gzip.compress(noise + b" " + inner)).decode()
+    assert ("assign", 4, 4 + len(wrapped.rstrip())) in secrets.all_spans(f"see\n{wrapped}")[1]
+    monkeypatch.setattr(secrets, "LAYER_BYTES", 1 << 18)
+    large = gzip.compress(b"a b " * 200_000 + inner)
+    carriers = ["https://x.com/d/" + b64(inner), "backup-" + b64(gzip.compress(inner)), b64(large), b64(gzip.compress(b"first") + gzip.compress(inner)), b64(b"\x00\xff " + inner)]
+    carriers += ["".join(f"\\x{b:02x}" for b in gzip.compress(inner)), "".join(f"%{b:02X}" for b in gzip.compress(inner))]
+    for carrier in carriers:
+        assert "assign" in {s[0] for s in secrets.all_spans(f"x {carrier} y")[1]}, carrier[:40]
