@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import chats, fingerprints, jaccard_join, language, leaks, mixing, pii, secrets, token_counts, toxicity
+from answerloom.llm import chats, fingerprints, jaccard_join, language, leaks, mixing, pii, secrets, token_counts, toxicity, url_filters
 from answerloom.llm.batches import held_out
 from answerloom.session import ship_package
 
@@ -100,6 +100,23 @@ def op10_pii(spark, sf_dir):
     return rows.select("doc_id", *counted("base", pii.KINDS[:4]), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
+#: The rules of the filter, as (host, path, verdict).
+URL_RULES = [
+    ("com", "/", "allow"),
+    ("example.com", "/en/", "block"),
+    ("www.example.com", "/en/", "allow"),
+    ("net", "/es/", "block"),
+    ("net", "/fr/", "block"),
+]
+
+
+@query
+def op12_url_filters(spark, sf_dir):
+    rules = url_filters.build(spark.createDataFrame(URL_RULES, "host string, path string, verdict string"))
+    rows = url_filters.judged(table(spark, sf_dir, "pages").select("page_id", "url"), rules)
+    return rows.select("page_id", "filtered.*")
+
+
 SQL["op6_chats"] = r"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, role, text,
                   md5(concat(role, '|', text)) AS own FROM conversations),
@@ -122,3 +139,13 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
      e AS (SELECT a, b FROM l UNION ALL SELECT b, a FROM l),
      r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.root)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
+
+SQL["op12_url_filters"] = r"""
+WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
+                               ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
+     rest AS (SELECT page_id, url, CASE WHEN strpos(url, '://') > 0 THEN substr(url, strpos(url, '://') + 3) ELSE '' END AS r FROM pages),
+     cut AS (SELECT page_id, url, translate(regexp_extract(r, '^([^/?#]*)([^?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                    regexp_extract(r, '^([^/?#]*)([^?#]*)', 2) AS path, row_number() OVER () AS row FROM rest),
+     fits AS (SELECT row, arg_max(h || p, length(h || p)) AS rule, arg_max(v, length(h || p)) AS v FROM cut JOIN rules
+              ON (host = h OR ends_with(host, '.' || h)) AND starts_with(path, p) GROUP BY row)
+SELECT page_id, host, path, rule, coalesce(v, 'allow') AS verdict FROM cut LEFT JOIN fits USING (row)"""

@@ -73,7 +73,7 @@ def test_stages_with_odd_rows(spark, odd, number, tmp_path):
 @pytest.mark.parametrize("name", list(queries.SQL))
 def test_sql(spark, name):
     db = duckdb.connect()
-    for table in ("documents", "conversations"):
+    for table in ("documents", "conversations", "pages"):
         db.execute(f"CREATE VIEW {table} AS SELECT * FROM '{SF}/{table}.parquet'")
     made = queries.QUERIES[name](spark, SF)
     wanted = db.sql(queries.SQL[name]).to_arrow_table().to_pylist()
