@@ -7,11 +7,12 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import chats, fingerprints, jaccard_join, language, leaks, mixing, pii, secrets, token_counts, toxicity, url_filters
+from answerloom.llm import alignment, chats, fingerprints, jaccard_join, language, leaks, mixing, pii, secrets, token_counts, toxicity, url_filters
 from answerloom.llm.batches import held_out
 from answerloom.session import ship_package
 
 VOCABULARY = "/opt/tokenizers/piece_bpe_32k.model"
+BYTE_VOCABULARY = "/opt/tokenizers/byte_bpe_50k.json"
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 SQL: dict[str, str] = {}
@@ -117,6 +118,11 @@ def op12_url_filters(spark, sf_dir):
     return rows.select("page_id", "filtered.*")
 
 
+@query
+def op13_alignment(spark, sf_dir):
+    return alignment.aligned(table(spark, sf_dir, "documents"), BYTE_VOCABULARY, VOCABULARY)
+
+
 SQL["op6_chats"] = r"""
 WITH t AS (SELECT conv_id, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role, text) - 1 AS place, role, text,
                   md5(concat(role, '|', text)) AS own FROM conversations),
