@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom.llm import alignment, chats, fingerprints, jaccard_join, language, leaks, mixing, pii, secrets, token_counts, toxicity, url_filters
+from answerloom.llm import alignment, chats, fingerprints, jaccard_join, language, leaks, mixing, pii, secrets, spelling, token_counts, toxicity, url_filters
 from answerloom.llm.batches import held_out
 from answerloom.session import ship_package
 
@@ -101,6 +101,11 @@ def op10_pii(spark, sf_dir):
     return rows.select("doc_id", *counted("base", pii.KINDS[:4]), F.sha2(spans_text("base"), 256).alias("base_sha256"), spans_text("spans").alias("spans"))
 
 
+@query
+def op11_spelling(spark, sf_dir):
+    return spelling.variants(table(spark, sf_dir, "documents"))
+
+
 #: The rules of the filter, as (host, path, verdict).
 URL_RULES = [
     ("com", "/", "allow"),
