@@ -151,6 +151,27 @@ WITH RECURSIVE w AS (SELECT doc_id, regexp_extract_all(translate(coalesce(text,
      r AS (SELECT doc_id, doc_id AS root FROM documents UNION SELECT r.doc_id, e.b FROM r JOIN e ON e.a = r.root)
 SELECT r.doc_id, coalesce(any_value(n.n), 0) AS n_shingles, min(root) AS component_id FROM r LEFT JOIN n ON n.doc_id = r.doc_id GROUP BY r.doc_id"""
 
+SQL["op11_spelling"] = r"""
+WITH RECURSIVE bits(i, c, k) AS (SELECT range, range, 0 FROM range(256) UNION ALL
+       SELECT i, CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, k + 1 FROM bits WHERE k < 8),
+     crc AS (SELECT list(c ORDER BY i) AS t FROM bits WHERE k = 8),
+     found AS (SELECT doc_id, unnest(regexp_extract_all(text, '[A-Za-z\x{C0}-\x{FF}]+')) AS run FROM documents),
+     runs AS (SELECT doc_id, translate(run, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS run, count(*) AS n FROM found GROUP BY ALL),
+     bytes AS (SELECT run, n, list_concat([4294967295::BIGINT], flatten([CASE WHEN unicode(x) < 128 THEN [unicode(x)::BIGINT]
+                      ELSE [192 + unicode(x) // 64, 128 + unicode(x) % 64] END FOR x IN string_split(doc_id || ':' || run, '')])) AS b FROM runs WHERE length(run) >= 7),
+     hashed AS (SELECT run, n, xor(list_reduce(b, lambda c, x: xor(c // 256, t[xor(c % 256, x) + 1])), 4294967295) AS h FROM bytes, crc),
+     w AS (SELECT CASE WHEN h % 31 = 0 THEN substr(run, 1, h % length(run)) || substr(run, h % length(run) + 2) ELSE run END AS word, n FROM hashed),
+     v AS (SELECT word, sum(n)::BIGINT AS n FROM w WHERE length(word) >= 7 GROUP BY word HAVING sum(n) >= 2),
+     d AS (SELECT word, n, unnest([{'i': i, 'd': substr(word, 1, i - 1) || substr(word, i + 1)} FOR i IN range(1, length(word) + 1)], recursive := true) FROM v),
+     swaps AS (SELECT x.word AS a, y.word AS b FROM d x JOIN d y ON x.i = y.i AND x.d = y.d AND x.word <> y.word),
+     gaps AS (SELECT DISTINCT d.word AS a, v.word AS b FROM d JOIN v ON d.d = v.word),
+     pairs AS (SELECT a, b FROM swaps UNION ALL SELECT a, b FROM gaps UNION ALL SELECT b, a FROM gaps),
+     ranked AS (SELECT a, b, v.n AS n, row_number() OVER (PARTITION BY a ORDER BY v.n DESC, b) AS r, count(*) OVER (PARTITION BY a) AS n_near FROM pairs JOIN v ON v.word = b),
+     f AS (SELECT v.word, v.n, coalesce(n_near, 0) AS n_near, CASE WHEN ranked.n >= 10 * v.n THEN b END AS form, CASE WHEN ranked.n >= 10 * v.n THEN ranked.n END AS form_n
+           FROM v LEFT JOIN ranked ON a = v.word AND r = 1),
+     steps AS (SELECT word, word AS root, 0 AS k FROM f UNION ALL SELECT steps.word, f.form, k + 1 FROM steps JOIN f ON f.word = steps.root WHERE f.form IS NOT NULL)
+SELECT f.word, form, arg_max(root, k) AS root, n, n_near, form_n FROM f JOIN steps ON steps.word = f.word GROUP BY ALL"""
+
 SQL["op12_url_filters"] = r"""
 WITH rules(h, p, v) AS (VALUES ('com', '/', 'allow'), ('example.com', '/en/', 'block'), ('www.example.com', '/en/', 'allow'),
                                ('net', '/es/', 'block'), ('net', '/fr/', 'block')),
