@@ -11,12 +11,12 @@ from __future__ import annotations
 
 import functools
 import hashlib
-import os
+import json
 import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import accumulate
+from itertools import chain, compress
 from pathlib import Path
 
 import numpy as np
@@ -35,7 +35,7 @@ _UNIT = re.compile(r"\s*+\S++(?:[^\S ]\s*+\S++)*+(?:\s++\Z)?|\s+")
 #: Code points of a text that are cut into units together.
 STRETCH = 1 << 20
 #: Units that a task remembers, and code points of those that it does.
-REMEMBERED, SHORT = 150_000, 64
+REMEMBERED, SHORT = 400_000, 64
 #: Pairs that a task gathers before it sends them on.
 GATHERED = 500_000
 #: Pairs of one perfect hash, about, and vectors that are summed together.
@@ -51,41 +51,95 @@ def _byte_of() -> dict[str, int]:
     return {chr(b): b for b in shown} | {chr(256 + i): b for i, b in enumerate(hidden)}
 
 
+#: Fixed value: how byte-level vocabularies of this kind cut a text before they merge bytes.
+PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
+
+
+def _byte_level(file: bytes):
+    """Entries as bytes by id, and a function from a text to its ids, of a tokenizer's JSON file."""
+    import tiktoken
+
+    model, of = json.loads(file)["model"], _byte_of()
+    entries = {i: bytes(of[c] for c in entry) for entry, i in model["vocab"].items()}
+    merged = ["".join(m) if isinstance(m, list) else m.replace(" ", "") for m in model["merges"]]
+    numbers = [model["vocab"][m] for m in merged]
+    if numbers != sorted(numbers):
+        raise ValueError("the merges of the vocabulary are not in the order of its ids")
+    ranks = {entry: i for i, entry in entries.items()}
+    return entries, tiktoken.Encoding("byte-level", pat_str=PATTERN, mergeable_ranks=ranks, special_tokens={}).encode_ordinary
+
+
+def _numbers(lists: list[list[int]]) -> np.ndarray:
+    return np.fromiter(chain.from_iterable(lists), np.int64, sum(map(len, lists)))
+
+
+@dataclass(frozen=True)
+class Links:
+    """Tokens of units on end. ``last_*``: whether a token ends a group; ``n_*``: tokens of each unit; ``bounds``: where the pairs of each unit begin."""
+
+    a: np.ndarray
+    b: np.ndarray
+    last_a: np.ndarray
+    last_b: np.ndarray
+    n_a: np.ndarray
+    n_b: np.ndarray
+    pairs: np.ndarray
+    bounds: np.ndarray
+
+    def texts(self, marks: tuple[np.ndarray, ...]) -> list[str]:
+        """The groups of each unit, every one with ``;`` at its end. ``marks``: ids as text with a comma, with a bar, with a semicolon."""
+        closed_a, closed_b = np.cumsum(self.last_a), np.cumsum(self.last_b)
+        before_b = np.concatenate([[0], np.flatnonzero(self.last_b) + 1])  # B tokens of all groups before the n-th
+        through_a = np.flatnonzero(self.last_a) + 1
+        comma, bar, semicolon = marks
+        out = np.empty(len(self.a) + len(self.b), object)
+        out[np.arange(len(self.a)) + before_b[closed_a - self.last_a]] = np.where(self.last_a, bar[self.a], comma[self.a])
+        out[np.arange(len(self.b)) + through_a[closed_b - self.last_b]] = np.where(self.last_b, semicolon[self.b], comma[self.b])
+        tokens, ends = out.tolist(), [0, *np.cumsum(self.n_a + self.n_b).tolist()]
+        return ["".join(tokens[i:j]) for i, j in zip(ends, ends[1:], strict=False)]
+
+
 class Aligner:
     """A byte-level tokenizer (A) and a sentencepiece model with bytes (B)."""
 
     def __init__(self, a: bytes, b: bytes):
-        os.environ["TOKENIZERS_PARALLELISM"] = "false"
         from sentencepiece import SentencePieceProcessor
-        from tokenizers import Tokenizer
 
-        self.a = Tokenizer.from_str(a.decode())
-        self.a.encode_special_tokens = True
+        self.a_bytes, self.encode_a = _byte_level(a)
         self.b = SentencePieceProcessor(model_proto=b)
-        of = _byte_of()
-        self.a_bytes = {i: bytes(of[c] for c in entry) for entry, i in self.a.get_vocab(with_added_tokens=False).items()}
         pieces = [(i, self.b.id_to_piece(i)) for i in range(self.b.get_piece_size())]
         self.b_bytes = {i: bytes([int(p[3:5], 16)]) if self.b.is_byte(i) else p.replace("▁", " ").encode() for i, p in pieces}
-
-    def aligned(self, units: list[str]) -> list[tuple[int, int, str, list[int]] | None]:
-        """Of each unit the numbers of A and B tokens, its groups as text and the pair of each link; None if the bytes differ."""
-        firsts = self.a.encode_batch(units, add_special_tokens=False)
-        seconds = self.b.encode([u[1:] for u in units], num_threads=1)
-        return [self._one(u, a.ids, b) for u, a, b in zip(units, firsts, seconds, strict=True)]
-
-    def _one(self, unit: str, a: list[int], b: list[int]) -> tuple[int, int, str, list[int]] | None:
-        text, of_a, of_b = unit.encode(), [self.a_bytes.get(i, b"") for i in a], [self.b_bytes[i] for i in b]
-        if b"".join(of_a) != text or b"".join(of_b) != text:
-            return None
-        ends_a, ends_b = list(accumulate(map(len, of_a))), list(accumulate(map(len, of_b)))
-        groups, pairs, i, j = [], [], 0, 0
-        at_b = {end: k for k, end in enumerate(ends_b, 1)}
-        for k, end in enumerate(ends_a, 1):
-            if stop := at_b.get(end):
-                groups.append(f"{','.join(map(str, a[i:k]))}|{','.join(map(str, b[j:stop]))}")
-                pairs.append(a[k - 1] << 32 | b[stop - 1])
-                i, j = k, stop
-        return len(a), len(b), ";".join(groups), pairs
+        self.length_a, self.length_b = (np.array([len(of.get(i, b"")) for i in range(max(of) + 1)]) for of in (self.a_bytes, self.b_bytes))
+        ids = [str(i) for i in range(max(len(self.length_a), len(self.length_b)))]
+        self.marks = tuple(np.array([i + mark for i in ids], object) for mark in ",|;")
+
+    def aligned(self, units: list[str], rows) -> list:
+        """``rows`` of the links of units, by unit, with None for those whose bytes the tokens of A or B do not spell.
+
+        Units follow one another in one text for A; one that ends with white space cannot have a next.
+        """
+        made, alone = {}, [u for u in units if u[-1].isspace()]
+        for part in [[u for u in units if not u[-1].isspace()], *([u] for u in alone)]:
+            ids = self.b.encode([u[1:] for u in part], num_threads=1)
+            if b"".join(map(self.b_bytes.__getitem__, _numbers(ids).tolist())) != "".join(part).encode():
+                spelled = [b"".join(map(self.b_bytes.__getitem__, i)) == u.encode() for u, i in zip(part, ids, strict=True)]
+                part, ids = list(compress(part, spelled)), list(compress(ids, spelled))
+            if part:
+                made.update(zip(part, rows(self._linked(part, ids)), strict=True))
+        return [made.get(u) for u in units]
+
+    def _linked(self, units: list[str], ids: list[list[int]]) -> Links:
+        text = "".join(units)
+        a, b = np.array(self.encode_a(text), np.int64), _numbers(ids)
+        ends = np.cumsum([len(u) if u.isascii() else len(u.encode()) for u in units])
+        ends_a, ends_b = np.cumsum(self.length_a[a]), np.cumsum(self.length_b[b])
+        at_a, at_b = np.zeros(ends[-1] + 1, bool), np.zeros(ends[-1] + 1, bool)
+        at_a[ends_a], at_b[ends_b] = True, True
+        last_a, last_b = at_b[ends_a], at_a[ends_b]
+        n_a = np.diff(np.searchsorted(ends_a, ends, side="right"), prepend=0)
+        bounds = np.searchsorted(ends_a[last_a], ends, side="right")
+        pairs = a[last_a] << 32 | b[last_b]
+        return Links(a, b, last_a, last_b, n_a, np.array(list(map(len, ids))), pairs, np.concatenate([[0], bounds]))
 
 
 @functools.lru_cache(maxsize=2)
@@ -148,12 +202,18 @@ def _gatherer(shared):
     """Of each task the pairs of ids that are linked in its texts, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = _Remembered(_aligner(*shared.value).aligned)
+        aligner = _aligner(*shared.value)
+
+        def linked(links: Links) -> list[tuple[int, ...]]:
+            pairs, bounds = links.pairs.tolist(), links.bounds.tolist()
+            return [tuple(pairs[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
+
+        known = _Remembered(lambda units: aligner.aligned(units, linked))
         units_of_task, pairs = Counter(), Counter()
 
         def spread() -> None:
-            for n, (_, _, _, linked) in zip(units_of_task.values(), known(list(units_of_task)), strict=True):
-                for pair in linked:
+            for n, of_unit in zip(units_of_task.values(), known(list(units_of_task)), strict=True):
+                for pair in of_unit:
                     pairs[pair] += n
             units_of_task.clear()
 
@@ -330,31 +390,26 @@ def _looker(shared, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         aligner, (ids, best) = _aligner(*shared.value), counts.value.best
 
-        def made(units: list[str]) -> list:
-            rows = aligner.aligned(units)
-            ends = np.cumsum([0, *(len(r[3]) if r else 0 for r in rows)])
-            pairs = np.array([p for r in rows if r for p in r[3]], np.int64)
-            # a pair of a text that cannot be aligned elsewhere may be unknown here, and its id too
-            found, place = counts.value.of(pairs), np.minimum(np.searchsorted(ids, pairs & _ID), max(len(ids) - 1, 0))
-            tops = (best[place] == found) if len(ids) else np.zeros(len(pairs), bool)
-            sums, n_best = np.concatenate([[0], np.cumsum(found)]), np.concatenate([[0], np.cumsum(tops)])
-            firsts, lasts = ends[:-1], ends[1:]
-            of_unit = zip(rows, (sums[lasts] - sums[firsts]).tolist(), (n_best[lasts] - n_best[firsts]).tolist(), strict=True)
-            return [(r[0], r[1], len(r[3]), n, total, r[2]) if r else None for r, total, n in of_unit]
-
-        known = _Remembered(made)
+        def counted(links: Links) -> list[tuple]:
+            # a pair of a text that counts for nothing may be unknown, and its B id too
+            found, place = counts.value.of(links.pairs), np.searchsorted(ids, links.pairs & _ID)
+            tops = np.concatenate([best, [-1]])[np.minimum(place, len(ids))] == found
+            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[links.bounds]).tolist() for x in (tops, found)]
+            return list(zip(links.n_a.tolist(), links.n_b.tolist(), np.diff(links.bounds).tolist(), *sums, links.texts(aligner.marks), strict=True))
+
+        known = _Remembered(lambda units: aligner.aligned(units, counted))
         for batch, texts in _texts(batches, known):
             rows = []
             for lists in texts:
-                sums, digest, done = [0] * 5, hashlib.sha256(), 0
+                sums, digest, done = [0] * 5, hashlib.sha256(), False
                 for _, values in lists:
                     if None in values:
-                        done = 0
+                        done = False
                         break
                     *numbers, groups = zip(*values, strict=True)
                     sums = [s + sum(x) for s, x in zip(sums, numbers, strict=True)]
-                    digest.update((";" if done else "").encode() + ";".join(groups).encode())
-                    done += 1
+                    digest.update(b";" * done + "".join(groups)[:-1].encode())
+                    done = True
                 a, b, links, n_best, total = sums if done else [0] * 5
                 rows.append((a, b, links, links, n_best, total, digest.hexdigest() if done else ""))
             columns = [pa.array(x) for x in zip(*rows, strict=True)]
