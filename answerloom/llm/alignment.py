@@ -175,8 +175,11 @@ class _Remembered:
 
     def __call__(self, units: list[str]) -> list:
         found = list(map(self.held.get, units, [self] * len(units)))
-        for i in [i for i, x in enumerate(found) if x is self]:
-            found[i] = self.make([units[i]])[0]
+        missing = [i for i, x in enumerate(found) if x is self]
+        for low in range(0, len(missing), 10_000):
+            part = missing[low : low + 10_000]
+            for i, row in zip(part, self.make([units[i] for i in part]), strict=True):
+                found[i] = row
         return found
 
 
