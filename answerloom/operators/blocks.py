@@ -9,6 +9,10 @@ documents costs arithmetic, not a hot shuffle key.
 The query side is broadcast only in blocks below a checked size. A larger query
 set is cut into several blocks, and each block's result is written before the
 next starts, so a lost executor or driver plan never has to carry more than one.
+
+Best lists merge on two levels. A fixed share of the documents is searched first; the score of
+the last of a query's best there is a floor for the search of all. So a task emits what may be among
+the best of the whole corpus, and not ``depth`` rows for each query, however many tasks there are.
 """
 
 from __future__ import annotations
@@ -47,6 +51,14 @@ def scored_in_blocks(
     return reduce(DataFrame.unionByName, (storage.save(search(block), name) for block in blocks))
 
 
+def floors(first: DataFrame, qids: np.ndarray, depth: int) -> np.ndarray:
+    """For each query the score of the ``depth``-th of its hits in ``first`` (qid, score, raw_rank), or minus infinity. One row a query of the block."""
+    last = first.filter(F.col("raw_rank") == depth).select("qid", "score").toArrow()
+    out, order = np.full(len(qids), -np.inf), np.argsort(qids)
+    out[order[np.searchsorted(qids, last["qid"].to_numpy(), sorter=order)]] = last["score"].to_numpy()
+    return out
+
+
 class BestPerQuery:
     """The best ``depth`` documents seen so far for each query of a block.
 
@@ -55,11 +67,13 @@ class BestPerQuery:
 
     Finds wait until there are as many as there are rows in the lists, so each
     row is sorted a few times only, however small the steps are.
+
+    ``floor``: scores that the last of each query's best is known to reach; what is lower is not kept.
     """
 
-    def __init__(self, n_queries: int, depth: int, digits: int):
+    def __init__(self, n_queries: int, depth: int, digits: int, floor: np.ndarray | None = None):
         self.depth, self.digits = depth, digits
-        self.floor = np.full(n_queries, -np.inf)
+        self.floor = np.full(n_queries, -np.inf) if floor is None else floor.copy()
         self.rows = (np.empty(0, np.int64), np.empty(0, np.float64), np.empty(0, np.int64))
         self.waiting, self.n_waiting = [], 0
 
@@ -74,7 +88,11 @@ class BestPerQuery:
         if positive_only:
             wanted &= scores > 0
         query, column = np.nonzero(wanted)
-        self.waiting.append((query, np.round(scores[query, column], self.digits), doc_ids[column]))
+        self.add_pairs(query, scores[query, column], doc_ids[column])
+
+    def add_pairs(self, query: np.ndarray, scores: np.ndarray, doc_ids: np.ndarray) -> None:
+        """One score for each pair of a query's number and a document."""
+        self.waiting.append((query, np.round(scores, self.digits), doc_ids))
         self.n_waiting += len(query)
         if self.n_waiting >= max(MERGE_ROWS, len(self.rows[0])):
             self._merge()
@@ -88,7 +106,7 @@ class BestPerQuery:
         rank = np.arange(len(query)) - first[query]
         kept = rank < self.depth
         last = rank == self.depth - 1
-        self.floor[query[last]] = score[last]
+        self.floor[query[last]] = np.maximum(self.floor[query[last]], score[last])
         self.rows = (query[kept], score[kept], doc[kept])
 
     def batches(self, qids: np.ndarray) -> Iterator[pa.RecordBatch]:

@@ -1,34 +1,46 @@
-"""TF-IDF index and exact sparse nearest neighbours."""
+"""TF-IDF index and exact sparse nearest neighbours.
+
+An index is a set of written tables. At a named place it also has a manifest, written last: what no manifest names is
+not part of it, so a build that broke off is never read. Documents added later come as a segment with counts of
+its own; document frequencies of segments add up, and no text is read again.
+"""
 
 from __future__ import annotations
 
-from collections.abc import Sequence
+import json
+import uuid
+from collections.abc import Iterator, Sequence
 from dataclasses import dataclass
+from functools import reduce
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from answerloom import storage
+from answerloom import files, storage
 from answerloom.functions import multisets, text
 from answerloom.functions.words import ENGLISH_STOP_WORDS
 from answerloom.operators import blocks, ranking
 
 QUERY_TERMS_PER_BLOCK = 500_000
-BROADCAST_TERMS = 1_000_000
-COMMON_TERMS = 200_000
-PRODUCTS_PER_STEP = 1 << 22
+#: Terms of one part of the dictionary.
+DICTIONARY_TERMS = 1 << 22
+#: One document in so many is searched first, for the floors.
+SAMPLE = 32
+#: Postings that a task turns round together.
+POSTINGS = 1 << 22
 
 
 @dataclass(frozen=True)
 class KeywordIndex:
-    """``documents`` (doc_id, terms, weights) and ``terms`` (term, df, idf), both written tables."""
+    """``documents`` (doc_id, terms, weights, length), ``sample``, a fixed share of them, and ``terms`` (term, df, idf), all written tables."""
 
     documents: DataFrame
+    sample: DataFrame
     terms: DataFrame
-    n_terms: int
+    n_documents: int
     stop_words: tuple[str, ...]
 
 
@@ -37,65 +49,148 @@ def term_counts(df: DataFrame, key: str, column: str, stop_words: Sequence[str])
     return df.select(key, multisets.counted(text.word_tokens(F.col(column), stop_words)).alias("counts"))
 
 
-def term_statistics(counted: DataFrame, n_documents: int) -> DataFrame:
+def term_frequency(counted: DataFrame) -> DataFrame:
+    """(term, df): in how many documents each term is."""
+    return counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
+
+
+def with_idf(frequency: DataFrame, n_documents: int) -> DataFrame:
     """Document frequency and smoothed inverse document frequency: (term, df, idf)."""
-    frequency = counted.select(F.explode("counts.term").alias("term")).groupBy("term").agg(F.count("*").alias("df"))
     return frequency.withColumn("idf", F.log((F.lit(1.0) + n_documents) / (F.lit(1.0) + F.col("df"))) + 1.0)
 
 
-def weighted(counted: DataFrame, key: str, terms: DataFrame, n_terms: int) -> DataFrame:
-    """(key, term, weight) with weight = count times idf. Terms without an idf drop out.
+def dictionary(terms: DataFrame) -> tuple[tuple[str, ...], int, int]:
+    """The idf of every term in flat files that tasks map: sorted 64-bit digests and, beside them, the values.
 
-    A vocabulary of checked size is broadcast. A larger one is split: the most
-    common terms, a fixed number of them, are broadcast, and only the rare rest
-    is shuffled by term, so that no term makes a hot key.
+    Returns their names, the number of parts and the seed of the digests: the first with which no two terms have the
+    same, so that a digest stands for its term exactly.
+    """
+    parts, seed = terms.count() // DICTIONARY_TERMS + 1, 0
+    while True:
+        digest = F.xxhash64(F.lit(seed), "term")
+        rows = terms.select(digest.alias("digest"), "idf").repartition(parts, F.pmod("digest", F.lit(parts))).sortWithinPartitions("digest")
+        made = storage.save(rows.mapInArrow(_dictionary_parts(parts), "blob binary, clashes bigint"), "dictionary")
+        if not made.agg(F.sum("clashes")).first()[0]:
+            return tuple(files.handed_out(made, "dictionary-files")), parts, seed
+        seed += 1
+
+
+def _dictionary_parts(parts: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        held = [b for b in batches if b.num_rows]
+        if not held:
+            return
+        table = pa.Table.from_batches(held)
+        digests, idf = table["digest"].to_numpy(), table["idf"].to_numpy()
+        of = np.mod(digests, parts)
+        for part in np.unique(of):
+            own = of == part
+            blob = files.packed(np.array([part]), digests[own], idf[own])
+            clashes = int((np.diff(digests[own]) == 0).sum())
+            yield pa.RecordBatch.from_arrays([pa.array([blob], pa.binary()), pa.array([clashes])], ["blob", "clashes"])
+
+    return run
+
+
+def unit_rows(counted: DataFrame, key: str, terms: DataFrame) -> DataFrame:
+    """(key, terms, weights, length): count times idf of each term, scaled to length one. Every term has to be in ``terms``.
+
+    The idf is looked up inside the row: postings are neither exploded nor shuffled, whatever the size of the vocabulary. Rows
+    without a term are left out.
     """
-    postings = counted.select(key, F.inline("counts"))
-    idf = terms.select("term", "df", "idf")
-
-    def product(joined: DataFrame) -> DataFrame:
-        return joined.select(key, "term", (F.col("n") * F.col("idf")).alias("weight"))
-
-    if n_terms <= BROADCAST_TERMS:
-        return product(postings.join(F.broadcast(idf), "term"))
-    common = storage.save(idf.orderBy(F.desc("df"), "term").limit(COMMON_TERMS), "common-terms")
-    marked = postings.join(F.broadcast(common), "term", "left")
-    rare = marked.filter(F.col("idf").isNull()).select(key, "term", "n")
-    return product(marked.filter(F.col("idf").isNotNull())).unionByName(product(rare.join(idf, "term")))
-
-
-def unit_rows(weights: DataFrame, key: str) -> DataFrame:
-    """One row per key, (key, terms, weights, length), with weights scaled to length one."""
-    return (
-        weights.groupBy(key)
-        .agg(
-            F.collect_list(F.struct("term", "weight")).alias("pairs"),
-            F.sqrt(F.sum(F.col("weight") * F.col("weight"))).alias("length"),
-        )
-        .select(
-            key,
-            F.transform("pairs", lambda p: p.term).alias("terms"),
-            F.transform("pairs", lambda p: p.weight / F.col("length")).alias("weights"),
-            "length",
-        )
-    )
+    names, parts, seed = dictionary(terms)
+
+    @F.arrow_udf("struct<weights: array<double>, length: double>")
+    def weigh(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+        held = {int(b[0].view(np.int64)[0]): (b[1].view(np.int64), b[2].view(np.float64)) for name in names for b in files.mapped(name)}
+        for digests, counts in batches:
+            wanted, weights = digests.flatten().to_numpy(), counts.flatten().to_numpy().astype(np.float64)
+            of = np.mod(wanted, parts)
+            for part, (known, idf) in held.items():
+                own = np.flatnonzero(of == part)
+                weights[own] *= idf[np.searchsorted(known, wanted[own])]
+            sizes = pc.list_value_length(digests).to_numpy(zero_copy_only=False)
+            row = np.repeat(np.arange(len(sizes)), sizes)
+            length = np.sqrt(np.bincount(row, weights * weights, minlength=len(sizes)))
+            offsets = pa.array(np.concatenate([[0], np.cumsum(sizes)]), pa.int32())
+            lists = pa.ListArray.from_arrays(offsets, pa.array(weights / length[row]))
+            yield pa.StructArray.from_arrays([lists, pa.array(length)], ["weights", "length"])
+
+    full = counted.filter(F.size("counts") > 0)
+    digests = F.transform("counts", lambda c: F.xxhash64(F.lit(seed), c.term))
+    made = full.select(key, F.transform("counts", lambda c: c.term).alias("terms"), weigh(digests, F.transform("counts", lambda c: c.n)).alias("unit"))
+    return made.select(key, "terms", "unit.weights", "unit.length")
+
+
+def _indexed(counted: DataFrame, frequency: DataFrame, n_documents: int, stop_words: Sequence[str], at) -> KeywordIndex:
+    terms = storage.save(with_idf(frequency, n_documents), "terms", at("terms"))
+    documents = storage.save(unit_rows(counted, "doc_id", terms), "documents", at("documents"))
+    first = documents.filter(F.pmod(F.xxhash64("doc_id"), F.lit(SAMPLE)) == 0)
+    return KeywordIndex(documents, storage.save(first, "sample", at("sample")), terms, n_documents, tuple(stop_words))
 
 
 def build(
     corpus: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, location: str | None = None
 ) -> KeywordIndex:
-    """Index a corpus (doc_id, text) and write the index.
+    """Index a corpus (doc_id, text) and write the index; at a ``location`` it can be opened and added to.
 
     The texts are not shuffled. One shuffle counts the documents per term, with
-    map-side sums; a second one brings the weights of a document together.
+    map-side sums; weights are made inside the row.
+    """
+    spark = corpus.sparkSession
+    if location and _versions(spark, location):
+        raise FileExistsError(f"there is an index at {location}")
+    return _extended(spark, corpus, tuple(stop_words), location, None)
+
+
+def add(corpus: DataFrame, location: str) -> KeywordIndex:
+    """Index more documents (doc_id, text) into the index at ``location``; their ids have to be new.
+
+    Only their texts are read. Frequencies are added up by term, and the weights of all documents follow from the written counts, in one pass without a
+    shuffle. A new version of the index begins with its manifest; open indexes go on reading theirs.
     """
-    at = {name: f"{location}/{name}" if location else None for name in ("counts", "terms", "documents")}
-    counted = storage.save(term_counts(corpus, "doc_id", "text", stop_words), "term-counts", at["counts"])
-    terms = storage.save(term_statistics(counted, counted.count()), "terms", at["terms"])
-    n_terms = terms.count()
-    rows = unit_rows(weighted(counted, "doc_id", terms, n_terms), "doc_id")
-    documents = storage.save(rows, "documents", at["documents"])
-    return KeywordIndex(documents, terms, n_terms, tuple(stop_words))
+    spark = corpus.sparkSession
+    manifest = _manifest(spark, location)
+    return _extended(spark, corpus, tuple(manifest["stop_words"]), location, manifest)
+
+
+def _extended(spark: SparkSession, corpus: DataFrame, stop_words: tuple[str, ...], location: str | None, manifest: dict | None) -> KeywordIndex:
+    segment, version = uuid.uuid4().hex, (manifest["version"] if manifest else 0) + 1
+    of_segment = f"{location}/segments/{segment}" if location else None
+    counted = storage.save(term_counts(corpus, "doc_id", "text", stop_words), "term-counts", of_segment)
+    segments, n_documents, frequency = [segment], counted.count(), term_frequency(counted)
+    if manifest:
+        earlier = reduce(DataFrame.unionByName, (spark.read.parquet(f"{location}/segments/{s}") for s in manifest["segments"]))
+        if not counted.join(earlier.select("doc_id"), "doc_id", "left_semi").isEmpty():
+            raise ValueError("documents of these ids are in the index")
+        known = spark.read.parquet(f"{location}/{manifest['tables']}/terms").select("term", "df")
+        frequency = frequency.unionByName(known).groupBy("term").agg(F.sum("df").alias("df"))
+        segments, n_documents, counted = [*manifest["segments"], segment], n_documents + manifest["n_documents"], earlier.unionByName(counted)
+    tables = f"versions/{version}-{segment}"
+    index = _indexed(counted, frequency, n_documents, stop_words, lambda name: f"{location}/{tables}/{name}" if location else None)
+    if location:
+        made = {"version": version, "segments": segments, "tables": tables, "n_documents": n_documents, "stop_words": stop_words}
+        storage.commit(spark, f"{location}/manifests/{version:08d}.json", json.dumps(made))
+    return index
+
+
+def _versions(spark: SparkSession, location: str) -> list[int]:
+    return [int(name.removesuffix(".json")) for name in storage.file_names(spark, f"{location}/manifests")]
+
+
+def _manifest(spark: SparkSession, location: str, version: int | None = None) -> dict:
+    versions = _versions(spark, location)
+    if not versions or version not in (None, *versions):
+        raise FileNotFoundError(f"no index at {location}, or not this version")
+    path = f"{location}/manifests/{version or max(versions):08d}.json"
+    return json.loads(spark.read.text(path, wholetext=True).first().value)
+
+
+def open_index(spark: SparkSession, location: str, version: int | None = None) -> KeywordIndex:
+    """The index at ``location`` as its last manifest names it, or that of an earlier ``version``. Nothing is computed."""
+    manifest = _manifest(spark, location, version)
+    documents, sample, terms = (spark.read.parquet(f"{location}/{manifest['tables']}/{name}") for name in ("documents", "sample", "terms"))
+    return KeywordIndex(documents, sample, terms, manifest["n_documents"], tuple(manifest["stop_words"]))
 
 
 def query_vectors(queries: DataFrame, index: KeywordIndex) -> DataFrame:
@@ -109,10 +204,12 @@ def query_vectors(queries: DataFrame, index: KeywordIndex) -> DataFrame:
     postings = counted.select("qid", F.inline("counts"))
     if size <= QUERY_TERMS_PER_BLOCK:
         postings = F.broadcast(postings)
-    weights = index.terms.select("term", "idf").join(postings, "term").select(
-        "qid", "term", (F.col("n") * F.col("idf")).alias("weight")
-    )
-    return storage.save(unit_rows(weights, "qid").select("qid", "terms", "weights"), "query-vectors")
+    pair = F.struct("term", (F.col("n") * F.col("idf")).alias("weight"))
+    known = index.terms.select("term", "idf").join(postings, "term").groupBy("qid").agg(F.collect_list(pair).alias("pairs"))
+    length = F.sqrt(F.aggregate("pairs", F.lit(0.0), lambda a, p: a + p.weight * p.weight))
+    weights = F.transform("pairs", lambda p: p.weight / F.col("length"))
+    rows = known.withColumn("length", length).select("qid", F.col("pairs.term").alias("terms"), weights.alias("weights"))
+    return storage.save(rows, "query-vectors")
 
 
 def nearest(
@@ -133,59 +230,105 @@ def nearest(
         table = block.toArrow().combine_chunks()
         if not table.num_rows:
             return block.sparkSession.createDataFrame([], blocks.HITS)
-        shared = block.sparkSession.sparkContext.broadcast(_by_term(table))
-        return index.documents.select("doc_id", "terms", "weights").mapInArrow(
-            _scorer(shared, depth, digits), blocks.HITS
-        )
+        asked, context = QueryBlock(table), block.sparkSession.sparkContext
+
+        def scored(documents: DataFrame, floor: np.ndarray | None) -> DataFrame:
+            shared = context.broadcast((asked, floor))
+            return documents.select("doc_id", "terms", "weights").mapInArrow(_scorer(shared, depth, digits), blocks.HITS)
+
+        first = ranking.top(scored(index.sample, None), depth)
+        return scored(index.documents, blocks.floors(first, asked.qids, depth))
 
     hits = blocks.scored_in_blocks(blocks.query_blocks(vectors, size, block_terms, n_queries), search, "keyword-hits")
     return ranking.top(hits, depth)
 
 
-def _by_term(table: pa.Table):
-    """A block of query rows turned round: for each term the queries that use it."""
-    terms = table["terms"].combine_chunks()
-    query = np.repeat(np.arange(table.num_rows), pc.list_value_length(terms).to_numpy(zero_copy_only=False))
-    encoded = terms.flatten().dictionary_encode()
-    code = encoded.indices.to_numpy(zero_copy_only=False)
-    order = np.argsort(code, kind="stable")
-    starts = np.searchsorted(code[order], np.arange(len(encoded.dictionary) + 1))
-    weight = table["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
-    return table["qid"].to_numpy(), encoded.dictionary, starts, query[order], weight[order]
+class QueryBlock:
+    """Query rows: ``codes`` and ``weights`` of the terms of query i are those from ``starts[i]`` on; ``vocabulary`` has the terms by code."""
+
+    def __init__(self, table: pa.Table):
+        terms = table["terms"].combine_chunks()
+        encoded = terms.flatten().dictionary_encode()
+        self.qids = table["qid"].to_numpy()
+        self.vocabulary = encoded.dictionary
+        self.codes = encoded.indices.to_numpy(zero_copy_only=False).astype(np.int64)
+        self.weights = table["weights"].combine_chunks().flatten().to_numpy(zero_copy_only=False)
+        self.starts = np.concatenate([[0], np.cumsum(pc.list_value_length(terms).to_numpy(zero_copy_only=False))])
+
+
+class Postings:
+    """A block of documents turned round, for the terms of a query block: by term and then document, with the largest weight of each term.
+
+    ``scored`` counts the pairs of a query and a document whose whole score was worked out.
+    """
+
+    def __init__(self, part: pa.RecordBatch, asked: QueryBlock):
+        self.doc_ids, self.asked, self.scored = part.column("doc_id").to_numpy(zero_copy_only=False), asked, 0
+        terms = part.column("terms")
+        code = pc.index_in(terms.flatten(), value_set=asked.vocabulary)
+        known = pc.is_valid(code).to_numpy(zero_copy_only=False)
+        lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
+        document = np.repeat(np.arange(len(self.doc_ids)), lengths)[known]
+        key = code.drop_null().to_numpy(zero_copy_only=False).astype(np.int64) * len(self.doc_ids) + document
+        order = np.argsort(key)
+        self.key = key[order]
+        self.weights = part.column("weights").flatten().to_numpy(zero_copy_only=False)[known][order]
+        self.starts = np.searchsorted(self.key, np.arange(len(asked.vocabulary) + 1) * len(self.doc_ids))
+        self.largest = np.zeros(len(asked.vocabulary))
+        full = np.flatnonzero(np.diff(self.starts))
+        if len(full):
+            self.largest[full] = np.maximum.reduceat(self.weights, self.starts[full])
+
+    def search(self, best: blocks.BestPerQuery) -> None:
+        """Offer ``best`` all documents whose score can reach the floor of a query.
+
+        The terms of a query are taken by the most they can add to a score here. The least of them cannot lift a document to the floor by
+        themselves, so only the postings of the others are gone through, and of the documents found there those are scored whole that
+        can still reach it.
+        """
+        asked, n = self.asked, len(self.doc_ids)
+        most = asked.weights * self.largest[asked.codes]
+        least = best.floor - 10.0**-best.digits
+        total = np.add.reduceat(most, asked.starts[:-1])
+        queries, scores, documents = [], [], []
+        for q in np.flatnonzero((total > 0) & (total >= least)).tolist():
+            own = slice(asked.starts[q], asked.starts[q + 1])
+            order = np.argsort(most[own], kind="stable")
+            bounds = np.cumsum(most[own][order])
+            few = int(np.searchsorted(bounds, least[q])) if least[q] > 0 else 0
+            codes, weights = asked.codes[own][order], asked.weights[own][order]
+            first, last = self.starts[codes[few:]], self.starts[codes[few:] + 1]
+            sizes = last - first
+            place = np.arange(sizes.sum()) + np.repeat(first - np.cumsum(sizes) + sizes, sizes)
+            found, into = np.unique(self.key[place] % n, return_inverse=True)
+            score = np.bincount(into, self.weights[place] * np.repeat(weights[few:], sizes), minlength=len(found))
+            if few:
+                kept = score + bounds[few - 1] >= least[q]
+                found, score = found[kept], score[kept]
+                keys = codes[:few, None] * n + found[None, :]
+                place = np.minimum(np.searchsorted(self.key, keys), len(self.key) - 1)
+                score = score + (weights[:few, None] * np.where(self.key[place] == keys, self.weights[place], 0.0)).sum(0)
+            self.scored += len(found)
+            kept = (score >= least[q]) & (score > 0)
+            queries.append(np.full(int(kept.sum()), q))
+            scores.append(score[kept])
+            documents.append(self.doc_ids[found[kept]])
+        if queries:
+            best.add_pairs(np.concatenate(queries), np.concatenate(scores), np.concatenate(documents))
 
 
 def _scorer(shared, depth: int, digits: int):
     def score(batches):
-        qids, vocabulary, starts, query, query_weight = shared.value
-        fan_out = np.diff(starts)
-        best = blocks.BestPerQuery(len(qids), depth, digits)
-        step = max(1, blocks.CELLS_PER_STEP // len(qids))
+        asked, floor = shared.value
+        best = blocks.BestPerQuery(len(asked.qids), depth, digits, floor)
         for batch in batches:
-            for start in range(0, batch.num_rows, step):
-                part = batch.slice(start, step)
-                doc_ids = part.column("doc_id").to_numpy(zero_copy_only=False)
-                terms = part.column("terms")
-                code = pc.index_in(terms.flatten(), value_set=vocabulary)
-                known = pc.is_valid(code).to_numpy(zero_copy_only=False)
-                code = code.drop_null().to_numpy(zero_copy_only=False)
-                lengths = pc.list_value_length(terms).to_numpy(zero_copy_only=False)
-                document = np.repeat(np.arange(len(doc_ids)), lengths)[known]
-                weight = part.column("weights").flatten().to_numpy(zero_copy_only=False)[known]
-
-                cells = np.zeros(len(qids) * len(doc_ids))
-                products = np.cumsum(fan_out[code])
-                low = 0
-                while low < len(code):
-                    done = products[low - 1] if low else 0
-                    high = max(low + 1, int(np.searchsorted(products, done + PRODUCTS_PER_STEP, "right")))
-                    times = fan_out[code[low:high]]
-                    ends = np.cumsum(times)
-                    place = np.arange(ends[-1]) + np.repeat(starts[code[low:high]] - ends + times, times)
-                    cell = query[place] * len(doc_ids) + np.repeat(document[low:high], times)
-                    product = query_weight[place] * np.repeat(weight[low:high], times)
-                    cells += np.bincount(cell, product, minlength=len(cells))
-                    low = high
-                best.add(cells.reshape(len(qids), -1), doc_ids, positive_only=True)
-        yield from best.batches(qids)
+            ends = np.cumsum(pc.list_value_length(batch.column("terms")).to_numpy(zero_copy_only=False))
+            at = 0
+            while at < batch.num_rows:
+                done = ends[at - 1] if at else 0
+                stop = max(at + 1, int(np.searchsorted(ends, done + POSTINGS, side="right")))
+                Postings(batch.slice(at, stop - at), asked).search(best)
+                at = stop
+        yield from best.batches(asked.qids)
 
     return score

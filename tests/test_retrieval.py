@@ -1,3 +1,4 @@
+import dataclasses
 import math
 import re
 
@@ -84,14 +85,56 @@ def test_several_query_blocks_give_the_same(queries, index):
     assert hits_of(keyword.nearest(queries, index, 10, block_terms=20)) == sorted(brute_force(10))
 
 
-def test_small_scoring_steps_give_the_same(spark, queries, index, monkeypatch):
-    shared = spark.sparkContext.broadcast(keyword._by_term(keyword.query_vectors(queries, index).toArrow().combine_chunks()))
+def scored_here(queries, index, depth, floor=None, parts=None):
+    """Hits of the scorer run in this process, and the pairs it scored whole."""
+    asked = keyword.QueryBlock(keyword.query_vectors(queries, index).toArrow().combine_chunks())
+    best = blocks.BestPerQuery(len(asked.qids), depth, 6, floor)
+    table, scored = index.documents.select("doc_id", "terms", "weights").orderBy("doc_id").toArrow().combine_chunks(), 0
+    for batch in table.to_batches(max_chunksize=parts):
+        postings = keyword.Postings(batch, asked)
+        postings.search(best)
+        scored += postings.scored
+    (found,) = best.batches(asked.qids)
+    return {(r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist()}, scored, asked
+
+
+@pytest.mark.parametrize("parts", [None, 40, 1])
+def test_small_blocks_of_documents_give_the_same(queries, index, parts):
+    assert scored_here(queries, index, 10, parts=parts)[0] == {e[:3] for e in brute_force(10)}
+
+
+def test_postings_are_cut_into_steps(queries, index, monkeypatch):
+    shared = type("Shared", (), {"value": (scored_here(queries, index, 10)[2], None)})
+    monkeypatch.setattr(keyword, "POSTINGS", 7)
     whole = index.documents.select("doc_id", "terms", "weights").toArrow().combine_chunks().to_batches()
-    monkeypatch.setattr(blocks, "CELLS_PER_STEP", 100)
-    monkeypatch.setattr(keyword, "PRODUCTS_PER_STEP", 7)
     (found,) = keyword._scorer(shared, 10, 6)(iter(whole))
-    got = {(r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist()}
-    assert got == {e[:3] for e in brute_force(10)}
+    assert {(r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist()} == {e[:3] for e in brute_force(10)}
+
+
+def test_documents_below_the_floor_are_not_scored(spark, monkeypatch):
+    rng = np.random.default_rng(11)
+    common = [f"c{i}" for i in range(12)]
+    rows = [(i, " ".join([*rng.choice(common, 10), *(["rare"] * (i % 50 == 0))])) for i in range(3000)]
+    built = keyword.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = spark.createDataFrame([(1, "rare c1 c2"), (2, "c3 rare rare")], "qid long, text string")
+    whole, all_pairs, block = scored_here(asked, built, 5)
+    floors = np.array([sorted(s for q, _, s in whole if q == qid)[0] for qid in block.qids.tolist()])
+    pruned, few, _ = scored_here(asked, built, 5, floor=floors)
+    assert pruned == whole and few <= 2 * 60 and all_pairs > 2 * 1500
+    assert {h[:3] for h in hits_of(keyword.nearest(asked, built, 5))} == whole
+
+
+def test_rows_sent_do_not_grow_with_tasks(spark, monkeypatch):
+    rows = [(i, random_text(5, 30)) for i in range(4000)]
+    built = keyword.build(spark.createDataFrame(rows, "doc_id long, text string"))
+    asked = spark.createDataFrame([(i, random_text(2, 6)) for i in range(20)], "qid long, text string")
+    sent = {}
+    monkeypatch.setattr(ranking, "top", lambda hits, depth, top=ranking.top: sent.update({"hits": hits}) or top(hits, depth))
+    for tasks in (64, 160):
+        spread = dataclasses.replace(built, documents=storage.save(built.documents.repartition(tasks), "spread"))
+        keyword.nearest(asked, spread, 5)
+        sent[tasks] = sent["hits"].count()
+    assert sent[64] < 64 * 20 * 5 / 4 and sent[160] <= 1.3 * sent[64]
 
 
 @pytest.mark.parametrize("merge_rows", [1, 50, 1 << 18])
@@ -113,15 +156,74 @@ def test_many_queries_are_cut_into_blocks(queries, index, monkeypatch):
     assert hits_of(keyword.nearest(queries, index, 10)) == sorted(brute_force(10))
 
 
-def test_large_vocabulary_gives_the_same_weights(docs, index, monkeypatch):
-    def weights(ix):
-        rows = ix.documents.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("w")).collect()
-        return {(r.doc_id, r.w.terms): round(r.w.weights, 9) for r in rows}
+def weights_of(ix):
+    rows = ix.documents.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("w")).collect()
+    return {(r.doc_id, r.w.terms): round(r.w.weights, 9) for r in rows}
+
+
+def test_dictionary_in_parts_gives_the_same_weights(docs, index, monkeypatch):
+    monkeypatch.setattr(keyword, "DICTIONARY_TERMS", 3)
+    assert weights_of(keyword.build(docs)) == weights_of(index)
+
+
+def test_digests_of_terms_never_clash(spark, index, monkeypatch):
+    monkeypatch.setattr(keyword.F, "xxhash64", lambda seed, term, own=F.xxhash64: own(seed, term) % 3 if seed is first else own(seed, term))
+    first = F.lit(0)
+    monkeypatch.setattr(keyword.F, "lit", lambda x, own=F.lit: first if x == 0 else own(x))
+    assert keyword.dictionary(index.terms)[2] == 1
+
+
+def test_weights_are_made_without_moving_postings(docs, index):
+    counted = keyword.term_counts(docs, "doc_id", "text", ENGLISH_STOP_WORDS)
+    plan = physical_plan(keyword.unit_rows(counted, "doc_id", index.terms))
+    assert "Exchange" not in plan and "Generate" not in plan
 
-    expected = weights(index)
-    monkeypatch.setattr(keyword, "BROADCAST_TERMS", 10)
-    monkeypatch.setattr(keyword, "COMMON_TERMS", 8)
-    assert weights(keyword.build(docs)) == expected
+
+def test_segments_equal_a_build_from_scratch(spark, docs, queries, tmp_path):
+    place = str(tmp_path / "index")
+    parts = [docs.filter(F.col("doc_id") % 3 == i) for i in range(3)]
+    with pytest.raises(FileNotFoundError):
+        keyword.open_index(spark, place)
+    keyword.build(parts[0], location=place)
+    first = hits_of(keyword.nearest(queries, keyword.open_index(spark, place), 10))
+    keyword.add(parts[1], place)
+    added = keyword.add(parts[2], place)
+    opened = keyword.open_index(spark, place)
+    assert weights_of(opened) == weights_of(added) == weights_of(keyword.build(docs))
+    assert hits_of(keyword.nearest(queries, opened, 10)) == sorted(brute_force(10))
+    assert hits_of(keyword.nearest(queries, keyword.open_index(spark, place, 1), 10)) == first != sorted(brute_force(10))
+    with pytest.raises(ValueError):
+        keyword.add(parts[1].limit(1), place)
+    with pytest.raises(FileExistsError):
+        keyword.build(docs, location=place)
+    with pytest.raises(FileNotFoundError):
+        keyword.open_index(spark, place, 9)
+    assert opened.n_documents == len(DOCS) and storage.file_names(spark, f"{place}/manifests") == [f"{v:08d}.json" for v in (1, 2, 3)]
+
+
+def test_a_build_that_broke_off_is_not_read(spark, docs, queries, tmp_path, monkeypatch):
+    place = str(tmp_path / "index")
+    keyword.build(docs.filter("doc_id < 50"), location=place)
+    before = hits_of(keyword.nearest(queries, keyword.open_index(spark, place), 10))
+
+    def broken(*args):
+        raise RuntimeError("lost")
+
+    with monkeypatch.context() as m:
+        m.setattr(storage, "commit", broken)
+        with pytest.raises(RuntimeError):
+            keyword.add(docs.filter("doc_id >= 50"), place)
+    assert hits_of(keyword.nearest(queries, keyword.open_index(spark, place), 10)) == before
+    keyword.add(docs.filter("doc_id >= 50"), place)
+    assert hits_of(keyword.nearest(queries, keyword.open_index(spark, place), 10)) == sorted(brute_force(10))
+
+
+def test_of_two_commits_one_fails(spark, tmp_path):
+    path = f"file:{tmp_path}/manifests/1.json"
+    storage.commit(spark, path, "one")
+    with pytest.raises(FileExistsError):
+        storage.commit(spark, path, "two")
+    assert (tmp_path / "manifests" / "1.json").read_text() == "one" and storage.file_names(spark, f"{tmp_path}/manifests") == ["1.json"]
 
 
 def test_empty_query_table(queries, index):
@@ -129,11 +231,6 @@ def test_empty_query_table(queries, index):
     assert keyword.nearest(queries.filter("false"), index, 5).count() == 0
 
 
-def test_index_can_be_written_to_a_place(spark, docs, tmp_path):
-    keyword.build(docs, location=str(tmp_path / "index"))
-    assert spark.read.parquet(str(tmp_path / "index" / "terms")).count() > 0
-
-
 def test_documents_are_not_shuffled(queries, index):
     plan = physical_plan(keyword.nearest(queries, index, 10))
     below = plan[plan.index("MapInArrow") :]

@@ -86,7 +86,7 @@ def keywords(spark, sf_dir):
 )
 def idf_stats(spark, sf_dir):
     counted = saved_counts(spark, sf_dir)
-    terms = keyword.term_statistics(counted, counted.count())
+    terms = keyword.with_idf(keyword.term_frequency(counted), counted.count())
     return terms.select("term", "df", F.round("idf", 6).alias("idf"))
 
 
@@ -111,6 +111,21 @@ def keyword_topk_plain(spark, sf_dir):
     return hits.select("qid", (F.col("raw_rank") - 1).alias("rank"), "doc_id", "score")
 
 
+@query(
+    "keyword_index_segments",
+    f"""WITH {BENCH}, {S.keyword_scores('bench', 'documents', 5)}
+SELECT qid, raw_rank - 1 AS rank, doc_id, score FROM kw_raw""",
+)
+def keyword_index_segments(spark, sf_dir):
+    """A stored index, built of some sources, added to, opened again and searched."""
+    place, documents = storage.new_location(spark, "keyword-index"), fixtures.documents(spark, sf_dir)
+    first = F.coalesce(F.xxhash64("source") % 2 == 0, F.lit(False))
+    keyword.build(documents.filter(first).select("doc_id", "text"), location=place)
+    keyword.add(documents.filter(~first).select("doc_id", "text"), place)
+    hits = keyword.nearest(fixtures.benchmark_queries(spark, sf_dir), keyword.open_index(spark, place), 5)
+    return hits.select("qid", (F.col("raw_rank") - 1).alias("rank"), "doc_id", "score")
+
+
 def user_hits(spark, sf_dir, **options):
     corpus, queries = fixtures.corpus(spark, sf_dir), fixtures.user_queries(spark, sf_dir)
     return retrieval.keyword_hits(queries, corpus, **options)
