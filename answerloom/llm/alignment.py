@@ -16,7 +16,7 @@ import re
 from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass
-from itertools import chain, compress
+from itertools import chain, compress, islice
 from pathlib import Path
 
 import numpy as np
@@ -24,7 +24,8 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from answerloom.llm import files, perfect_hash
+from answerloom import files
+from answerloom.llm import perfect_hash
 from answerloom.llm.batches import slices
 from answerloom.storage import save
 
@@ -35,7 +36,7 @@ _UNIT = re.compile(r"\s*+\S++(?:[^\S ]\s*+\S++)*+(?:\s++\Z)?|\s+")
 #: Code points of a text that are cut into units together.
 STRETCH = 1 << 20
 #: Units that a task remembers, and code points of those that it does.
-REMEMBERED, SHORT = 400_000, 64
+REMEMBERED, SHORT = 600_000, 64
 #: Pairs that a task gathers before it sends them on.
 GATHERED = 500_000
 #: Pairs of one perfect hash, about, and vectors that are summed together.
@@ -86,6 +87,14 @@ class Links:
     pairs: np.ndarray
     bounds: np.ndarray
 
+    @classmethod
+    def together(cls, parts: list[Links]) -> Links:
+        begins = np.cumsum([0, *(len(p.pairs) for p in parts)])
+        bounds = np.concatenate([[0], *(p.bounds[1:] + at for p, at in zip(parts, begins[:-1], strict=True))])
+        empty = [np.zeros(0, k) for k in (np.int64, np.int64, bool, bool, np.int64, np.int64, np.int64)]
+        names = ("a", "b", "last_a", "last_b", "n_a", "n_b", "pairs")
+        return cls(*(np.concatenate([none, *(getattr(p, n) for p in parts)]) for n, none in zip(names, empty, strict=True)), bounds)
+
     def texts(self, marks: tuple[np.ndarray, ...]) -> list[str]:
         """The groups of each unit, every one with ``;`` at its end. ``marks``: ids as text with a comma, with a bar, with a semicolon."""
         closed_a, closed_b = np.cumsum(self.last_a), np.cumsum(self.last_b)
@@ -113,20 +122,24 @@ class Aligner:
         ids = [str(i) for i in range(max(len(self.length_a), len(self.length_b)))]
         self.marks = tuple(np.array([i + mark for i in ids], object) for mark in ",|;")
 
-    def aligned(self, units: list[str], rows) -> list:
-        """``rows`` of the links of units, by unit, with None for those whose bytes the tokens of A or B do not spell.
+    def aligned(self, units: list[str]) -> tuple[list[str], Links]:
+        """The units in another order, and the links of the first of them; the others' bytes are not what the tokens of A or B spell.
 
         Units follow one another in one text for A; one that ends with white space cannot have a next.
         """
-        made, alone = {}, [u for u in units if u[-1].isspace()]
-        for part in [[u for u in units if not u[-1].isspace()], *([u] for u in alone)]:
+        alone = [u for u in units if u[-1].isspace()]
+        parts = [[u for u in units if not u[-1].isspace()], *([u] for u in alone)] if alone else [units]
+        made, spelled, others = [], [], []
+        for part in parts:
             ids = self.b.encode([u[1:] for u in part], num_threads=1)
-            if b"".join(map(self.b_bytes.__getitem__, _numbers(ids).tolist())) != "".join(part).encode():
-                spelled = [b"".join(map(self.b_bytes.__getitem__, i)) == u.encode() for u, i in zip(part, ids, strict=True)]
-                part, ids = list(compress(part, spelled)), list(compress(ids, spelled))
+            if b"".join(map(self.b_bytes.__getitem__, chain.from_iterable(ids))) != "".join(part).encode():
+                same = [b"".join(map(self.b_bytes.__getitem__, i)) == u.encode() for u, i in zip(part, ids, strict=True)]
+                others += [u for u, good in zip(part, same, strict=True) if not good]
+                part, ids = list(compress(part, same)), list(compress(ids, same))
             if part:
-                made.update(zip(part, rows(self._linked(part, ids)), strict=True))
-        return [made.get(u) for u in units]
+                made.append(self._linked(part, ids))
+                spelled += part
+        return spelled + others, made[0] if len(made) == 1 else Links.together(made)
 
     def _linked(self, units: list[str], ids: list[list[int]]) -> Links:
         text = "".join(units)
@@ -157,89 +170,144 @@ def unit_lists(text: str) -> Iterator[list[str]]:
         at = stop
 
 
-class _Remembered:
-    """What ``make`` gives for a list of units, of short ones remembered up to a bound."""
+class _Column:
+    """An array that grows at its end."""
+
+    def __init__(self, kind):
+        self.data, self.size = np.zeros(1024, kind), 0
+
+    def extend(self, values: np.ndarray) -> None:
+        if (need := self.size + len(values)) > len(self.data):
+            self.data = np.concatenate([self.data, np.zeros(max(need, len(self.data)), self.data.dtype)])
+        self.data[self.size : need] = values
+        self.size = need
 
-    def __init__(self, make):
-        self.make, self.held = make, {}
+    def cut(self, size: int) -> None:
+        self.size = min(self.size, size)
 
-    def learn(self, lists: list[list[str]]) -> None:
-        """Make the new short units of several lists together."""
-        used = {u for u in set().union(*lists) if len(u) <= SHORT}
-        new = list(used - self.held.keys())
-        if len(self.held) + len(new) > REMEMBERED:
-            self.held, new = {}, list(used)
-        for low in range(0, len(new), 10_000):
-            part = new[low : low + 10_000]
-            self.held.update(zip(part, self.make(part), strict=True))
+    @property
+    def values(self) -> np.ndarray:
+        return self.data[: self.size]
 
-    def __call__(self, units: list[str]) -> list:
-        found = list(map(self.held.get, units, [self] * len(units)))
-        missing = [i for i, x in enumerate(found) if x is self]
-        for low in range(0, len(missing), 10_000):
-            part = missing[low : low + 10_000]
-            for i, row in zip(part, self.make([units[i] for i in part]), strict=True):
-                found[i] = row
-        return found
 
+class _Units:
+    """Numbers for units, and what ``self.keep`` stores of each by number. Short units are remembered up to a bound, long ones until the next lists."""
 
-def _texts(batches: Iterator[pa.RecordBatch], known: _Remembered) -> Iterator[tuple[pa.RecordBatch, Iterator[Iterator[tuple[list[str], list]]]]]:
-    """Batches, and for each of their texts lists of units with what is known of them."""
+    def __init__(self, aligner: Aligner):
+        self.aligner = aligner
+        self.forget()
 
-    def of_long(text: str):
-        for units in unit_lists(text):
-            known.learn([units])
-            yield units, known(units)
+    def forget(self) -> None:
+        self.number: dict[str, int] = {}
+        self.passing: list[str] = []
+        self.spelled = _Column(bool)
 
+    def numbers(self, lists: list[list[str]]) -> np.ndarray:
+        """The numbers of all units of the lists."""
+        for unit in self.passing:
+            del self.number[unit]
+        self.cut(len(self.number))
+        used = set().union(*lists)
+        new = list(used.difference(self.number))
+        if len(self.number) + len(new) > REMEMBERED:
+            self.forget()
+            new = list(used)
+        long = [u for u in new if len(u) > SHORT]
+        short = [u for u in new if len(u) <= SHORT] if long else new
+        for part in (*(short[low : low + 10_000] for low in range(0, len(short), 10_000)), long):
+            if part:
+                units, links = self.aligner.aligned(part)
+                self.number.update(zip(units, range(len(self.number), len(self.number) + len(units)), strict=True))
+                n = len(links.n_a)
+                self.spelled.extend(np.arange(len(units)) < n)
+                self.keep(links, len(units) - n)
+        self.passing = long
+        return np.fromiter(map(self.number.__getitem__, chain.from_iterable(lists)), np.int64, sum(map(len, lists)))
+
+
+class _Pairs(_Units):
+    """How often the units occur; their pairs."""
+
+    def __init__(self, aligner: Aligner):
+        self.total: Counter = Counter()
+        self.times = None
+        super().__init__(aligner)
+
+    def forget(self) -> None:
+        if self.times is not None:
+            self.spread(0)
+        super().forget()
+        self.times, self.n_pairs, self.pairs = _Column(np.int64), _Column(np.int64), _Column(np.int64)
+
+    def cut(self, size: int) -> None:
+        self.spread(size)
+        self.pairs.cut(int(self.n_pairs.values[:size].sum()))
+        for column in (self.spelled, self.times, self.n_pairs):
+            column.cut(size)
+
+    def keep(self, links: Links, others: int) -> None:
+        self.n_pairs.extend(np.concatenate([np.diff(links.bounds), np.zeros(others, np.int64)]))
+        self.times.extend(np.zeros(len(links.n_a) + others, np.int64))
+        self.pairs.extend(links.pairs)
+
+    def count(self, numbers: np.ndarray) -> None:
+        self.times.values[:] += np.bincount(numbers, minlength=self.times.size)
+
+    def spread(self, begin: int) -> None:
+        """Count the pairs of all units from number ``begin`` on."""
+        if self.times.size > begin:
+            at = int(self.n_pairs.values[:begin].sum())
+            pairs, into = np.unique(self.pairs.values[at:], return_inverse=True)
+            n = np.zeros(len(pairs), np.int64)
+            np.add.at(n, into, np.repeat(self.times.values[begin:], self.n_pairs.values[begin:]))
+            self.total.update(dict(zip(pairs[n > 0].tolist(), n[n > 0].tolist(), strict=True)))
+            self.times.values[begin:] = 0
+
+    def sent(self) -> pa.RecordBatch:
+        columns = [pa.array(np.fromiter(x, np.int64, len(self.total))) for x in (self.total.keys(), self.total.values())]
+        self.total.clear()
+        return pa.RecordBatch.from_arrays(columns, ["pair", "n"])
+
+
+def _texts(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, Iterator[list[list[str]]]]]:
+    """Batches, and the units of their texts: of one long text a stretch at a time, of others one list each."""
     for batch in slices(batches, "text"):
         texts = [t or "" for t in batch.column("text").to_pylist()]
         if len(texts) == 1 and len(texts[0]) > STRETCH:
-            yield batch, iter([of_long(texts[0])])
-            continue
-        lists = [_UNIT.findall(" " + t) if t else [] for t in texts]
-        known.learn(lists)
-        yield batch, (iter([(units, known(units))] if units else []) for units in lists)
+            yield batch, ([units] for units in unit_lists(texts[0]))
+        else:
+            yield batch, iter([[_UNIT.findall(" " + t) if t else [] for t in texts]])
 
 
 def _gatherer(shared):
     """Of each task the pairs of ids that are linked in its texts, and how often."""
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner = _aligner(*shared.value)
-
-        def linked(links: Links) -> list[tuple[int, ...]]:
-            pairs, bounds = links.pairs.tolist(), links.bounds.tolist()
-            return [tuple(pairs[i:j]) for i, j in zip(bounds, bounds[1:], strict=False)]
-
-        known = _Remembered(lambda units: aligner.aligned(units, linked))
-        units_of_task, pairs = Counter(), Counter()
-
-        def spread() -> None:
-            for n, of_unit in zip(units_of_task.values(), known(list(units_of_task)), strict=True):
-                for pair in of_unit:
-                    pairs[pair] += n
-            units_of_task.clear()
-
-        def sent() -> pa.RecordBatch:
-            columns = [pa.array(np.fromiter(x, np.int64, len(pairs))) for x in (pairs.keys(), pairs.values())]
-            pairs.clear()
-            return pa.RecordBatch.from_arrays(columns, ["pair", "n"])
-
-        for _, texts in _texts(batches, known):
-            for lists in texts:
-                own = Counter()
-                for units, rows in lists:
-                    own.update(units)
-                    if None in rows:  # a text counts as a whole or not at all
+        known = _Pairs(_aligner(*shared.value))
+        for batch, steps in _texts(batches):
+            long, own = batch.num_rows == 1, Counter()
+            for lists in steps:
+                numbers = known.numbers(lists)
+                good = known.spelled.values[numbers]
+                if long:  # a text counts as a whole or not at all
+                    if not good.all():
                         break
-                else:
-                    units_of_task.update(own)
-                if len(units_of_task) > REMEMBERED:
-                    spread()
-            if len(pairs) > GATHERED:
-                yield sent()
-        spread()
-        yield sent()
+                    for units in lists:
+                        own.update(units)
+                    continue
+                if not good.all():
+                    row = np.repeat(np.arange(len(lists)), list(map(len, lists)))
+                    numbers = numbers[np.isin(row, row[~good], invert=True)]
+                known.count(numbers)
+            else:
+                for low in range(0, len(own), 100_000):
+                    part = dict(islice(own.items(), low, low + 100_000))
+                    numbers = known.numbers([list(part)])
+                    known.times.values[numbers] += np.fromiter(part.values(), np.int64, len(part))
+            if len(known.total) > GATHERED:
+                yield known.sent()
+        known.spread(0)
+        yield known.sent()
 
     return run
 
@@ -389,34 +457,59 @@ def pair_counts(gathered: DataFrame) -> PairCounts:
 COLUMNS = ("n_a", "n_b", "n_groups", "n_links", "n_best", "count_sum")
 
 
+class _Counted(_Units):
+    """Tokens, links, best links and counts of the units, and their groups as text."""
+
+    def __init__(self, aligner: Aligner, counts: PairCounts):
+        self.counts = counts
+        super().__init__(aligner)
+
+    def forget(self) -> None:
+        super().forget()
+        self.columns, self.texts = [_Column(np.int64) for _ in range(5)], []
+
+    def cut(self, size: int) -> None:
+        del self.texts[size:]
+        for column in (self.spelled, *self.columns):
+            column.cut(size)
+
+    def keep(self, links: Links, others: int) -> None:
+        ids, best = self.counts.best
+        # a pair of a text that counts for nothing may be unknown, and its B id too
+        found, place = self.counts.of(links.pairs), np.searchsorted(ids, links.pairs & _ID)
+        tops = np.concatenate([best, [-1]])[np.minimum(place, len(ids))] == found
+        sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[links.bounds]) for x in (tops, found)]
+        for column, values in zip(self.columns, (links.n_a, links.n_b, np.diff(links.bounds), *sums), strict=True):
+            column.extend(np.concatenate([values, np.zeros(others, np.int64)]))
+        self.texts += [*links.texts(self.aligner.marks), *([""] * others)]
+
+
 def _looker(shared, counts):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        aligner, (ids, best) = _aligner(*shared.value), counts.value.best
-
-        def counted(links: Links) -> list[tuple]:
-            # a pair of a text that counts for nothing may be unknown, and its B id too
-            found, place = counts.value.of(links.pairs), np.searchsorted(ids, links.pairs & _ID)
-            tops = np.concatenate([best, [-1]])[np.minimum(place, len(ids))] == found
-            sums = [np.diff(np.concatenate([[0], np.cumsum(x)])[links.bounds]).tolist() for x in (tops, found)]
-            return list(zip(links.n_a.tolist(), links.n_b.tolist(), np.diff(links.bounds).tolist(), *sums, links.texts(aligner.marks), strict=True))
-
-        known = _Remembered(lambda units: aligner.aligned(units, counted))
-        for batch, texts in _texts(batches, known):
-            rows = []
-            for lists in texts:
-                sums, digest, done = [0] * 5, hashlib.sha256(), False
-                for _, values in lists:
-                    if None in values:
-                        done = False
-                        break
-                    *numbers, groups = zip(*values, strict=True)
-                    sums = [s + sum(x) for s, x in zip(sums, numbers, strict=True)]
-                    digest.update(b";" * done + "".join(groups)[:-1].encode())
-                    done = True
-                a, b, links, n_best, total = sums if done else [0] * 5
-                rows.append((a, b, links, links, n_best, total, digest.hexdigest() if done else ""))
-            columns = [pa.array(x) for x in zip(*rows, strict=True)]
-            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], ["doc_id", *COLUMNS, "groups_sha256"])
+        known = _Counted(_aligner(*shared.value), counts.value)
+        for batch, steps in _texts(batches):
+            sums = np.zeros((5, batch.num_rows), np.int64)
+            digests, good = [None] * batch.num_rows, np.ones(batch.num_rows, bool)
+            for lists in steps:
+                numbers, sizes = known.numbers(lists), np.array(list(map(len, lists)))
+                row = np.repeat(np.arange(len(lists)), sizes)
+                good[row[~known.spelled.values[numbers]]] = False
+                ends = np.concatenate([[0], np.cumsum(sizes)])
+                for total, column in zip(sums, known.columns, strict=True):
+                    total += np.diff(np.concatenate([[0], np.cumsum(column.values[numbers])])[ends])
+                listed, ends = numbers.tolist(), ends.tolist()
+                for i in np.flatnonzero(good & (sizes > 0)).tolist():
+                    text = "".join(map(known.texts.__getitem__, listed[ends[i] : ends[i + 1]]))[:-1].encode()
+                    if digests[i] is None:
+                        digests[i] = hashlib.sha256(text)
+                    else:
+                        digests[i].update(b";" + text)
+                if not good.any():
+                    break
+            sums *= good
+            made = [d.hexdigest() if d and ok else "" for d, ok in zip(digests, good.tolist(), strict=True)]
+            a, b, links, n_best, total = map(pa.array, sums)
+            yield pa.RecordBatch.from_arrays([batch.column("doc_id"), a, b, links, links, n_best, total, pa.array(made)], ["doc_id", *COLUMNS, "groups_sha256"])
 
     return run
 
