@@ -3,7 +3,8 @@
 import numpy as np
 from pyspark.sql import functions as F
 
-from answerloom.llm import files, queries, url_filters
+from answerloom import files
+from answerloom.llm import queries, url_filters
 from tests.llm.test_operators import rows_of
 
 KIND = "host string, path string, verdict string"
