@@ -1,7 +1,8 @@
 """Mixing sources to target weights (operator 4); DataFrame functions only.
 
-The words of each source are packed into blocks of fixed length. Every output
-shard draws how many blocks each source gives it. The n-th slot of a source
+The words of each source are packed into blocks of fixed length. A source's target says how
+many slots of the mix it fills. A pseudorandom permutation of all slots deals them to output shards, so
+that the counts of a shard are a multinomial draw, given what each source has in all. The n-th slot of a source
 takes the block that a pseudorandom permutation of the source's blocks has at
 n; each further pass over a source has another permutation. Slots and the pieces of documents meet by
 (source, block).
@@ -9,9 +10,8 @@ n; each further pass over a source has another permutation. Slots and the pieces
 
 from __future__ import annotations
 
-import math
-from dataclasses import dataclass
-
+import numpy as np
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
@@ -21,41 +21,27 @@ from answerloom.storage import save
 #: Words of a block, slots of a shard.
 BLOCK = 128
 SHARD = 1024
-#: Sources at most; their weights are part of the plan.
-SOURCES = 10_000
+#: A source of fewer words than make so many blocks has shorter ones, so that targets are met to a part of this.
+FEWEST = 32
 #: The mix is so large by all words, and a source gives at most so many times its own.
 SHARE, MOST = 1.5, 2
 ROUNDS = 20
-_P = (1 << 31) - 1
-
-
-@dataclass(frozen=True)
-class Source:
-    name: str | None
-    size: int
-    weight: int
-    target: float
-
-    @property
-    def blocks(self) -> int:
-        return -(-self.size // BLOCK)
+#: Slots that are laid out from one row.
+CHUNK = 1 << 16
 
 
-def targets(sizes: list[int], weights: list[float]) -> list[float]:
+def targets(sizes: np.ndarray, weights: np.ndarray) -> np.ndarray:
     """Shares of the mix by weight; what is above the limit of a source goes to the others by weight."""
-    out = [0.0] * len(sizes)
-    left, open_ = SHARE * sum(sizes), list(range(len(sizes)))
-    while open_:
-        total = sum(weights[i] for i in open_)
-        above = [i for i in open_ if left * weights[i] > MOST * sizes[i] * total]
-        if not above:
-            for i in open_:
-                out[i] = left * weights[i] / total
+    out, left, open_ = np.zeros(len(sizes)), SHARE * float(np.sum(sizes)), np.ones(len(sizes), bool)
+    while open_.any():
+        total = float(weights[open_].sum())
+        above = open_ & (left * weights > MOST * sizes * total)
+        if not above.any():
+            out[open_] = left * weights[open_] / total
             break
-        for i in above:
-            out[i] = float(MOST * sizes[i])
-        left -= sum(out[i] for i in above)
-        open_ = [i for i in open_ if i not in set(above)]
+        out[above] = MOST * sizes[above]
+        left -= float(out[above].sum())
+        open_ &= ~above
     return out
 
 
@@ -70,44 +56,45 @@ def sized(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "source", size.alias("size"), F.xxhash64("doc_id", "text").alias("digest"))
 
 
-def sources_of(sizes: DataFrame, weigh=cycled) -> list[Source]:
-    rows = sizes.groupBy("source").agg(F.sum("size").alias("size")).limit(SOURCES + 1).collect()
-    if len(rows) > SOURCES:
-        raise ValueError(f"more than {SOURCES} sources")
-    rows = sorted(rows, key=lambda r: (r["source"] is None, r["source"] or ""))
-    weights = weigh([r["source"] for r in rows])
-    goals = targets([r["size"] for r in rows], weights)
-    return [Source(r["source"], r["size"], w, t) for r, w, t in zip(rows, weights, goals, strict=True)]
-
-
-def by_number(values: list, number: Column, kind: str) -> Column:
-    return F.element_at(F.array(*[F.lit(v) for v in values]), (number + 1).cast("int")).cast(kind)
-
+def sources_of(sizes: DataFrame, weigh=cycled) -> DataFrame:
+    """(name, number, source_size, target, length, blocks, slots, first), a row for each source, written.
 
-def packed(sizes: DataFrame, sources: list[Source]) -> DataFrame:
-    """Each document with the number of its source, and the word of the source where it starts.
+    ``length``: words of its blocks; ``slots``: how many of the mix it fills; ``first``: slots of the sources before it. The driver works
+    this out from one row of each source, as the order of all sources gives their weights.
+    """
+    rows = sizes.groupBy("source").agg(F.sum("size").alias("size")).toArrow()
+    names, size = rows["source"].to_pylist(), rows["size"].to_numpy()
+    order = sorted(range(len(names)), key=lambda i: (names[i] is None, names[i] or ""))
+    names, size = [names[i] for i in order], size[order]
+    target = targets(size, np.array(weigh(names), np.float64))
+    length = np.clip(size // FEWEST, 1, BLOCK)
+    blocks = -(-size // length)
+    slots = np.rint(np.divide(target * blocks, size, out=np.zeros(len(size)), where=size > 0)).astype(np.int64)
+    made = {"name": pa.array(names, pa.string()), "number": np.arange(len(names)), "source_size": size, "target": target, "length": length}
+    made |= {"blocks": blocks, "slots": slots, "first": np.cumsum(slots) - slots}
+    return save(sizes.sparkSession.createDataFrame(pa.table(made)), "mix-sources")
+
+
+def packed(sizes: DataFrame, sources: DataFrame) -> DataFrame:
+    """Each document with its source's number, size, target and block length, and the word of the source where it starts.
 
     Documents of a source follow one another by bucket (a hash of the id) and then id.
     """
-    number = F.coalesce(*[F.when(F.col("source").eqNullSafe(F.lit(s.name)), F.lit(i)) for i, s in enumerate(sources)])
     buckets = F.lit(max(1, sizes.count() // 2048))
-    return running(sizes.withColumn("number", number), ["number"], F.pmod("digest", buckets), ["doc_id", "digest", "size"], {"begin": (F.sum, "size")})
+    of = sources.select("name", "number", "source_size", "target", "length")
+    numbered = sizes.join(of, sizes["source"].eqNullSafe(of["name"])).drop("name")
+    return running(numbered, ["number"], F.pmod("digest", buckets), ["doc_id", "digest", "size"], {"begin": (F.sum, "size")})
 
 
 def pieces(placed: DataFrame) -> DataFrame:
     """(number, block, doc_id, begin, size, from_word, n_words): the part of each document in each block it reaches into."""
-    first, last = F.floor(F.col("begin") / BLOCK), F.floor((F.col("begin") + F.col("size") - 1) / BLOCK)
-    cut = placed.filter("size > 0").select("number", "doc_id", "begin", "size", F.explode(F.sequence(first, last)).alias("block"))
-    low = F.greatest("begin", F.col("block") * BLOCK)
-    high = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * BLOCK)
+    first, last = F.floor(F.col("begin") / F.col("length")), F.floor((F.col("begin") + F.col("size") - 1) / F.col("length"))
+    cut = placed.filter("size > 0").select("number", "doc_id", "begin", "size", "length", F.explode(F.sequence(first, last)).alias("block"))
+    low = F.greatest("begin", F.col("block") * F.col("length"))
+    high = F.least(F.col("begin") + F.col("size"), (F.col("block") + 1) * F.col("length"))
     return cut.select("number", "block", "doc_id", "begin", "size", (low - F.col("begin")).alias("from_word"), (high - low).alias("n_words"))
 
 
-def _scrambled(value: Column, salt: Column) -> Column:
-    """A number below 2^31 - 1 from two numbers."""
-    return F.pmod(F.xxhash64(value, salt), F.lit(_P))
-
-
 def permuted(i: Column, n: Column, salt: Column) -> Column:
     """The place of ``i`` in a pseudorandom permutation of 0 .. n - 1, by swap-or-not rounds (a published shuffle)."""
 
@@ -119,97 +106,42 @@ def permuted(i: Column, n: Column, salt: Column) -> Column:
     return F.aggregate(F.sequence(F.lit(1), F.lit(ROUNDS)), i.cast("bigint"), step)
 
 
-@dataclass(frozen=True)
-class Draw:
-    """How a shard of ``size`` slots is drawn: sure slots of each source, and cumulative chances of the rest."""
-
-    size: int
-    sure: list[int]
-    chances: list[int]
+def slots(sources: DataFrame, seed: int = 0) -> DataFrame:
+    """(shard, slot, number, block): which block fills each slot of the mix."""
+    total = sources.agg(F.sum("slots")).first()[0] or 0
+    rows = sources.filter("slots > 0").select("number", "blocks", "slots", "first", F.explode(F.sequence(F.lit(0).cast("bigint"), F.floor((F.col("slots") - 1) / CHUNK))).alias("chunk"))
+    rows = rows.repartition(total // (4 * CHUNK) + 1, "number", "chunk")
+    end = F.least("slots", (F.col("chunk") + 1) * CHUNK) - 1
+    each = rows.select("number", "blocks", "first", F.explode(F.sequence(F.col("chunk") * CHUNK, end)).alias("index"))
+    place = permuted(F.col("first") + F.col("index"), F.lit(total).cast("bigint"), F.lit(seed).cast("bigint"))
+    salt = F.xxhash64("number", F.floor(F.col("index") / F.col("blocks")), F.lit(seed))
+    # written, so that the rounds of the permutations read columns and do not work these out again
+    drawn = save(each.select("number", "blocks", (F.col("index") % F.col("blocks")).alias("at"), place.alias("place"), salt.alias("salt")), "mix-slots")
+    shard, slot = F.floor(F.col("place") / SHARD), F.col("place") % SHARD
+    return drawn.select(shard.alias("shard"), slot.alias("slot"), "number", permuted(F.col("at"), F.col("blocks"), F.col("salt")).alias("block"))
 
-    @classmethod
-    def of(cls, size: int, sources: list[Source]) -> Draw:
-        total = sum(s.target for s in sources)
-        each = [size * s.target / total for s in sources]
-        sure = [math.floor(x + 1e-9) for x in each]
-        rest = [max(x - k, 0.0) for x, k in zip(each, sure, strict=True)]
-        up, chances = 0.0, []
-        for x in rest:
-            up += x
-            chances.append(math.floor(_P * up / sum(rest)) if sum(rest) else 0)
-        return cls(size, sure, chances)
 
-
-def slots(spark, sources: list[Source], seed: int = 0) -> DataFrame:
-    """(shard, slot, number, index): which source fills the slot, and the how-manieth slot of the source it is.
-
-    A shard's counts are multinomial: the whole part of each expected count is sure, the rest of
-    the slots is drawn. Slots beyond the limit of a source are left out.
-    """
-    total = round(sum(s.target for s in sources) / BLOCK)
-    whole, rest = divmod(total, SHARD)
-    drawn = []
-    for first, count, draw in ((0, whole, Draw.of(SHARD, sources)), (whole, int(rest > 0), Draw.of(rest, sources))):
-        if not count:
-            continue
-        shards = spark.range(first, first + count).select(F.col("id").alias("shard"), F.explode(F.sequence(F.lit(0), F.lit(draw.size - 1))).alias("slot"))
-        ups = [sum(draw.sure[: i + 1]) for i in range(len(sources))]
-        sure = F.col("slot") < ups[-1]
-        luck = _scrambled(F.col("shard") * SHARD + F.col("slot"), F.lit(seed + 17))
-
-        def passed(limits: list[int], value: Column) -> Column:
-            return F.size(F.filter(F.array(*[F.lit(x).cast("bigint") for x in limits]), lambda x: x <= value))
-
-        number = F.when(sure, passed(ups, F.col("slot"))).otherwise(F.least(passed(draw.chances, luck), F.lit(len(sources) - 1)))
-        placed = shards.select("shard", "slot", number.alias("number"), sure.alias("sure"))
-        own = F.col("slot") - by_number([u - k for u, k in zip(ups, draw.sure, strict=True)], F.col("number"), "bigint")
-        earlier = by_number([whole * k if first else 0 for k in Draw.of(SHARD, sources).sure], F.col("number"), "bigint")
-        index = earlier + (F.col("shard") - first) * by_number(draw.sure, F.col("number"), "bigint") + own
-        drawn.append(placed.withColumn("index", F.when(F.col("sure"), index)))
-    if not drawn:
-        return spark.range(0).selectExpr("id as shard", "0 as slot", "0 as number", "id as index")
-    every = drawn[0] if len(drawn) == 1 else drawn[0].union(drawn[1])
-    all_sure = [whole * a + b for a, b in zip(Draw.of(SHARD, sources).sure, Draw.of(rest, sources).sure, strict=True)]
-    lucky = running(every.filter("not sure").withColumn("one", F.lit(1)), ["number"], F.floor(F.col("shard") / 1024), ["shard", "slot"], {"luck": (F.sum, "one")})
-    lucky = lucky.select("shard", "slot", "number", (by_number(all_sure, F.col("number"), "bigint") + F.col("luck")).alias("index"))
-    indexed = every.filter("sure").select("shard", "slot", "number", "index").union(lucky)
-    return indexed.filter(F.col("index") < MOST * by_number([s.blocks for s in sources], F.col("number"), "bigint"))
-
-
-def mixture(placed: DataFrame, sources: list[Source], seed: int = 0) -> DataFrame:
+def mixture(placed: DataFrame, sources: DataFrame, seed: int = 0) -> DataFrame:
     """(shard, slot, number, block, doc_id, begin, size, from_word, n_words): what fills every slot, piece by piece."""
-    count = by_number([max(s.blocks, 1) for s in sources], F.col("number"), "bigint")
-    # written, so that the rounds below read columns and do not work these out again
-    drawn = slots(placed.sparkSession, sources, seed).withColumn("count", count)
-    salt = F.xxhash64("number", F.floor(F.col("index") / F.col("count")), F.lit(seed))
-    drawn = save(drawn.select("shard", "slot", "number", (F.col("index") % F.col("count")).alias("at"), "count", salt.alias("salt")), "mix-slots")
-    filled = drawn.select("shard", "slot", "number", permuted(F.col("at"), F.col("count"), F.col("salt")).alias("block"))
-    return filled.join(pieces(placed), ["number", "block"])
+    return slots(sources, seed).join(pieces(placed), ["number", "block"])
 
 
 def taken(docs: DataFrame, weigh=cycled, seed: int = 0) -> DataFrame:
-    """(doc_id, source, size, source_size, target, taken, digest), a row for each row of ``docs``.
+    """(doc_id, source, size, source_size, target, taken, digest, parts), a row for each row of ``docs``.
 
-    ``taken`` are the words that the mix takes of the row, repeats counted. A null text has no
+    ``taken`` are the words that the mix takes of the row, repeats counted; ``parts`` says where they go, as array<struct<shard, slot,
+    from_word, n_words>> in that order. A null text has no
     word; a null source is a source of its own, and the last. Rows without a word have 0. Equal rows are packed
-    one after the other. The same input gives the same mix. An empty table gives no row. Other columns are not read. ``digest`` is a hash of id and text.
+    one after the other. A source of any size comes within a block of its target, and its blocks are at most a 32nd of it. The same input gives the same mix. An empty table gives no row. Other columns are not read. ``digest`` is a hash of id and text.
     """
     sizes = save(sized(docs), "mix-sizes")
-    sources = sources_of(sizes)
-    if not sources:
-        return sizes.selectExpr("doc_id", "source", "size", "size as source_size", "double(size) as target", "size as taken", "digest")
+    sources = sources_of(sizes, weigh)
     placed = save(packed(sizes, sources), "mix-placed")
-    total = F.sum("n_words").alias("taken")
-    mixed = mixture(placed, sources, seed).groupBy("number", "doc_id", "begin", "size").agg(total)
+    part = F.struct("shard", "slot", "from_word", "n_words")
+    made = mixture(placed, sources, seed).groupBy("number", "doc_id", "begin", "size").agg(F.sum("n_words").alias("taken"), F.array_sort(F.collect_list(part)).alias("parts"))
     own = [F.col(f"m.{c}") for c in ("number", "doc_id", "begin", "size")]
     same = [F.col(f"p.{c}").eqNullSafe(o) for c, o in zip(("number", "doc_id", "begin", "size"), own, strict=True)]
-    rows = placed.alias("p").join(mixed.alias("m"), same, "left")
-    return rows.select(
-        "p.doc_id",
-        "p.source",
-        "p.size",
-        by_number([s.size for s in sources], F.col("p.number"), "bigint").alias("source_size"),
-        by_number([s.target for s in sources], F.col("p.number"), "double").alias("target"),
-        F.coalesce("m.taken", F.lit(0).cast("bigint")).alias("taken"),
-        "p.digest",
-    )
+    rows = placed.alias("p").join(made.alias("m"), same, "left")
+    kept = [F.col(f"p.{c}") for c in ("doc_id", "source", "size", "source_size", "target")]
+    none = F.array().cast("array<struct<shard: bigint, slot: bigint, from_word: bigint, n_words: bigint>>")
+    return rows.select(*kept, F.coalesce("m.taken", F.lit(0).cast("bigint")).alias("taken"), "p.digest", F.coalesce("m.parts", none).alias("parts"))
