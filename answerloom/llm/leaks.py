@@ -22,15 +22,19 @@ from pyspark.sql import functions as F
 from answerloom.llm.batches import WORD, fresh, grams, slices, word_hashes
 
 SEED = 3
-#: A seed is rare if at most this share of documents has it, or no more documents than the median seed of its item.
+#: A seed is rare if at most this share of documents has it, or no more documents than the median seed of its stretch.
 RARE_SHARE = 2e-4
 #: Words of items in one block; what is broadcast is a few times 8 bytes for each.
 BLOCK_WORDS = 500_000
 #: Values of the alignment, and the least score as a share of the item's words.
 MATCH, MISMATCH, GAP = 1.0, -0.5, -0.5
 LEAST_SCORE = 0.5
-#: Items of fewer words cannot be told from chance.
+#: A score of so many matched words tells by itself, however long the item is.
+QUOTED = 30
+#: An item of fewer words has to stand there word for word, as parts of it cannot be told from chance.
 LEAST_WORDS = 6
+#: Of each stretch of so many seeds of an item at least half count as rare, so that any quotation has some.
+STRETCH = 12
 
 MATCHES = "array<struct<item_id: bigint, score: double, start: bigint, end: bigint>>"
 
@@ -81,7 +85,7 @@ def block_of(items: list[tuple[int, str]]) -> Block:
 
 
 def _grams_of_long(own: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    long = [i for i, w in enumerate(own) if len(w) >= LEAST_WORDS]
+    long = [i for i, w in enumerate(own) if len(w) >= SEED]
     words = np.concatenate([own[i] for i in long]) if long else np.zeros(0, np.uint64)
     hashes, item, place = grams(words, np.array([len(own[i]) for i in long], np.int64), SEED)
     return hashes, np.array(long, np.int64)[item], place
@@ -105,7 +109,7 @@ def aligned(item: np.ndarray, words: np.ndarray) -> tuple[float, int]:
 
 
 def matches(block: Block, words: np.ndarray, hits: np.ndarray, numbers: np.ndarray) -> list[dict]:
-    """Alignments of one text that reach the least score: of each item the best, the first of equals.
+    """Alignments of one text that reach the least score, or ``QUOTED``: of each item the best, the first of equals.
 
     ``hits``: places of seeds in the text; ``numbers``: which seed.
     """
@@ -131,7 +135,8 @@ def matches(block: Block, words: np.ndarray, hits: np.ndarray, numbers: np.ndarr
             low = max(low, 0)
             part = words[low : high + 1]
             score, end = aligned(block.words[own], part)
-            if score >= LEAST_SCORE * m and score > best[0]:
+            least = min(LEAST_SCORE * m, QUOTED) if m >= LEAST_WORDS else m
+            if score >= least and score > best[0]:
                 _, back = aligned(block.words[own][::-1], part[: end + 1][::-1])
                 best = (score, low + end - back, low + end + 1)
         if best[0]:
@@ -160,10 +165,11 @@ def _seed_counts(docs: DataFrame, text: str, shared) -> tuple[int, dict[int, int
 
 
 def rare(block: Block, docs: int, counts: dict[int, int]) -> Block:
-    """The block with rare seeds only; every item keeps at least half of its seeds."""
+    """The block with rare seeds only; every stretch of an item keeps at least half of its seeds."""
     number = np.repeat(np.arange(len(block.seeds)), np.diff(block.at))
     having = np.array([counts.get(int(i), 0) for i in number], np.int64)
-    return block.only(having <= np.maximum(RARE_SHARE * docs, _medians(block.item, having, len(block.ids))[block.item]))
+    stretches, of = np.unique(np.stack([block.item, block.place // STRETCH]), axis=1, return_inverse=True)
+    return block.only(having <= np.maximum(RARE_SHARE * docs, _medians(of, having, stretches.shape[1])[of]))
 
 
 def _medians(group: np.ndarray, values: np.ndarray, n: int) -> np.ndarray:
@@ -189,9 +195,10 @@ def blocks(benchmark: DataFrame) -> Iterator[Block]:
 def marked(docs: DataFrame, benchmark: DataFrame, text: str | Column = "text") -> DataFrame:
     """All columns of ``docs`` with the array column ``leaks``: item_id, score, start, end.
 
-    ``score`` is the alignment score by the item's words, from ``LEAST_SCORE``
-    to 1; ``start`` and ``end`` are word numbers (end exclusive) of the best alignment in the whole text.
-    Null and empty texts have none, as have items with fewer than ``LEAST_WORDS`` words. Equal items all match. If ``docs`` has a
+    ``score`` is the alignment score by the item's words, 1 at most; it reaches ``LEAST_SCORE`` or stands for ``QUOTED`` matched
+    words of a long item, and is 1 for an item with fewer than ``LEAST_WORDS`` words; ``start`` and ``end`` are word numbers (end exclusive) of the best alignment in the whole text.
+    Null and empty texts have none; items of fewer words than a seed (``SEED``) are found nowhere. Equal items all match, repeated rows each have their
+    own, and null ids do not matter; a text of any length is searched as a whole. If ``docs`` has a
     column ``leaks``, the new one gets a longer name, and is the last.
     """
     spark, name = docs.sparkSession, fresh(docs, "leaks")
