@@ -22,11 +22,9 @@ from answerloom.llm.batches import fresh, held_out, mixed
 #: N-grams are hashed to this many bins, for all lengths together.
 BINS = 1 << 16
 LENGTHS = (1, 2, 3, 4)
-#: Rows learned from for each language at most, and the longest text among them.
+#: Rows learned from for each language at most, and code points: texts follow until so many have gone before.
 FIT_ROWS = 250
-FIT_CHARACTERS = 20_000
-#: Languages at most; a column with more distinct values is not a language.
-LANGUAGES = 500
+FIT_CHARACTERS = 5_000_000
 LANDMARKS = 200
 RIDGE = 1e-2
 
@@ -88,21 +86,20 @@ def fitted(bins: list[np.ndarray], labels: list[str]) -> Model:
 def fit(rows: DataFrame, text: str = "text", label: str = "lang", order: str = "doc_id") -> Model | None:
     """Learn from at most ``FIT_ROWS`` rows of each language, chosen by a hash of ``order`` and text.
 
-    Rows with a null label, or a text that is null, empty or longer than
-    ``FIT_CHARACTERS``, are not learned from. The sample comes as bins, not as texts. Without any row the
-    model is None.
+    Rows with a null label, or a text that is null or empty, are not learned from. A text of any length may be; beyond
+    ``FIT_CHARACTERS`` of a language no further text is taken, but always one. The sample comes as bins, not as texts. Without any row the
+    model is None. The model has 256 KB for each language.
     """
     usable = rows.select(F.col(text).alias("text"), F.col(label).alias("label"), F.xxhash64(order, text).alias("draw")).filter(
-        F.col("label").isNotNull() & F.length("text").between(1, FIT_CHARACTERS)
+        F.col("label").isNotNull() & (F.length("text") > 0)
     )
-    sizes = {r["label"]: r["count"] for r in rows.filter(F.col(label).isNotNull()).groupBy(F.col(label).alias("label")).count().limit(LANGUAGES + 1).collect()}
-    if len(sizes) > LANGUAGES:
-        raise ValueError(f"more than {LANGUAGES} languages")
-    if not sizes:
-        return None
-    share = F.create_map(*[F.lit(x) for k, n in sizes.items() for x in (k, min(1.0, 4 * FIT_ROWS / n))])
-    drawn = usable.filter(F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < share[F.col("label")])
-    best = drawn.withColumn("place", F.row_number().over(Window.partitionBy("label").orderBy("draw", "text"))).filter(F.col("place") <= FIT_ROWS)
+    sizes = rows.filter(F.col(label).isNotNull() & (F.length(text) > 0)).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
+    share = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < 4 * FIT_ROWS / F.col("n")
+    drawn = usable.join(sizes, "label").filter(share)
+    first = Window.partitionBy("label").orderBy("draw", "text")
+    best = drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= FIT_ROWS)
+    earlier = F.coalesce(F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
+    best = best.withColumn("earlier", earlier).filter(F.col("earlier") < FIT_CHARACTERS)
 
     @F.arrow_udf("array<int>")
     def bins_of(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
