@@ -307,30 +307,6 @@ def test_personal_data_and_telling_terms(spark):
     assert [(s["kind"], s["start"], s["end"]) for s in spans] == [("email", 0, 5), ("email", 5, 11), ("ip", 12, 19), ("ip", 20, 27), ("card", 39, 58), ("phone", 61, 78)]
 
 
-def test_terms_of_rare_entities_at_every_place(spark):
-    rng = np.random.default_rng(8)
-    common = ["".join(rng.choice(list("abcdefgh"), 4)) for _ in range(20)]
-    some = lambda n: " ".join(rng.choice(common, n))
-    rows = [(i, some(60)) for i in range(150)]
-    rows += [(1000, f"Zaphod {some(40)} zb@x.org {some(400)} ZAPHOD {some(3)}"), (1001, f"{some(9)} +49 30 1234567 {some(30)} Trillian"), (1002, f"{some(9)} +49 30 1234567 {some(40)} trillian")]
-    rows += [(1003, f"{some(300)} zaphod {some(9)}"), (1004, None)]
-    docs = spark.createDataFrame(rows, "doc_id bigint, text string")
-    found = {r["doc_id"]: [(s["kind"], s["start"], s["end"]) for s in r["spans"]] for r in rows_of(pii.found_spans(docs))}
-
-    term = re.compile(r"[^\W_]{3,}")
-    held = {i: {e for e in ("zb@x.org", "+49 30 1234567") if e in (t or "")} for i, t in rows}
-    terms = {i: {w.lower() for w in term.findall(t or "")} for i, t in rows}
-    n_term, n_entity = collections.Counter(w for ws in terms.values() for w in ws), collections.Counter(e for es in held.values() for e in es)
-    n_both = collections.Counter((e, w) for i in terms for e in held[i] for w in terms[i])
-    told = {k for k, n in n_both.items() if np.log(len(rows) * n / n_term[k[1]] / n_entity[k[0]]) >= pii.DISCLOSURE * np.log(len(rows) / n_entity[k[0]])}
-    for i, text in rows:
-        inside = [(m.start(), m.end()) for e in held[i] for m in re.finditer(re.escape(e), text)]
-        marked = [("term", *m.span()) for m in term.finditer(text or "") if any((e, m[0].lower()) in told for e in held[i]) and not any(a < m.end() and m.start() < b for a, b in inside)]
-        assert [s for s in found[i] if s[0] == "term"] == marked
-    assert [rows[150][1][a:b] for k, a, b in found[1000] if k == "term"] == ["Zaphod", "ZAPHOD"]
-    assert sum(k == "term" for k, _, _ in found[1001]) == sum(k == "term" for k, _, _ in found[1002]) == 1
-
-
 def test_secrets_in_wrapped_glued_large_and_dirty_layers(monkeypatch):
     inner = b"password=hunter2secret"
     noise = bytes(np.random.default_rng(9).integers(97, 123, 300, dtype=np.uint8))
