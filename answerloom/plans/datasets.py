@@ -33,7 +33,7 @@ def qa_from_posts(
 ) -> DataFrame:
     """Join answer posts to their question and keep recent, well-rated ones on the wanted tags.
 
-    A limit takes the first rows in the order of all columns, so that it is reproducible.
+    A limit takes the first rows by question and answer id; their texts are not moved for it.
     """
     q, a = questions.alias("q"), answers.alias("a")
     joined = q.join(a, F.col("q.id") == F.col("a.parent_id"))
@@ -54,7 +54,7 @@ def qa_from_posts(
         F.col("a.body").alias("answer_body"),
         F.col("a.score").alias("answer_score"),
     )
-    return first_rows(selected, limit, *selected.columns)
+    return first_rows(selected, limit, "question_id", "answer_id")
 
 
 def qa_from_issues(
@@ -74,7 +74,7 @@ def qa_from_issues(
     the number of files read and of those skipped, without another pass.
     """
     chosen = issues.sample_files(issues.list_files(spark, root, leaf_only), ratio, seed)
-    parsed = issues.read_issues(spark, chosen, root)
+    parsed = issues.read_issues(chosen)
     if progress is not None:
         parsed = parsed.observe(
             progress, F.count(F.lit(1)).alias("files"), F.count_if("malformed").alias("skipped")

@@ -2,20 +2,25 @@
 
 from __future__ import annotations
 
-import re
+from collections.abc import Iterator
 
+import pyarrow as pa
+from pyarrow import fs
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from answerloom import schemas
+from answerloom import schemas, storage
 from answerloom.operators.sampling import stratified_sample
 
-LISTED_PATHS = 50_000
+#: Bytes and files that one task opens, about.
+TASK_BYTES, TASK_FILES = 64 << 20, 5_000
+#: Bytes of contents in one batch of rows.
+BATCH_BYTES = 16 << 20
 
 
 def list_files(spark: SparkSession, root: str, leaf_only: bool = True) -> DataFrame:
-    """(path, folder) of the JSON files below ``root``. File contents are not read.
+    """(path, folder, length) of the JSON files below ``root``. File contents are not read.
 
     With ``leaf_only`` a folder counts only if no folder with JSON files lies
     below it. Folders without any are not seen.
@@ -24,34 +29,30 @@ def list_files(spark: SparkSession, root: str, leaf_only: bool = True) -> DataFr
         spark.read.format("binaryFile")
         .options(recursiveFileLookup=True, pathGlobFilter="*.json")
         .load(root)
-        .select("path", F.regexp_extract("path", "^(.*)/", 1).alias("folder"))
+        .select("path", F.regexp_extract("path", "^(.*)/", 1).alias("folder"), "length")
     )
     if not leaf_only:
         return files
     steps = F.split("folder", "/")
     above = F.transform(F.sequence(F.lit(1), F.size(steps) - 1), lambda n: F.array_join(F.slice(steps, 1, n), "/"))
     parents = files.select("folder").distinct().select(F.explode(above).alias("folder")).distinct()
-    return files.join(parents, "folder", "left_anti").select("path", "folder")
+    return files.join(parents, "folder", "left_anti").select("path", "folder", "length")
 
 
 def sample_files(files: DataFrame, ratio: float = 0.1, seed: int = 42) -> DataFrame:
     return stratified_sample(files, "folder", "path", ratio, seed)
 
 
-def read_issues(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
-    """Parse the listed files: (path, title, body, comments_details, malformed). Files that are not UTF-8 are malformed.
+def read_issues(files: DataFrame) -> DataFrame:
+    """Parse the listed files (path, length): (path, title, body, comments_details, malformed). Files that are not UTF-8 are malformed.
 
-    Up to a checked number of paths only those files are opened. A longer list
-    stays distributed: the tree is read and joined with it.
+    Only these files are opened, in the executors; the list is dealt to tasks by bytes and is never in one place, however long it is.
     """
-    listed = [row.path for row in files.select("path").limit(LISTED_PATHS + 1).collect()]
-    if not listed:
-        contents = spark.createDataFrame([], "path string, value string")
-    elif len(listed) <= LISTED_PATHS:
-        contents = _contents(spark, [re.sub(r"([\[\]{}*?\\])", r"\\\1", path) for path in listed])
-    else:
-        found = _contents(spark, root)
-        contents = found.join(files.select("path"), "path", "left_semi")
+    dealt = storage.save(files.select("path", "length"), "issue-files")
+    size, n = dealt.agg(F.coalesce(F.sum("length"), F.lit(0)), F.count("*")).first()
+    dealt = dealt.repartition(max(size // TASK_BYTES, n // TASK_FILES) + 1, "path")
+    contents = dealt.mapInArrow(_opened, "path string, content binary")
+    contents = contents.select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
     schema = T.StructType([*schemas.ISSUE.fields, T.StructField("_malformed", T.StringType())])
     parsed = F.from_json("value", schema, {"mode": "PERMISSIVE", "columnNameOfCorruptRecord": "_malformed"})
     return contents.select("path", "value", parsed.alias("issue")).select(
@@ -63,10 +64,22 @@ def read_issues(spark: SparkSession, files: DataFrame, root: str) -> DataFrame:
     )
 
 
-def _contents(spark: SparkSession, path) -> DataFrame:
-    return (
-        spark.read.format("binaryFile")
-        .options(recursiveFileLookup=True, pathGlobFilter="*.json")
-        .load(path)
-        .select("path", F.try_validate_utf8(F.col("content").cast("string")).alias("value"))
-    )
+def _opened(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The bytes of each path, by the file system that its scheme names."""
+    systems: dict[str, fs.FileSystem] = {}
+    paths, contents, held = [], [], 0
+    for batch in batches:
+        for path in batch.column("path").to_pylist():
+            scheme, _, rest = path.partition(":")
+            base = f"{scheme}://{rest.removeprefix('//').partition('/')[0]}" if rest.startswith("//") else f"{scheme}://"
+            if base not in systems:
+                systems[base] = fs.LocalFileSystem() if scheme == "file" else fs.FileSystem.from_uri(base)[0]
+            name = "/" + rest.lstrip("/") if scheme == "file" else rest.removeprefix("//")
+            with systems[base].open_input_stream(name) as file:
+                contents.append(file.read())
+            paths.append(path)
+            held += len(contents[-1])
+            if held >= BATCH_BYTES:
+                yield pa.RecordBatch.from_arrays([pa.array(paths), pa.array(contents, pa.binary())], ["path", "content"])
+                paths, contents, held = [], [], 0
+    yield pa.RecordBatch.from_arrays([pa.array(paths, pa.string()), pa.array(contents, pa.binary())], ["path", "content"])

@@ -79,12 +79,20 @@ def test_listing_reads_no_contents(spark, issue_tree):
     assert "content#" not in physical_plan(issues.list_files(spark, str(issue_tree)))
 
 
-def test_long_lists_of_files_stay_distributed(spark, issue_tree, monkeypatch):
+@pytest.mark.parametrize("task, batch", [(5_000, 16 << 20), (1, 1)])
+def test_only_listed_files_are_opened_in_tasks(spark, issue_tree, monkeypatch, task, batch):
+    monkeypatch.setattr(issues, "TASK_FILES", task)
+    monkeypatch.setattr(issues, "BATCH_BYTES", batch)
+    odd = issue_tree / "odd [a] %41 é?"
+    odd.mkdir()
+    (odd / "x y.json").write_text('{"title": "odd"}')
     files = issues.list_files(spark, str(issue_tree))
-    few = sorted(issues.read_issues(spark, files, str(issue_tree)).select("path", "malformed").collect())
-    monkeypatch.setattr(issues, "LISTED_PATHS", 1)
-    assert sorted(issues.read_issues(spark, files, str(issue_tree)).select("path", "malformed").collect()) == few
-    assert [r.malformed for r in few] == [True, False, False, False]
+    some = issues.read_issues(files.filter("path not like '%/5.json'"))
+    assert "content#" not in physical_plan(files) and "binaryFile" not in physical_plan(some)
+    assert sorted((r.path.rsplit("/", 1)[1], r.title, r.malformed) for r in some.collect()) == sorted(
+        [("2.json", None, True), ("3.json", "no comments", False), ("4.json", "T", False), ("x y.json", "odd", False)]
+    )
+    assert issues.read_issues(files.limit(0)).count() == 0
 
 
 def test_best_comment_keeps_first_of_equals_and_zero(spark):
@@ -226,5 +234,5 @@ def test_issue_file_of_bad_bytes_is_malformed(spark, tmp_path):
     (tmp_path / "r").mkdir()
     (tmp_path / "r" / "1.json").write_bytes(b'{"title": "\xff"}')
     (tmp_path / "r" / "2.json").write_text('{"title": "t"}')
-    read = issues.read_issues(spark, issues.list_files(spark, str(tmp_path)), str(tmp_path))
+    read = issues.read_issues(issues.list_files(spark, str(tmp_path)))
     assert {(r.title, r.malformed) for r in read.collect()} == {(None, True), ("t", False)}
