@@ -260,6 +260,55 @@ def test_vector_hits_equal_brute_force(vectors, block):
     assert hits_of(dense.nearest(asked, vectors, 10, block_numbers=block)) == sorted(expected)
 
 
+@pytest.fixture(scope="module")
+def grouped(spark):
+    """Vectors around 25 centres, with some of other lengths, zeros and copies."""
+    rng = np.random.default_rng(12)
+    centres = rng.normal(size=(25, 12))
+    centres /= np.linalg.norm(centres, axis=1, keepdims=True)
+    rows = np.repeat(centres, 60, axis=0) + 0.05 * rng.normal(size=(1500, 12))
+    rows /= np.linalg.norm(rows, axis=1, keepdims=True)
+    rows[::50] *= 1.5
+    rows[7::500], rows[100:140] = 0, rows[100]
+    frame = spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(rows)] + [(9000, None)], "doc_id long, embedding array<double>")
+    return rows, storage.save(frame.repartition(6), "grouped")
+
+
+def expected_vectors(asked, rows, depth):
+    scores = np.round(asked @ rows.T, 6)
+    best = [sorted(range(len(rows)), key=lambda i: (-scores[q, i], i))[:depth] for q in range(len(asked))]
+    return sorted((q, i, scores[q, i], rank) for q, hits in enumerate(best) for rank, i in enumerate(hits, start=1))
+
+
+@pytest.mark.parametrize("depth, n, block", [(1, None, 10**6), (10, None, 10**6), (100, 7, 500), (2000, 5, 10**6)])
+def test_clusters_give_the_same_hits(grouped, depth, n, block):
+    rows, frame = grouped
+    asked = frame.filter("doc_id < 70 or doc_id > 8000").withColumnRenamed("doc_id", "qid")
+    found = dense.nearest_in_clusters(asked, dense.clustered(frame, n), depth, block_numbers=block)
+    assert hits_of(found) == expected_vectors(rows[:70], rows, depth)
+
+
+def test_far_clusters_are_not_read(spark, grouped, monkeypatch):
+    rows, frame = grouped
+    made, read = dense.clustered(frame, 25), []
+    monkeypatch.setattr(dense, "_scored", lambda *a, own=dense._scored: read.append(a[3]) or own(*a))
+    asked = spark.createDataFrame([(0, rows[1].tolist()), (1, rows[2].tolist())], "qid long, embedding array<double>")
+    found = dense.nearest_in_clusters(asked, made, 5)
+    assert hits_of(found) == expected_vectors(rows[1:3], rows, 5)
+    assert sum(int(wanted.sum()) for wanted in read) <= 2 * 4
+    plan = physical_plan(dense._scored(made, np.arange(2), rows[1:3], read[0], None, 5, 6))
+    assert "PartitionFilters: [" in plan and "cluster" in plan[plan.index("PartitionFilters") :][:200]
+    members = {c: vs for c, vs in made.vectors.groupBy("cluster").agg(F.collect_list("embedding")).collect()}
+    bounds = made.bounds(rows[:100])
+    assert all((bounds[:, c] >= (rows[:100] @ np.array(vs).T).max(1) - 1e-9).all() for c, vs in members.items())
+
+
+def test_clusters_of_nothing(spark, grouped):
+    none = grouped[1].filter("doc_id > 8000")
+    assert dense.nearest_in_clusters(grouped[1].withColumnRenamed("doc_id", "qid"), dense.clustered(none), 3).count() == 0
+    assert dense.nearest_in_clusters(none.withColumnRenamed("doc_id", "qid"), dense.clustered(grouped[1], 3), 3).count() == 0
+
+
 def test_missing_vectors_are_left_out(vectors):
     some = vectors.withColumn("embedding", F.when(F.col("doc_id") % 2 == 0, F.col("embedding")))
     found = dense.nearest(some.withColumnRenamed("doc_id", "qid"), some, 300).select("qid", "doc_id").distinct()

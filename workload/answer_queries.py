@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from answerloom import storage
 from answerloom.functions import text
 from answerloom.operators import dense, metrics, prompts
-from answerloom.operators.generation import ExpressionGenerator, ReplayGenerator
+from answerloom.operators.generation import BatchGenerator, ExpressionGenerator, ReplayGenerator, StageStore
 from answerloom.plans import answering, evaluation, experiment, retrieval
 from workload import fixtures
 from workload import retrieval_queries as R
@@ -148,6 +148,42 @@ def answer_chain(spark, sf_dir):
     return digested(spark, sf_dir, answering.AnswerOptions())
 
 
+def plain_digest_sql(stage: str, variant: str, prompt: str) -> str:
+    return f"md5({prompt})"
+
+
+def load_digest():
+    """Stands in for a model: the text depends on every character of the prompt."""
+    from hashlib import md5
+
+    return lambda batch: [md5(prompt.encode()).hexdigest() for prompt in batch]
+
+
+@query("answer_chain_batched", f"WITH {KEYWORD}, {chain_sql('chain', 'kw', plain_digest_sql)} {CHAIN}")
+def answer_chain_batched(spark, sf_dir):
+    """The chain by batches of prompts, with stored stages: some rows, then others with an older context, then all as they are."""
+    asked = storage.save(with_keyword_context(spark, sf_dir), "asked")
+    generator, store = BatchGenerator(load_digest, batch_size=16), StageStore(storage.new_location(spark, "stages"))
+    third = F.col("qid") % 3
+    for rows in (asked.filter(third == 0), asked.filter(third == 1).withColumn("context", F.lit("older"))):
+        answering.answer(rows, generator, answering.AnswerOptions(), store)
+    made = answering.answer(asked, generator, answering.AnswerOptions(), store)
+    return made.select("qid", "draft", "feedback", "refined")
+
+
+ONE = f"{KEYWORD}, one AS (SELECT * FROM kw WHERE qid = (SELECT min(qid) FROM kw))"
+
+
+@query("answer_one_question", f"WITH {ONE}, {chain_sql('chain', 'one')} {CHAIN}")
+def answer_one_question(spark, sf_dir):
+    """A single question, as a table of one row through the same functions."""
+    asked = eval_set(spark, sf_dir).orderBy("qid").limit(1)
+    query_rows = storage.save(asked.select("qid", F.col("question").alias("text")), "question")
+    found = retrieval.contexts(retrieval.keyword_hits(query_rows, fixtures.corpus(spark, sf_dir)), query_rows)
+    made = answering.answer(asked.join(found, "qid"), ExpressionGenerator(digest), answering.AnswerOptions())
+    return made.select("qid", "draft", "feedback", "refined")
+
+
 @query("answer_chain_cot", f"WITH {KEYWORD}, {chain_sql('chain', 'kw', reasoning=True)} {CHAIN}")
 def answer_chain_cot(spark, sf_dir):
     return digested(spark, sf_dir, answering.AnswerOptions(reasoning=True))
@@ -190,6 +226,24 @@ def judge_scores(spark, sf_dir):
     return made.select("qid", F.round("judge_score", 6).alias("judge_score"), "in_range")
 
 
+def boxed_digit(stage: str, variant: Column, prompt: Column) -> Column:
+    """A judgement that depends on every character of the prompt; some cannot be read, some are out of range."""
+    made = F.md5(prompt)
+    number = F.concat(F.when(made < "4", F.lit("1")).otherwise("0"), F.lit("."), F.ascii(made).cast("string"))
+    return F.when(made < "e", F.concat(F.lit("so \\boxed{ "), number, F.lit(" }"))).otherwise("no idea")
+
+
+@query(
+    "judge_digests",
+    f"""WITH {S.PAIRS}, made AS (SELECT qid, md5({S.filled('judge', prediction='question', truth='answer')}) AS d FROM pairs),
+scores AS (SELECT qid, CASE WHEN d < 'e' THEN CAST((CASE WHEN d < '4' THEN '1' ELSE '0' END) || '.' || CAST(ascii(d) AS VARCHAR) AS DOUBLE) END AS s FROM made)
+SELECT qid, round(s, 6) AS judge_score, s BETWEEN 0 AND 1 AS in_range FROM scores""",
+)
+def judge_digests(spark, sf_dir):
+    made = evaluation.judged(fixtures.scored_pairs(spark, sf_dir), ExpressionGenerator(boxed_digit))
+    return made.select("qid", F.round("judge_score", 6).alias("judge_score"), "in_range")
+
+
 def knowledge(spark, sf_dir) -> experiment.Knowledge:
     corpus = fixtures.corpus(spark, sf_dir)
     vectors = dense.build(retrieval.corpus_texts(corpus), R.hash_encoded)

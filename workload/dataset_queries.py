@@ -9,7 +9,7 @@ from answerloom import storage
 from answerloom.functions import text
 from answerloom.operators import answers, metrics, sampling
 from answerloom.plans import datasets
-from answerloom.sources import tables
+from answerloom.sources import issues, tables
 from workload import fixtures
 from workload import sqltext as S
 from workload.registry import query
@@ -158,6 +158,87 @@ def issue_tree(spark, sf_dir):
     return datasets.qa_from_issues(spark, root, ratio=1.0)
 
 
+@query(
+    "issue_tree_sample",
+    f"""WITH {S.PAIRS}, files AS (
+  SELECT qid % 7 AS repo, CASE WHEN qid % 7 = 3 AND qid % 2 = 0 THEN 1 ELSE 0 END AS sub, length(answer) % 5 = 0 AS bad FROM pairs),
+counted AS (SELECT repo, sub, count(*) AS n, count(*) FILTER (bad) AS malformed FROM files GROUP BY ALL)
+SELECT CAST(repo AS INTEGER) AS repo, n AS listed, CAST(greatest(1, floor(n * 0.3)) AS BIGINT) AS sampled, malformed
+FROM counted c WHERE NOT EXISTS (SELECT 1 FROM counted d WHERE d.repo = c.repo AND d.sub > c.sub)""",
+)
+def issue_tree_sample(spark, sf_dir):
+    """A tree with files that cannot be parsed and a folder that has files beside a folder with files: those beside it do not count."""
+    root = storage.new_location(spark, "issue-tree")
+    made = fixtures.issues(spark, sf_dir).join(fixtures.pairs(spark, sf_dir).select("qid", F.length("answer").alias("size")), "qid")
+    made = storage.save(made.withColumn("repo", F.col("qid") % 7).withColumn("below", (F.col("repo") == 3) & (F.col("qid") % 2 == 0)), "issues")
+    for bad in (False, True):
+        details = F.lit("none") if bad else F.col("comments_details")
+        rows = made.filter((F.col("size") % 5 == 0) == bad).withColumn("comments_details", details).drop("size", "qid")
+        for below in (False, True):
+            names = ("repo", "sub") if below else ("repo",)
+            part = rows.filter(F.col("below") == below).withColumn("sub", F.lit(1)) if below else rows.filter("not below")
+            part.drop("below").write.mode("append").option("maxRecordsPerFile", 1).partitionBy(*names).json(root)
+    listed = issues.list_files(spark, root)
+    repo = F.regexp_extract("path", "repo=([0-9]+)", 1).cast("int").alias("repo")
+    parsed = issues.read_issues(listed).groupBy(repo).agg(F.count("*").alias("listed"), F.count_if("malformed").alias("malformed"))
+    sampled = issues.read_issues(issues.sample_files(listed, 0.3)).groupBy(repo).agg(F.count("*").alias("sampled"))
+    return parsed.join(sampled, "repo").select("repo", "listed", "sampled", "malformed")
+
+
+QA_POSTS = f"""WITH {S.PAIRS} SELECT qid AS question_id, {S.first_line('question')} AS question_title,
+  {S.other_lines('question')} AS question_body, 'user' AS question_tags, qid + 1 AS answer_id,
+  answer AS answer_body, CAST(length(answer) AS INTEGER) AS answer_score FROM pairs"""
+
+
+# An empty field of a CSV file is a missing text.
+@query("corpus_files", f"SELECT * REPLACE (nullif(question_body, '') AS question_body), 'csv' AS kind FROM ({QA_POSTS}) UNION ALL SELECT *, 'parquet' FROM ({QA_POSTS} ORDER BY question_id, answer_id LIMIT 50)")
+def corpus_files(spark, sf_dir):
+    """The corpus written and read back as CSV, whole, and as Parquet, its first rows."""
+    place, corpus = storage.new_location(spark, "corpus"), qa_pairs_posts(spark, sf_dir)
+    tables.write_csv(corpus, f"{place}/corpus.csv")
+    corpus.write.parquet(f"{place}/corpus")
+    whole = tables.read_corpus(spark, f"{place}/corpus.csv").withColumn("kind", F.lit("csv"))
+    return whole.unionByName(tables.read_corpus(spark, f"{place}/corpus", limit=50).withColumn("kind", F.lit("parquet")))
+
+
+@query(
+    "posts_tables",
+    """SELECT o_orderkey AS question_id, o_orderstatus AS question_title, o_orderpriority AS question_body, o_orderpriority AS question_tags,
+  l_orderkey * 10 + l_linenumber AS answer_id, l_returnflag AS answer_body, CAST(l_quantity AS INTEGER) AS answer_score
+FROM orders JOIN lineitem ON o_orderkey = l_orderkey
+WHERE o_orderdate >= TIMESTAMP '1997-06-01' AND o_custkey % 11 >= 5 AND CAST(l_quantity AS INTEGER) >= 5
+  AND (o_orderpriority LIKE '%HIGH%' OR o_orderpriority LIKE '%LOW%')""",
+)
+def posts_tables(spark, sf_dir):
+    """Question and answer posts written as tables, read by their schemas and joined."""
+    place = storage.new_location(spark, "posts")
+    fixtures.load(spark, sf_dir, "orders").select(
+        F.col("o_orderkey").cast("long").alias("id"),
+        F.col("o_orderstatus").alias("title"),
+        F.col("o_orderpriority").alias("body"),
+        F.col("o_orderpriority").alias("tags"),
+        (F.col("o_custkey") % 11).cast("int").alias("score"),
+        F.col("o_orderdate").cast("timestamp").alias("creation_date"),
+    ).write.parquet(f"{place}/questions")
+    fixtures.load(spark, sf_dir, "lineitem").select(
+        (F.col("l_orderkey") * 10 + F.col("l_linenumber")).cast("long").alias("id"),
+        F.col("l_orderkey").cast("long").alias("parent_id"),
+        F.col("l_returnflag").alias("body"),
+        F.col("l_quantity").cast("int").alias("score"),
+    ).write.parquet(f"{place}/answers")
+    return datasets.qa_from_posts(*tables.read_posts(spark, f"{place}/questions", f"{place}/answers"), since="1997-06-01", tags=("HIGH", "LOW"))
+
+
+@query(
+    "braces",
+    """SELECT event_id, replace(replace(props, '{', 'left curly brace'), '}', 'right curly brace') AS spelled,
+  replace(replace(props, '{', '{{'), '}', '}}') AS doubled FROM events""",
+)
+def braces(spark, sf_dir):
+    props = F.col("props")
+    return fixtures.load(spark, sf_dir, "events").select("event_id", text.spell_out_braces(props).alias("spelled"), text.double_braces(props).alias("doubled"))
+
+
 @query("csv_round_trip", f"WITH {S.PAIRS} SELECT question, answer FROM pairs")
 def csv_round_trip(spark, sf_dir):
     path = storage.new_location(spark, "eval-csv")

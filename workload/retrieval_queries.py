@@ -158,14 +158,27 @@ ITEMS = """corpus AS (
 {S.reranked('hits', 'padded', 'users')} {HITS}""",
 )
 def keyword_topk_padded(spark, sf_dir):
-    items = fixtures.benchmark_queries(spark, sf_dir).select(
+    return shown(retrieval.keyword_hits(fixtures.user_queries(spark, sf_dir), items(spark, sf_dir)))
+
+
+def items(spark, sf_dir):
+    return fixtures.benchmark_queries(spark, sf_dir).select(
         F.col("qid").alias("doc_id"),
         F.concat(F.lit("item "), "qid").alias("title"),
         F.col("text").alias("body"),
         F.concat(F.lit("set"), F.col("qid") % 3).alias("tags"),
         F.col("text").alias("answer"),
     )
-    return shown(retrieval.keyword_hits(fixtures.user_queries(spark, sf_dir), items))
+
+
+@query(
+    "keyword_topk_short",
+    f"""WITH {USERS}, {ITEMS}, {TEXTS}, {S.keyword_scores('users', 'texts', 10)},
+{S.reranked('hits', 'kw_raw', 'users')} {HITS}""",
+)
+def keyword_topk_short(spark, sf_dir):
+    """The same without filling: many lists stay short."""
+    return shown(retrieval.keyword_hits(fixtures.user_queries(spark, sf_dir), items(spark, sf_dir), pad_zero=False))
 
 
 @query("keyword_context", f"{PADDED_USER_HITS}, {S.contexts('found', 'hits', 'users')} SELECT * FROM found")
@@ -222,6 +235,16 @@ def vector_topk_blocked(spark, sf_dir):
     return dense.nearest(queries, documents, 10, block_numbers=16_000)
 
 
+@query(
+    "vector_topk_clustered",
+    f"WITH {VECTOR_CORPUS}, {S.vector_scores('queries', 'docs', 10)} SELECT qid, doc_id, score, raw_rank FROM vec_raw",
+)
+def vector_topk_clustered(spark, sf_dir):
+    """The same over vectors written by cluster, reading only those that can hold hits."""
+    queries, _, documents = vector_tables(spark, sf_dir)
+    return dense.nearest_in_clusters(queries, dense.clustered(documents), 10)
+
+
 @query("vector_topk_boost", f"{VECTOR_HITS} {HITS}")
 def vector_topk_boost(spark, sf_dir):
     queries, corpus, documents = vector_tables(spark, sf_dir)
