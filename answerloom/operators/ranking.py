@@ -9,7 +9,8 @@ from answerloom import storage
 from answerloom.functions import text
 
 BROADCAST_HITS = 500_000
-SPREAD = 16
+#: Hits that one copy of a document serves.
+HITS_PER_COPY = 10_000
 
 
 def top(hits: DataFrame, depth: int, out: str = "raw_rank") -> DataFrame:
@@ -45,21 +46,24 @@ def with_fillers(hits: DataFrame, queries: DataFrame, corpus: DataFrame, depth:
     return hits.unionByName(fillers)
 
 
-def with_attributes(hits: DataFrame, corpus: DataFrame, n_hits: int) -> DataFrame:
+def with_attributes(hits: DataFrame, corpus: DataFrame, n_hits: int, broadcast: int = BROADCAST_HITS) -> DataFrame:
     """Fetch the corpus columns of each hit.
 
-    ``n_hits`` is an upper bound on the hits: depth times queries. Below
-    the limit the hits are broadcast and the corpus is scanned where it lies.
-    Beyond it the corpus is first cut down to the documents that were hit, and
-    a document that many queries hit is spread over several tasks.
+    ``n_hits`` is an upper bound on the hits. Up to
+    ``broadcast`` of them the hits are broadcast and the corpus is scanned where it lies.
+    Beyond it both sides meet by document: only documents that were hit are moved, each as many times as ``HITS_PER_COPY`` hits
+    of it ask for, so nearly all just once, and the hits of one that very many queries hit are dealt over its copies.
     """
-    if n_hits <= BROADCAST_HITS:
+    if n_hits <= broadcast:
         return corpus.join(F.broadcast(hits), "doc_id")
-    hits = storage.save(hits, "hits")
-    wanted = corpus.join(hits.select("doc_id").distinct(), "doc_id", "left_semi")
-    copies = wanted.withColumn("part", F.explode(F.sequence(F.lit(0), F.lit(SPREAD - 1))))
-    parted = hits.withColumn("part", F.pmod(F.xxhash64("qid"), F.lit(SPREAD)).cast("int"))
-    return parted.join(copies, ["doc_id", "part"]).drop("part")
+    counts = hits.groupBy("doc_id").agg(F.floor((F.count("*") - 1) / HITS_PER_COPY).cast("int").alias("more"))
+    counts = storage.save(counts, "hit-counts")
+    # at most one document in HITS_PER_COPY hits, whatever the corpus
+    often = counts.filter("more > 0")
+    copy = F.coalesce(F.pmod(F.xxhash64("qid"), F.col("more") + 1).cast("int"), F.lit(0))
+    dealt = hits.join(often, "doc_id", "left").withColumn("copy", copy).drop("more")
+    wanted = corpus.join(counts, "doc_id").withColumn("copy", F.explode(F.sequence(F.lit(0), F.col("more")))).drop("more")
+    return dealt.join(wanted, ["doc_id", "copy"]).drop("copy")
 
 
 def boosted(hits: DataFrame, k: int, boost: float, match: str = "substring") -> DataFrame:

@@ -22,6 +22,7 @@ class RetrievalOptions:
     boost: float = 5.0
     match: str = "substring"
     digits: int = 6
+    broadcast_hits: int = ranking.BROADCAST_HITS
 
     @property
     def depth(self) -> int:
@@ -58,7 +59,7 @@ def keyword_hits(
     index = index or keyword.build(corpus_texts(corpus))
     hits = keyword.nearest(queries, index, options.depth, options.digits)
     if pad_zero:
-        hits = ranking.with_fillers(storage.save(hits, "hits"), queries, corpus, options.depth)
+        hits = ranking.with_fillers(storage.save(hits, "found"), queries, corpus, options.depth)
     return _reranked(hits, queries, corpus, options)
 
 
@@ -75,12 +76,15 @@ def vector_hits(
 
 
 def _reranked(hits: DataFrame, queries: DataFrame, corpus: DataFrame, options: RetrievalOptions) -> DataFrame:
-    hits = hits.select("qid", "doc_id", "score", "raw_rank")
-    fetched = ranking.with_attributes(
-        hits, corpus.select("doc_id", "title", "tags", "answer"), options.depth * queries.count()
-    )
+    """Tags are fetched for all hits, texts only for those that stay."""
+    hits = storage.save(hits.select("qid", "doc_id", "score", "raw_rank"), "hits")
+    n_hits = hits.count()
     words = queries.select("qid", text.keywords(F.col("text")).alias("keywords"))
-    return ranking.boosted(fetched.join(words, "qid"), options.k, options.boost, options.match).select(
+    tagged = ranking.with_attributes(hits, corpus.select("doc_id", "tags"), n_hits, options.broadcast_hits).join(words, "qid")
+    best = ranking.boosted(tagged, options.k, options.boost, options.match)
+    best = storage.save(best.select("qid", "rank", "doc_id", "tags", "score", "boosted", "raw_rank"), "best-hits")
+    texts = corpus.select("doc_id", "title", "answer")
+    return ranking.with_attributes(best, texts, n_hits, options.broadcast_hits).select(
         "qid", "rank", "doc_id", "title", "tags", "answer", "score", "boosted", "raw_rank"
     )
 

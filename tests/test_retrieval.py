@@ -357,9 +357,20 @@ def test_both_ways_to_fetch_attributes_agree(spark, monkeypatch):
     corpus = corpus_of(spark, [(d, f"t{d}", "", "", "a") for d in range(20)]).select("doc_id", "title")
     columns = ["qid", "doc_id", "title"]
     small = sorted(ranking.with_attributes(hits, corpus, 300).select(columns).collect())
-    monkeypatch.setattr(ranking, "BROADCAST_HITS", 0)
-    assert sorted(ranking.with_attributes(hits, corpus, 300).select(columns).collect()) == small
+    assert sorted(ranking.with_attributes(hits, corpus, 300, 0).select(columns).collect()) == small
     assert len(small) == 300
+    monkeypatch.setattr(ranking, "HITS_PER_COPY", 7)
+    many = ranking.with_attributes(hits, corpus, 300, 0)
+    assert sorted(many.select(columns).collect()) == small
+
+
+def test_a_document_is_copied_only_for_many_hits(spark, monkeypatch):
+    monkeypatch.setattr(ranking, "HITS_PER_COPY", 50)
+    hits = spark.createDataFrame([(q, 0 if q < 200 else q, 0.5, 1) for q in range(300)], "qid long, doc_id long, score double, raw_rank int")
+    made, seen = [], storage.save
+    monkeypatch.setattr(storage, "save", lambda df, name: made.append(seen(df, name)) or made[-1])
+    ranking.with_attributes(hits, corpus_of(spark, [(d, "t", "", "", "") for d in range(400)]), 300, 0)
+    assert {r.doc_id: r.more for r in made[0].collect()} == {0: 3, **{d: 0 for d in range(200, 300)}}
 
 
 def test_fillers(spark):
