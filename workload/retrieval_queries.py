@@ -146,6 +146,12 @@ def keyword_topk_exact_tag(spark, sf_dir):
     return shown(user_hits(spark, sf_dir, pad_zero=False, options=retrieval.RetrievalOptions(match="tag")))
 
 
+@query("keyword_topk_many_hits", f"{USER_HITS} {HITS}")
+def keyword_topk_many_hits(spark, sf_dir):
+    """The same with hits that are too many to broadcast."""
+    return shown(user_hits(spark, sf_dir, pad_zero=False, options=retrieval.RetrievalOptions(broadcast_hits=0)))
+
+
 # The test items as corpus: they are few and short, so that many lists need filling.
 ITEMS = """corpus AS (
   SELECT item_id AS doc_id, 'item ' || item_id AS title, text AS body, 'set' || (item_id % 3) AS tags, text AS answer
