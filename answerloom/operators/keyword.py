@@ -23,6 +23,7 @@ from answerloom import files, storage
 from answerloom.functions import multisets, text
 from answerloom.functions.words import ENGLISH_STOP_WORDS
 from answerloom.operators import blocks, ranking
+from answerloom.progress import Progress, watched
 
 QUERY_TERMS_PER_BLOCK = 500_000
 #: Terms of one part of the dictionary.
@@ -130,20 +131,20 @@ def _indexed(counted: DataFrame, frequency: DataFrame, n_documents: int, stop_wo
 
 
 def build(
-    corpus: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, location: str | None = None
+    corpus: DataFrame, stop_words: Sequence[str] = ENGLISH_STOP_WORDS, location: str | None = None, progress: Progress | None = None
 ) -> KeywordIndex:
     """Index a corpus (doc_id, text) and write the index; at a ``location`` it can be opened and added to.
 
     The texts are not shuffled. One shuffle counts the documents per term, with
-    map-side sums; weights are made inside the row.
+    map-side sums; weights are made inside the row. ``progress`` counts documents and postings.
     """
     spark = corpus.sparkSession
     if location and _versions(spark, location):
         raise FileExistsError(f"there is an index at {location}")
-    return _extended(spark, corpus, tuple(stop_words), location, None)
+    return _extended(spark, corpus, tuple(stop_words), location, None, progress)
 
 
-def add(corpus: DataFrame, location: str) -> KeywordIndex:
+def add(corpus: DataFrame, location: str, progress: Progress | None = None) -> KeywordIndex:
     """Index more documents (doc_id, text) into the index at ``location``; their ids have to be new.
 
     Only their texts are read. Frequencies are added up by term, and the weights of all documents follow from the written counts, in one pass without a
@@ -151,13 +152,16 @@ def add(corpus: DataFrame, location: str) -> KeywordIndex:
     """
     spark = corpus.sparkSession
     manifest = _manifest(spark, location)
-    return _extended(spark, corpus, tuple(manifest["stop_words"]), location, manifest)
+    return _extended(spark, corpus, tuple(manifest["stop_words"]), location, manifest, progress)
 
 
-def _extended(spark: SparkSession, corpus: DataFrame, stop_words: tuple[str, ...], location: str | None, manifest: dict | None) -> KeywordIndex:
+def _extended(
+    spark: SparkSession, corpus: DataFrame, stop_words: tuple[str, ...], location: str | None, manifest: dict | None, progress: Progress | None
+) -> KeywordIndex:
     segment, version = uuid.uuid4().hex, (manifest["version"] if manifest else 0) + 1
     of_segment = f"{location}/segments/{segment}" if location else None
-    counted = storage.save(term_counts(corpus, "doc_id", "text", stop_words), "term-counts", of_segment)
+    counts = term_counts(corpus, "doc_id", "text", stop_words)
+    counted = storage.save(watched(progress, counts, "index", postings=F.sum(F.size("counts"))), "term-counts", of_segment)
     segments, n_documents, frequency = [segment], counted.count(), term_frequency(counted)
     if manifest:
         earlier = reduce(DataFrame.unionByName, (spark.read.parquet(f"{location}/segments/{s}") for s in manifest["segments"]))
