@@ -124,6 +124,10 @@ class Template:
         self.pieces = [(before, slot) for before, slot, _, _ in string.Formatter().parse(text)]
         self.bound = bound or {}
 
+    @property
+    def slots(self) -> set[str]:
+        return {slot for _, slot in self.pieces if slot is not None}
+
     def bind(self, **columns: Column) -> "Template":
         return Template(self.text, {**self.bound, **columns})
 

@@ -50,6 +50,16 @@ _TEXTS = {
 _WITH_REASONING = (DRAFT, FEEDBACK, REFINED)
 
 
-def template(stage: str, reasoning: bool = False) -> Template:
+#: Texts of one's own in place of the templates above, as (stage, text).
+Templates = tuple[tuple[str, str], ...]
+
+
+def template(stage: str, reasoning: bool = False, own: Templates = ()) -> Template:
+    """The template of a stage. A text of one's own is taken as it is; it may use the slots that the stage fills."""
+    if (text := dict(own).get(stage)) is not None:
+        made = Template(text)
+        if unknown := made.slots - Template(_TEXTS[stage]).slots:
+            raise ValueError(f"{stage} has no {', '.join(sorted(unknown))}")
+        return made
     lead = _THINK if reasoning and stage in _WITH_REASONING else ""
     return Template(lead + _TEXTS[stage])

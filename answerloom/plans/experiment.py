@@ -5,13 +5,14 @@ from __future__ import annotations
 from collections.abc import Callable, Iterable
 from dataclasses import dataclass, fields
 from functools import reduce
+from hashlib import md5
 
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from answerloom import storage
 from answerloom.functions import text
-from answerloom.operators import keyword, metrics
+from answerloom.operators import keyword, metrics, prompts
 from answerloom.operators.generation import Generator, StageStore
 from answerloom.plans import answering, evaluation, retrieval
 
@@ -31,6 +32,9 @@ class RunConfig:
     pad_zero: bool = True
     spell_braces: bool = False
     strip_echo: bool = False
+    match: str = "substring"
+    digits: int = 6
+    templates: prompts.Templates = ()
 
     def __post_init__(self):
         if self.rag not in ("semantic", "keyword"):
@@ -40,7 +44,9 @@ class RunConfig:
     def label(self) -> str:
         """What differs from the defaults, so that different configurations have different labels."""
         named = ("rag", "reasoning", "rerank", "baseline")
-        other = [f"{f.name}={getattr(self, f.name)}" for f in fields(self) if f.name not in named and getattr(self, f.name) != f.default]
+        other = [f"{f.name}={getattr(self, f.name)}" for f in fields(self) if f.name not in (*named, "templates") and getattr(self, f.name) != f.default]
+        if self.templates:
+            other.append(f"templates={md5(repr(self.templates).encode()).hexdigest()[:8]}")
         if self.baseline:
             return " ".join(["baseline", *other])
         parts = [self.rag, "reasoning" if self.reasoning else "plain"]
@@ -52,12 +58,12 @@ class RunConfig:
 
     @property
     def retrieval(self) -> retrieval.RetrievalOptions:
-        return retrieval.RetrievalOptions(self.k, self.overfetch, self.boost)
+        return retrieval.RetrievalOptions(self.k, self.overfetch, self.boost, self.match, self.digits)
 
     @property
     def answering(self) -> answering.AnswerOptions:
         return answering.AnswerOptions(
-            self.reasoning, self.rerank, self.max_feedback, self.spell_braces, self.strip_echo
+            self.reasoning, self.rerank, self.max_feedback, self.spell_braces, self.strip_echo, self.templates
         )
 
 
@@ -140,14 +146,14 @@ def all_predictions(
     written: dict[tuple, DataFrame] = {}
     tables = []
     for config in configs:
-        context, at = None, StageStore(f"{store.location}/{config.folder}") if store else None
+        context, at = None, StageStore(f"{store.location}/{config.folder}", store.progress) if store else None
         if not config.baseline:
             way = (config.rag, config.retrieval, config.pad_zero, config.spell_braces)
             if way not in written:
                 written[way] = storage.save(contexts(config, eval_set, knowledge), "contexts")
             context = written[way]
         table = predictions(config, eval_set, generator, context, at)
-        tables.append(table if judge is None else evaluation.judged(table, judge, at))
+        tables.append(table if judge is None else evaluation.judged(table, judge, at, config.templates))
     return reduce(DataFrame.unionByName, tables)
 
 

@@ -162,3 +162,16 @@ def test_configurations():
 def test_single_query(spark):
     one = spark.createDataFrame([(0, "how", "")], "qid long, question string, context string")
     assert answering.answer(one, ExpressionGenerator(shorten)).first().refined.startswith("refined")
+
+
+def test_templates_of_ones_own(spark):
+    asked = spark.createDataFrame([(1, "q", "c")], "qid long, question string, context string")
+    echo = ExpressionGenerator(lambda stage, variant, prompt: prompt)
+    own = (("draft", "D {question}"), ("refined", "R {draft} {{}} {feedback}"))
+    made = answering.answer(asked, echo, answering.AnswerOptions(templates=own)).first()
+    assert made.draft == "D q" and made.refined == f"R D q {{}} {made.feedback}"
+    with pytest.raises(ValueError):
+        answering.answer(asked, echo, answering.AnswerOptions(templates=(("draft", "{feedback}"),)))
+    plain, other = experiment.RunConfig(), experiment.RunConfig(templates=own, match="tag", digits=4)
+    assert plain.label != other.label and other.retrieval.match == "tag" and other.retrieval.digits == 4
+    assert other.answering.templates == own

@@ -7,9 +7,10 @@ from pyspark.sql import functions as F
 
 from answerloom import storage
 from answerloom.functions import text
-from answerloom.operators import dense, metrics, prompts
+from answerloom.operators import dense, keyword, metrics, prompts
 from answerloom.operators.generation import BatchGenerator, ExpressionGenerator, ReplayGenerator, StageStore
 from answerloom.plans import answering, evaluation, experiment, retrieval
+from answerloom.progress import Progress
 from workload import fixtures
 from workload import retrieval_queries as R
 from workload import sqltext as S
@@ -244,6 +245,44 @@ def judge_digests(spark, sf_dir):
     return made.select("qid", F.round("judge_score", 6).alias("judge_score"), "in_range")
 
 
+@query(
+    "progress_counts",
+    f"""WITH {S.PAIRS}, n AS (SELECT count(*) AS n, count(*) FILTER (qid % 2 = 0) AS half FROM pairs),
+judged AS (SELECT count(*) AS n FROM pairs WHERE md5({S.filled('judge', prediction=S.strip('md5(question)'), truth='answer')}) < 'e'),
+postings AS (SELECT sum(len(list_distinct({S.word_tokens('text')})))::BIGINT AS n FROM documents)
+SELECT 'index' AS step, 'rows' AS measure, count(*) AS value FROM documents UNION ALL SELECT 'index', 'postings', n FROM postings
+UNION ALL SELECT 'baseline', 'rows', half FROM n UNION ALL SELECT 'baseline', 'empty', 0
+UNION ALL SELECT 'baseline 2', 'rows', n - half FROM n UNION ALL SELECT 'baseline 2', 'empty', 0
+UNION ALL SELECT 'evaluate', 'rows', n FROM n UNION ALL SELECT 'evaluate', 'judged', n FROM judged""",
+)
+def progress_counts(spark, sf_dir):
+    """What an index build, a batched generation that is resumed, and an evaluation count as they run."""
+    progress, asked = Progress(), storage.save(eval_set(spark, sf_dir), "eval-set")
+    keyword.build(R.document_texts(spark, sf_dir), progress=progress)
+    generator, store = BatchGenerator(load_digest, batch_size=16), StageStore(storage.new_location(spark, "stages"), progress)
+    answering.baseline(asked.filter("qid % 2 = 0"), generator, store)
+    made = answering.baseline(asked, generator, store)
+    pairs = made.select("qid", F.col("refined").alias("prediction"), F.col("answer").alias("truth"))
+    evaluation.evaluate(pairs, ExpressionGenerator(boxed_digit), stem=False, progress=progress).collect()
+    return progress.table(spark)
+
+
+OWN_JUDGE = (("judge", "Same meaning? {truth} / {prediction}\nEnd with \\boxed{{number}}."),)
+
+
+@query(
+    "judge_own_prompt",
+    f"""WITH {S.PAIRS}, made AS (
+  SELECT qid, md5('Same meaning? ' || answer || ' / ' || question || chr(10) || 'End with \\boxed{{number}}.') AS d FROM pairs),
+scores AS (SELECT qid, CASE WHEN d < 'e' THEN CAST((CASE WHEN d < '4' THEN '1' ELSE '0' END) || '.' || CAST(ascii(d) AS VARCHAR) AS DOUBLE) END AS s FROM made)
+SELECT qid, round(s, 6) AS judge_score, s BETWEEN 0 AND 1 AS in_range FROM scores""",
+)
+def judge_own_prompt(spark, sf_dir):
+    """The same with a prompt of one's own."""
+    made = evaluation.judged(fixtures.scored_pairs(spark, sf_dir), ExpressionGenerator(boxed_digit), templates=OWN_JUDGE)
+    return made.select("qid", F.round("judge_score", 6).alias("judge_score"), "in_range")
+
+
 def knowledge(spark, sf_dir) -> experiment.Knowledge:
     corpus = fixtures.corpus(spark, sf_dir)
     vectors = dense.build(retrieval.corpus_texts(corpus), R.hash_encoded)
