@@ -95,7 +95,8 @@ def fit(rows: DataFrame, text: str = "text", label: str = "lang", order: str = "
     )
     sizes = rows.filter(F.col(label).isNotNull() & (F.length(text) > 0)).groupBy(F.col(label).alias("label")).agg(F.count("*").alias("n"))
     share = F.pmod("draw", F.lit(1 << 30)) / float(1 << 30) < 4 * FIT_ROWS / F.col("n")
-    drawn = usable.join(sizes, "label").filter(share)
+    # one row for each language; with it at hand a text that is not drawn is not moved
+    drawn = usable.join(F.broadcast(sizes), "label").filter(share)
     first = Window.partitionBy("label").orderBy("draw", "text")
     best = drawn.withColumn("place", F.row_number().over(first)).filter(F.col("place") <= FIT_ROWS)
     earlier = F.coalesce(F.sum(F.length("text")).over(first.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))
