@@ -83,7 +83,8 @@ def _reranked(hits: DataFrame, queries: DataFrame, corpus: DataFrame, options: R
     tagged = ranking.with_attributes(hits, corpus.select("doc_id", "tags"), n_hits, options.broadcast_hits).join(words, "qid")
     best = ranking.boosted(tagged, options.k, options.boost, options.match)
     best = storage.save(best.select("qid", "rank", "doc_id", "tags", "score", "boosted", "raw_rank"), "best-hits")
-    texts = corpus.select("doc_id", "title", "body", "answer")
+    body = F.col("body") if "body" in corpus.columns else F.lit(None).cast("string").alias("body")
+    texts = corpus.select("doc_id", "title", body, "answer")
     return ranking.with_attributes(best, texts, n_hits, options.broadcast_hits).select(
         "qid", "rank", "doc_id", "title", "body", "tags", "answer", "score", "boosted", "raw_rank"
     )
