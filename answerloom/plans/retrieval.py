@@ -1,6 +1,6 @@
 """Retrieval of question/answer pairs for a table of queries.
 
-A corpus has (doc_id, title, body, tags, answer); queries have (qid, text).
+A corpus has (doc_id, title, body, tags, answer), where hits need no body; queries have (qid, text).
 """
 
 from __future__ import annotations
