@@ -98,6 +98,14 @@ def scored_here(queries, index, depth, floor=None, parts=None):
     return {(r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist()}, scored, asked
 
 
+def scored_block(block, index, depth, floor):
+    """Hits of a block of queries with these floors."""
+    best = blocks.BestPerQuery(len(block.qids), depth, 6, floor)
+    keyword.Postings(index.documents.select("doc_id", "terms", "weights").toArrow().combine_chunks().to_batches()[0], block).search(best)
+    (found,) = best.batches(block.qids)
+    return {(r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist()}
+
+
 @pytest.mark.parametrize("parts", [None, 40, 1])
 def test_small_blocks_of_documents_give_the_same(queries, index, parts):
     assert scored_here(queries, index, 10, parts=parts)[0] == {e[:3] for e in brute_force(10)}
@@ -124,6 +132,43 @@ def test_documents_below_the_floor_are_not_scored(spark, monkeypatch):
     assert {h[:3] for h in hits_of(keyword.nearest(asked, built, 5))} == whole
 
 
+@pytest.mark.parametrize("share", [0.3, 0.8, 1.0])
+def test_only_the_best_of_a_block_are_handed_on(spark, monkeypatch, share):
+    """Whatever the floor; ties at the end of a list come along."""
+    built = keyword.build(spark.createDataFrame([(i, random_text(3, 20)) for i in range(900)], "doc_id long, text string"))
+    asked = spark.createDataFrame([(i, random_text(2, 9)) for i in range(40)], "qid long, text string")
+    whole, _, block = scored_here(asked, built, 5)
+    floors = np.array([share * min(s for q, _, s in whole if q == qid) for qid in block.qids.tolist()])
+    handed = []
+    monkeypatch.setattr(blocks.BestPerQuery, "add_pairs", lambda self, q, s, d, add=blocks.BestPerQuery.add_pairs: handed.append((q, s)) or add(self, q, s, d))
+    assert scored_block(block, built, 5, floors) == scored_block(block, built, 5, None) == whole
+    for query, score in handed:
+        for q in np.unique(query):
+            own = np.sort(score[query == q])[::-1]
+            assert (own[5:] >= own[4] - 2e-6).all()
+
+
+def test_small_batches_are_searched_together(queries, index, monkeypatch):
+    whole = index.documents.select("doc_id", "terms", "weights").toArrow().combine_chunks()
+    n, sizes = sum(map(len, whole["terms"].to_pylist())), []
+    monkeypatch.setattr(keyword, "POSTINGS", n // 3)
+    for part in keyword._blocks(iter(whole.to_batches(max_chunksize=4))):
+        sizes.append((part.num_rows, sum(map(len, part["terms"].to_pylist()))))
+    assert len(sizes) <= 5 and sum(rows for rows, _ in sizes) == whole.num_rows and max(size for _, size in sizes) <= n // 3
+    shared = type("Shared", (), {"value": (scored_here(queries, index, 10)[2], None)})
+    (found,) = keyword._scorer(shared, 10, 6)(iter(whole.to_batches(max_chunksize=4)))
+    assert {(r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist()} == {e[:3] for e in brute_force(10)}
+
+
+@pytest.mark.parametrize("share", [0.0, 0.05, 2.0])
+def test_terms_as_matrix_or_postings_give_the_same(queries, index, monkeypatch, share):
+    monkeypatch.setattr(keyword, "DENSE_SHARE", share)
+    whole, _, block = scored_here(queries, index, 10)
+    floors = np.array([min((s for q, _, s in whole if q == qid), default=0.0) for qid in block.qids.tolist()])
+    floors[0] = -np.inf
+    assert scored_block(block, index, 10, floors) == whole == {e[:3] for e in brute_force(10)}
+
+
 def test_rows_sent_do_not_grow_with_tasks(spark, monkeypatch):
     rows = [(i, random_text(5, 30)) for i in range(4000)]
     built = keyword.build(spark.createDataFrame(rows, "doc_id long, text string"))
