@@ -161,6 +161,16 @@ def test_small_batches_are_searched_together(queries, index, monkeypatch):
     assert {(r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist()} == {e[:3] for e in brute_force(10)}
 
 
+@pytest.mark.parametrize("share", [0.0, 2.0])
+def test_terms_that_a_query_has_twice_count_twice(queries, index, monkeypatch, share):
+    monkeypatch.setattr(keyword, "DENSE_SHARE", share)
+    twice = queries.filter("qid < 8").unionByName(queries.filter("qid < 4"))
+    whole, _, block = scored_here(twice, index, 10)
+    assert any(len(set(own)) < len(own) for own in np.split(block.codes, block.starts[1:-1]))
+    floors = np.array([min(s for q, _, s in whole if q == qid) for qid in block.qids.tolist()])
+    assert scored_block(block, index, 10, floors) == whole
+
+
 @pytest.mark.parametrize("share", [0.0, 0.05, 2.0])
 def test_terms_as_matrix_or_postings_give_the_same(queries, index, monkeypatch, share):
     monkeypatch.setattr(keyword, "DENSE_SHARE", share)
