@@ -17,10 +17,12 @@ from answerloom.operators.sampling import stratified_sample
 TASK_BYTES, TASK_FILES = 64 << 20, 5_000
 #: Bytes of contents in one batch of rows.
 BATCH_BYTES = 16 << 20
+#: Tasks that list files, for each core. Spark makes one for every few files, as if these were large.
+LISTING_TASKS = 4
 
 
 def list_files(spark: SparkSession, root: str, leaf_only: bool = True) -> DataFrame:
-    """(path, folder, length) of the JSON files below ``root``. File contents are not read.
+    """(path, folder, length) of the JSON files below ``root``. File contents are not read, and the list is written once.
 
     With ``leaf_only`` a folder counts only if no folder with JSON files lies
     below it. Folders without any are not seen.
@@ -31,6 +33,7 @@ def list_files(spark: SparkSession, root: str, leaf_only: bool = True) -> DataFr
         .load(root)
         .select("path", F.regexp_extract("path", "^(.*)/", 1).alias("folder"), "length")
     )
+    files = storage.save(files.coalesce(LISTING_TASKS * spark.sparkContext.defaultParallelism), "issue-list")
     if not leaf_only:
         return files
     steps = F.split("folder", "/")

@@ -75,6 +75,15 @@ def test_progress_counts_files(spark, issue_tree):
     assert seen.get == {"files": 4, "skipped": 1}
 
 
+def test_files_are_listed_by_few_tasks_once(spark, tmp_path, monkeypatch):
+    for n in range(40):
+        (tmp_path / f"{n}.json").write_text("{}")
+    monkeypatch.setattr(issues, "LISTING_TASKS", 1)
+    files, cores = issues.list_files(spark, str(tmp_path)), spark.sparkContext.defaultParallelism
+    (tmp_path / "late.json").write_text("{}")
+    assert files.count() == 40 and "binaryFile" not in physical_plan(files) and len(files.inputFiles()) <= 2 * cores
+
+
 def test_listing_reads_no_contents(spark, issue_tree):
     assert "content#" not in physical_plan(issues.list_files(spark, str(issue_tree)))
 

@@ -149,12 +149,16 @@ def issue_pairs(spark, sf_dir):
     return answers.issue_pairs(fixtures.issues(spark, sf_dir))
 
 
+# A file for each row; tasks put their own files in place, where the driver would move all of them one by one.
+FILES = {"maxRecordsPerFile": 1, "mapreduce.fileoutputcommitter.algorithm.version": 2}
+
+
 @query("issue_tree", ISSUE_PAIRS_SQL)
 def issue_tree(spark, sf_dir):
     """Write every issue as a JSON file of its own, then build the pairs from the tree."""
     root = storage.new_location(spark, "issue-tree")
     issues = fixtures.issues(spark, sf_dir).withColumn("repo", F.pmod("qid", F.lit(10)))
-    issues.drop("qid").write.option("maxRecordsPerFile", 1).partitionBy("repo").json(root)
+    issues.drop("qid").write.options(**FILES).partitionBy("repo").json(root)
     return datasets.qa_from_issues(spark, root, ratio=1.0)
 
 
@@ -177,7 +181,7 @@ def issue_tree_sample(spark, sf_dir):
         for below in (False, True):
             names = ("repo", "sub") if below else ("repo",)
             part = rows.filter(F.col("below") == below).withColumn("sub", F.lit(1)) if below else rows.filter("not below")
-            part.drop("below").write.mode("append").option("maxRecordsPerFile", 1).partitionBy(*names).json(root)
+            part.drop("below").write.mode("append").options(**FILES).partitionBy(*names).json(root)
     listed = issues.list_files(spark, root)
     repo = F.regexp_extract("path", "repo=([0-9]+)", 1).cast("int").alias("repo")
     parsed = issues.read_issues(listed).groupBy(repo).agg(F.count("*").alias("listed"), F.count_if("malformed").alias("malformed"))
