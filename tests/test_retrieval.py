@@ -180,6 +180,36 @@ def test_terms_as_matrix_or_postings_give_the_same(queries, index, monkeypatch,
     assert scored_block(block, index, 10, floors) == whole == {e[:3] for e in brute_force(10)}
 
 
+@pytest.mark.parametrize("floored", [False, True])
+def test_queries_are_scored_together(queries, index, monkeypatch, floored):
+    """What a step costs besides its pairs does not come for each query."""
+    whole, _, block = scored_here(queries, index, 3)
+    floors = np.array([min((s for q, _, s in whole if q == qid), default=0.0) for qid in block.qids.tolist()]) if floored else None
+    calls, added = [], keyword.Postings._added
+    monkeypatch.setattr(keyword.Postings, "_added", lambda *args: calls.append(1) or added(*args))
+    assert scored_block(block, index, 3, floors) == whole and len(calls) <= 2 < len(block.qids)
+
+
+@pytest.mark.parametrize("cells", [1, 300])
+def test_small_steps_give_the_same(queries, index, monkeypatch, cells):
+    monkeypatch.setattr(keyword, "CELLS", cells)
+    monkeypatch.setattr(keyword, "DENSE_CELLS", 200)
+    monkeypatch.setattr(keyword, "NEAR", 0)
+    whole, _, block = scored_here(queries, index, 10)
+    floors = np.array([min((s for q, _, s in whole if q == qid), default=0.0) for qid in block.qids.tolist()])
+    assert scored_block(block, index, 10, floors) == whole == {e[:3] for e in brute_force(10)}
+
+
+def test_words_of_documents_are_not_held(queries, index, monkeypatch):
+    """A block has numbers of the terms that queries have, and no others."""
+    asked, parts, cut = scored_here(queries, index, 10)[2], [], keyword._blocks
+    monkeypatch.setattr(keyword, "_blocks", lambda batches: (parts.append(b) or b for b in cut(batches)))
+    shared = type("Shared", (), {"value": (asked, None)})
+    (found,) = keyword._scorer(shared, 10, 6)(iter(index.documents.select("doc_id", "terms", "weights").toArrow().to_batches()))
+    assert {(r["qid"], r["doc_id"], r["score"]) for r in found.to_pylist()} == {e[:3] for e in brute_force(10)}
+    assert all(pa.types.is_integer(b["terms"].type.value_type) and b["terms"].null_count == 0 for b in parts)
+
+
 def test_rows_sent_do_not_grow_with_tasks(spark, monkeypatch):
     rows = [(i, random_text(5, 30)) for i in range(4000)]
     built = keyword.build(spark.createDataFrame(rows, "doc_id long, text string"))
