@@ -6,10 +6,16 @@ import re
 from collections.abc import Iterator, Sequence
 from functools import lru_cache
 
+import numpy as np
 import pandas as pd
+import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Rows whose tokens are stemmed together, and stems that a worker keeps.
+STEMMED_ROWS, STEMS = 1 << 11, 1 << 16
+
 
 def lcs_length(a: Sequence, b: Sequence) -> int:
     """Length of the longest common subsequence.
@@ -41,10 +47,26 @@ def lcs_length(a: Sequence, b: Sequence) -> int:
     return shared + width - unmatched.bit_count()
 
 
-@F.pandas_udf(T.LongType())
-def lcs_of_arrays(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.Series]:
+def _sizes(lists: pa.Array) -> np.ndarray:
+    return pc.fill_null(pc.list_value_length(lists), 0).to_numpy(zero_copy_only=False)
+
+
+@F.arrow_udf(T.LongType())
+def lcs_of_arrays(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
     for left, right in batches:
-        yield pd.Series([lcs_length(list(a), list(b)) for a, b in zip(left, right)], dtype="int64")
+        yield _lcs_lengths(left, right)
+
+
+def _lcs_lengths(*sides: pa.Array) -> pa.Array:
+    """Items are compared by their numbers in the batch; those of one row at a time become Python objects."""
+    flat = [side.flatten() for side in sides]
+    codes = pa.concat_arrays(flat).dictionary_encode(null_encoding="encode").indices.to_numpy()
+    left, right = codes[: len(flat[0])], codes[len(flat[0]) :]
+    lengths, low_a, low_b = [], 0, 0
+    for high_a, high_b in zip(*(np.cumsum(_sizes(side)).tolist() for side in sides)):
+        lengths.append(lcs_length(left[low_a:high_a].tolist(), right[low_b:high_b].tolist()))
+        low_a, low_b = high_a, high_b
+    return pa.array(lengths, pa.int64())
 
 
 @F.pandas_udf(T.LongType())
@@ -53,11 +75,29 @@ def lcs_of_texts(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.
         yield pd.Series([lcs_length(a, b) for a, b in zip(left, right)], dtype="int64")
 
 
-@F.pandas_udf(T.ArrayType(T.StringType()))
-def stemmed(batches: Iterator[pd.Series]) -> Iterator[pd.Series]:
-    """Stem the tokens longer than three characters."""
-    for tokens in batches:
-        yield pd.Series([[stem(t) if len(t) > 3 else t for t in row] for row in tokens])
+@F.arrow_udf(T.ArrayType(T.StringType()))
+def stemmed(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+    """Stem the tokens longer than three characters. Only the distinct ones of some rows at a time become Python objects."""
+    for batch in batches:
+        yield pa.concat_arrays([_stemmed(batch.slice(low, STEMMED_ROWS)) for low in range(0, max(1, len(batch)), STEMMED_ROWS)])
+
+
+@F.arrow_udf(T.StructType([T.StructField("left", T.ArrayType(T.StringType())), T.StructField("right", T.ArrayType(T.StringType())), T.StructField("common", T.LongType())]))
+def stemmed_sides(batches: Iterator[tuple[pa.Array, pa.Array]]) -> Iterator[pa.Array]:
+    """Both arrays stemmed, and the length of their longest common subsequence: all in one worker of a task."""
+    for sides in batches:
+        made = []
+        for low in range(0, max(1, len(sides[0])), STEMMED_ROWS):
+            both = [_stemmed(side.slice(low, STEMMED_ROWS)) for side in sides]
+            made.append(pa.StructArray.from_arrays([*both, _lcs_lengths(*both)], ["left", "right", "common"]))
+        yield pa.concat_arrays(made)
+
+
+def _stemmed(lists: pa.Array) -> pa.Array:
+    tokens = lists.flatten().dictionary_encode()
+    stems = pa.array([stem(t) if len(t) > 3 else t for t in tokens.dictionary.to_pylist()], pa.string())
+    offsets = pa.array(np.concatenate([[0], np.cumsum(_sizes(lists))]), pa.int32())
+    return pa.ListArray.from_arrays(offsets, stems.take(tokens.indices), mask=lists.is_null())
 
 
 # The suffix tables of the published Porter algorithm, with the
@@ -110,7 +150,7 @@ def _longest(word: str, suffixes) -> str | None:
     return max((s for s in suffixes if word.endswith(s)), key=len, default=None)
 
 
-@lru_cache(maxsize=1 << 18)
+@lru_cache(maxsize=STEMS)
 def stem(word: str) -> str:
     """Porter stem of a lower-case word."""
     if word in IRREGULAR:

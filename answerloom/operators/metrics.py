@@ -13,7 +13,7 @@ from pyspark.sql import functions as F
 
 from answerloom.functions import multisets, text
 from answerloom.functions.binding import let
-from answerloom.functions.similarity import lcs_of_arrays, lcs_of_texts, stemmed
+from answerloom.functions.similarity import lcs_of_arrays, lcs_of_texts, stemmed, stemmed_sides
 
 METRICS = ("bleu", "rouge1", "rougel", "edit_similarity")
 BLEU_ORDER = 4
@@ -111,17 +111,21 @@ def with_rouge(
     stem: bool = True,
 ) -> DataFrame:
     """F-measure of common words (ROUGE-1) and of the longest common subsequence (ROUGE-L)."""
-    sides = []
-    for side, column in (("p", pred), ("t", truth)):
-        tokens = text.ascii_tokens(text.text_or_blank(F.col(column)))
-        df = df.withColumn(f"__rouge_{side}", stemmed(tokens) if stem else tokens)
-        sides.append(F.col(f"__rouge_{side}"))
+    sides = [text.ascii_tokens(text.text_or_blank(F.col(column))) for column in (pred, truth)]
+    if stem and rougel_out:
+        df = df.withColumn("__rouge", stemmed_sides(*sides))
+        sides, common = [F.col("__rouge.left"), F.col("__rouge.right")], F.col("__rouge.common")
+    else:
+        for name, side in zip(("__rouge_p", "__rouge_t"), sides):
+            df = df.withColumn(name, stemmed(side) if stem else side)
+        sides = [F.col("__rouge_p"), F.col("__rouge_t")]
+        common = lcs_of_arrays(*sides)
     if rougel_out:
-        df = df.withColumn("__rouge_lcs", lcs_of_arrays(*sides))
+        df = df.withColumn("__rouge_lcs", common)
         df = df.withColumn(rougel_out, _f_measure(F.col("__rouge_lcs"), *map(F.size, sides))).drop("__rouge_lcs")
     if rouge1_out:
         df = df.withColumn(rouge1_out, rouge1(*sides))
-    return df.drop("__rouge_p", "__rouge_t")
+    return df.drop("__rouge", "__rouge_p", "__rouge_t")
 
 
 def with_edit_similarity(df: DataFrame, pred: str, truth: str, out: str = "edit_similarity") -> DataFrame:

@@ -1,8 +1,10 @@
+import pyarrow as pa
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
 from pyspark.sql import functions as F
 
+from answerloom.functions import similarity
 from answerloom.functions.similarity import lcs_length, stem
 from answerloom.operators import metrics
 from answerloom.plans import evaluation
@@ -125,3 +127,25 @@ def test_paired(spark):
 def test_evaluate_strips_predictions(spark):
     row = evaluation.evaluate(pairs(spark, [(1, "  a b c d\n", "a b c d")])).first()
     assert row.edit_similarity == 1.0
+
+
+def test_stems_and_subsequences_need_one_worker_of_a_task(spark):
+    pairs = spark.createDataFrame([(1, "Running dogs ran", "the dog is running"), (2, None, "x"), (3, "a b", "a b")], "qid long, p string, t string")
+    scored = metrics.with_rouge(pairs, "p", "t")
+    plan = scored._jdf.queryExecution().optimizedPlan().toString()
+    assert plan.count("ArrowEvalPython") == 1
+    apart = metrics.with_rouge(pairs, "p", "t", rougel_out=None)
+    assert [(r.rouge1) for r in scored.orderBy("qid").collect()] == [r.rouge1 for r in apart.orderBy("qid").collect()]
+    assert [round(r.rougel, 6) for r in scored.orderBy("qid").collect()] == [round(2 / 7, 6), 0.0, 1.0]
+
+
+@pytest.mark.parametrize("rows", [1, 2])
+def test_stems_of_some_rows_at_a_time(monkeypatch, rows):
+    monkeypatch.setattr(similarity, "STEMMED_ROWS", rows)
+    left = pa.array([["running", "dogs", "the"], [], ["flies"]])
+    right = pa.array([["dog", "runs"], ["x"], ["fly", "flies"]])
+    (made,) = similarity.stemmed_sides.func(iter([(left, right)]))
+    assert made.field("left").to_pylist() == [["run", "dog", "the"], [], ["fli"]]
+    assert made.field("common").to_pylist() == [1, 0, 1]
+    (alone,) = similarity.stemmed.func(iter([right]))
+    assert alone.to_pylist() == made.field("right").to_pylist() == [["dog", "run"], ["x"], ["fly", "fli"]]
