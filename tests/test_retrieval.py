@@ -210,6 +210,21 @@ def test_words_of_documents_are_not_held(queries, index, monkeypatch):
     assert all(pa.types.is_integer(b["terms"].type.value_type) and b["terms"].null_count == 0 for b in parts)
 
 
+def test_weights_of_some_postings_at_a_time(spark, index, monkeypatch):
+    """Pieces of a batch, and a dictionary in parts, give the same weights."""
+    monkeypatch.setattr(keyword, "WEIGHED", 5)
+    monkeypatch.setattr(keyword, "DICTIONARY_TERMS", 7)
+    counts = index.documents.select("doc_id", F.transform("terms", lambda t: F.struct(t.alias("term"), F.lit(2).alias("n"))).alias("counts"))
+    again = keyword.unit_rows(counts.coalesce(1), "doc_id", index.terms)
+    idf = {r.term: r.idf for r in index.terms.collect()}
+    rows = again.collect()
+    assert len(rows) == index.documents.count()
+    for r in rows:
+        raw = [2 * idf[t] for t in r.terms]
+        length = math.sqrt(sum(w * w for w in raw))
+        assert r.length == pytest.approx(length) and r.weights == pytest.approx([w / length for w in raw])
+
+
 def test_rows_sent_do_not_grow_with_tasks(spark, monkeypatch):
     rows = [(i, random_text(5, 30)) for i in range(4000)]
     built = keyword.build(spark.createDataFrame(rows, "doc_id long, text string"))
