@@ -257,6 +257,30 @@ def test_many_queries_are_cut_into_blocks(queries, index, monkeypatch):
     assert hits_of(keyword.nearest(queries, index, 10)) == sorted(brute_force(10))
 
 
+def test_the_index_is_read_once_for_very_many_queries(spark, index, monkeypatch):
+    asked, n = spark.range(60_000).select(F.col("id").alias("qid"), F.concat(F.lit("w3 w1"), (F.col("id") % 4).cast("string")).alias("text")), []
+    monkeypatch.setattr(blocks, "scored_in_blocks", lambda parts, *rest, own=blocks.scored_in_blocks: n.append(len(parts)) or own(parts, *rest))
+    found = storage.save(keyword.nearest(asked, index, 2), "found")
+    assert n == [1]
+    few = hits_of(keyword.nearest(asked.filter("qid < 4"), index, 2))
+    assert few and hits_of(found.filter("qid < 4")) == few
+    same = found.groupBy(F.col("qid") % 4, "doc_id", "score", "raw_rank").count()
+    assert same.count() == len(few) and {r[0] for r in same.select("count").distinct().collect()} == {15_000}
+
+
+def test_products_are_made_for_some_queries_at_a_time(queries, index, monkeypatch):
+    """Never more than about ``PRODUCTS`` of them, whatever the number of queries; steps within give the same."""
+    monkeypatch.setattr(keyword, "DENSE_SHARE", 0.0)
+    monkeypatch.setattr(keyword, "PRODUCTS", 4 * len(DOCS))
+    monkeypatch.setattr(keyword, "CELLS", 3 * len(DOCS))
+    made, product = [], keyword.Postings._multiplied
+    monkeypatch.setattr(keyword.Postings, "_multiplied", lambda *args: made.append(product(*args)) or made[-1])
+    whole, _, block = scored_here(queries, index, 10)
+    floors = np.array([min((s for q, _, s in whole if q == qid), default=0.0) for qid in block.qids.tolist()])
+    assert scored_block(block, index, 10, floors) == whole == {e[:3] for e in brute_force(10)}
+    assert len(made) > 3 and max(m.size for m in made) <= 4 * len(DOCS)
+
+
 def weights_of(ix):
     rows = ix.documents.select("doc_id", F.explode(F.arrays_zip("terms", "weights")).alias("w")).collect()
     return {(r.doc_id, r.w.terms): round(r.w.weights, 9) for r in rows}
