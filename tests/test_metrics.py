@@ -1,3 +1,5 @@
+from collections import Counter
+
 import pyarrow as pa
 import pytest
 from hypothesis import given, settings
@@ -149,3 +151,29 @@ def test_stems_of_some_rows_at_a_time(monkeypatch, rows):
     assert made.field("common").to_pylist() == [1, 0, 1]
     (alone,) = similarity.stemmed.func(iter([right]))
     assert alone.to_pylist() == made.field("right").to_pylist() == [["dog", "run"], ["x"], ["fly", "fli"]]
+
+
+def plain_runs(left, right, order):
+    def runs(tokens, n):
+        return Counter(tuple(tokens[i : i + n]) for i in range(len(tokens) - n + 1))
+
+    return [(runs(left or [], n) & runs(right or [], n)).total() for n in range(1, order + 1)]
+
+
+@settings(max_examples=60, deadline=None)
+@given(st.lists(st.tuples(*[st.none() | st.lists(st.sampled_from("abc"), max_size=9)] * 2), max_size=8), st.sampled_from([1, 7, 1 << 18]))
+def test_shared_runs_equal_plain_counts(rows, together):
+    sides = [pa.array([row[i] for row in rows], pa.list_(pa.string())) for i in range(2)]
+    held, similarity.COUNTED = similarity.COUNTED, together
+    try:
+        (found,) = similarity.shared_runs(4).func(iter([sides]))
+    finally:
+        similarity.COUNTED = held
+    assert found.field("shared").to_pylist() == [plain_runs(*row, 4) for row in rows]
+    assert [found.field(side).to_pylist() for side in ("left", "right")] == [[len(row[i] or []) for row in rows] for i in range(2)]
+
+
+def test_runs_of_tokens_are_not_made_in_array_functions(spark):
+    """They were strings, four for each token, in an array of the row that was sorted one call of a function after another."""
+    plan = metrics.with_bleu(pairs(spark, [(1, "a", "b")]), "prediction", "truth")._jdf.queryExecution().optimizedPlan().toString()
+    assert "sort_array" not in plan and plan.count("ArrowEvalPython") == 1
