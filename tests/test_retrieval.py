@@ -298,6 +298,22 @@ def test_digests_of_terms_never_clash(spark, index, monkeypatch):
     assert keyword.dictionary(index.terms)[2] == 1
 
 
+def test_terms_are_counted_some_tokens_at_a_time(spark, monkeypatch):
+    """Rows without text or words, repeats and order: counted in batches of numbers, and each term is a row once for some documents."""
+    monkeypatch.setattr(keyword, "COUNTED", 4)
+    rows = [(1, "bb aa bb éé 東京 zz aa aa"), (2, None), (3, ""), (4, "the the"), (5, "aa the cc"), (6, "x"), (7, "\U00010400\U00010400 ﬀﬀ ＡＡ zz")]
+    texts = spark.createDataFrame(rows, "doc_id long, text string").coalesce(1)
+    counted = keyword.term_counts(texts, "doc_id", "text", ("the",))
+    found = {r.doc_id: [tuple(c) for c in r.counts] for r in counted.collect()}
+    last = [("zz", 1), ("ﬀﬀ", 1), ("ａａ", 1), ("\U00010428\U00010428", 1)]
+    assert found == {1: [("aa", 3), ("bb", 2), ("zz", 1), ("éé", 1), ("東京", 1)], 2: [], 3: [], 4: [], 5: [("aa", 1), ("cc", 1)], 6: [], 7: last}
+    assert "sort_array" not in physical_plan(counted)
+    frequency = keyword.term_frequency(counted)
+    expected = {t: sum(t == c[0] for r in found.values() for c in r) for r in found.values() for t, _ in r}
+    assert {r.term: r.df for r in frequency.collect()} == expected
+    assert "Generate" not in physical_plan(frequency)
+
+
 def test_weights_are_made_without_moving_postings(docs, index):
     counted = keyword.term_counts(docs, "doc_id", "text", ENGLISH_STOP_WORDS)
     plan = physical_plan(keyword.unit_rows(counted, "doc_id", index.terms))
