@@ -12,6 +12,7 @@ import pytest
 import __spark_entry__ as entry
 from answerloom.functions.similarity import stem
 from answerloom.operators import metrics
+from tests.plans import physical_plan
 from workload import answer_queries, fixtures
 
 SF_DIR = Path("/root/testdata/sf0.001")
@@ -87,5 +88,12 @@ def test_experiment_run_equals_plain_means(spark):
         assert row.n == row.judge_n == len(scores)
 
 
+def test_contexts_are_written_beside_their_questions(spark):
+    """What the chains read needs no join, so contexts are not moved once more."""
+    asked = answer_queries.with_keyword_context(spark, str(SF_DIR))
+    assert asked.columns == ["qid", "question", "answer", "context"] and "Exchange" not in physical_plan(asked)
+    assert asked.count() == fixtures.pairs(spark, str(SF_DIR)).count()
+
+
 def test_entry(spark):
     assert entry.entry(spark).columns == ["qid", "context"]
