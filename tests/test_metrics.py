@@ -177,3 +177,29 @@ def test_runs_of_tokens_are_not_made_in_array_functions(spark):
     """They were strings, four for each token, in an array of the row that was sorted one call of a function after another."""
     plan = metrics.with_bleu(pairs(spark, [(1, "a", "b")]), "prediction", "truth")._jdf.queryExecution().optimizedPlan().toString()
     assert "sort_array" not in plan and plan.count("ArrowEvalPython") == 1
+
+
+def test_alike_pairs_of_a_key_are_scored_once(spark):
+    from tests.plans import physical_plan
+
+    rows = [("a", 1, "x y", "x"), ("b", 1, "x y", "x"), ("b", 1, "x y", "x"), ("a", 2, "x y", "x"), ("a", None, None, "x"), ("b", None, None, "x"), ("c", 1, "y", "x")]
+    df = spark.createDataFrame(rows, "config string, qid long, prediction string, truth string")
+    once, each = metrics.score_alike(df), metrics.score_pairs(df)
+    assert Counter(once.select(*each.columns).collect()) == Counter(each.collect())
+    counted = once.groupBy("config").agg(F.count("*").alias("n"))
+    assert {r.config: r.n for r in counted.collect()} == {"a": 3, "b": 3, "c": 1}
+    plan = physical_plan(once)
+    assert plan.index("EvalPython") < plan.index("ObjectHashAggregate")
+
+
+def test_subsequences_by_the_bits_of_either_side(monkeypatch):
+    pairs = [("abcabba", "cbabac"), ("xay", "b"), ("aaaa", "aa"), ("qabcdq" * 9, "dcbaq" * 4)]
+    expected = [table_lcs(*pair) for pair in pairs]
+    for bits in (0, similarity.BITS):
+        monkeypatch.setattr(similarity, "BITS", bits)
+        assert [lcs_length(a, b) for a, b in pairs] == [lcs_length(list(b), list(a)) for a, b in pairs] == expected
+
+
+@pytest.mark.parametrize("word, expected", [("yyyy", "cvcv"), ("syzygy", "cvcvcv"), ("a9é", "vcc"), ("", "")])
+def test_shape_of_words(word, expected):
+    assert similarity._shape(word) == expected
