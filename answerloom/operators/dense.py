@@ -22,8 +22,11 @@ from answerloom.functions.binding import let
 from answerloom.operators import blocks, ranking
 
 QUERY_NUMBERS_PER_BLOCK = 8_000_000
-#: Queries that a task multiplies with documents at a time, at most, and pairs that it works out in double precision at a time.
-QUERIES_PER_STEP, PAIRS = 1024, 1 << 16
+#: Queries that a task multiplies with documents at a time, at most, documents once floors are known, so that products stay in a core's cache, and pairs that it
+#: works out in double precision at a time.
+QUERIES_PER_STEP, DOCUMENTS_PER_STEP, PAIRS = 512, 512, 1 << 16
+#: Of so many times ``blocks.QUERIES_PER_BLOCK`` queries, the corpus is read once.
+QUERY_BLOCKS = 2
 #: Clusters at most, and vectors that their centres are learned from; every vector is put into a cluster.
 CLUSTERS, LEARNED = 1024, 20_000
 #: Pairs of a query and a cluster whose bounds are worked out together.
@@ -66,15 +69,18 @@ def nearest(
 
     # A job for each small block would send the figures of blocks times tasks to the driver.
     held = max(block_numbers, QUERY_NUMBERS_PER_BLOCK)
-    hits = blocks.scored_in_blocks(blocks.query_blocks(queries, size, held, n_queries), search, "vector-hits")
-    return ranking.top(hits, depth)
+    parts = blocks.query_blocks(queries, size, held, -(-n_queries // QUERY_BLOCKS))
+    if len(parts) == 1:
+        return ranking.top(search(parts[0]), depth)
+    # what all tasks found is merged before it is written; the rows of a query are in one block
+    return ranking.top(blocks.scored_in_blocks(parts, lambda part: ranking.top(search(part), depth).drop("raw_rank"), "vector-hits"), depth)
 
 
 def _scorer(shared, depth: int, digits: int, rows: int):
     def score(batches):
         qids, matrix = shared.value
         best = blocks.BestPerQuery(len(qids), depth, digits)
-        asked = _Single(matrix)
+        asked, space = _Single(matrix), _Space()
         for batch in batches:
             # Here rather than in a filter, which would compute an encoded vector twice.
             batch = batch.filter(pc.is_valid(batch.column("embedding")))
@@ -87,9 +93,10 @@ def _scorer(shared, depth: int, digits: int, rows: int):
             documents = _Single(values.astype(np.float64).reshape(len(doc_ids), -1))
             for low in range(0, len(qids), rows):
                 part = slice(low, low + rows)
-                step = max(1, blocks.CELLS_PER_STEP // rows)
+                # the first floors are better, the more documents they are of
+                step = max(1, blocks.CELLS_PER_STEP // rows) if np.isinf(best.floor[part]).any() else DOCUMENTS_PER_STEP
                 for start in range(0, len(doc_ids), step):
-                    _best_pairs(best, asked, part, documents, slice(start, start + step), doc_ids)
+                    _best_pairs(best, asked, part, documents, slice(start, start + step), doc_ids, space)
         yield from best.batches(qids)
 
     return score
@@ -105,19 +112,34 @@ class _Single:
         self.longest = float(np.linalg.norm(matrix, axis=1).max(initial=0.0)) if self.usable else 0.0
 
 
-def _best_pairs(best: blocks.BestPerQuery, asked: _Single, rows: slice, documents: _Single, columns: slice, doc_ids: np.ndarray) -> None:
+class _Space:
+    """Arrays that are overwritten by the next of their kind: new ones cost more than what is written into them."""
+
+    def __init__(self):
+        self.held: dict = {}
+
+    def array(self, dtype, shape: tuple[int, int]) -> np.ndarray:
+        size = shape[0] * shape[1]
+        if dtype not in self.held or len(self.held[dtype]) < size:
+            self.held[dtype] = np.empty(size, dtype)
+        return self.held[dtype][:size].reshape(shape)
+
+
+def _best_pairs(best: blocks.BestPerQuery, asked: _Single, rows: slice, documents: _Single, columns: slice, doc_ids: np.ndarray, space: _Space) -> None:
     """Offer ``best`` the pairs that may be among the best of a query, found in single precision and worked out in double."""
     usable = asked.usable and documents.usable
     left, right = (asked.single, documents.single) if usable else (asked.exact, documents.exact)
     # more than the products and their sum can be wrong by
     slack = (left.shape[1] + 4) * 2.0**-23 * asked.longest * documents.longest + 10.0**-best.digits
-    near = left[rows] @ right[columns].T
+    left, right = left[rows], right[columns]
+    near = np.matmul(left, right.T, out=space.array(left.dtype, (len(left), len(right))))
     floor = best.floor[rows]
     if near.shape[1] > best.depth and (not usable or np.isinf(floor).any()):
         kth = near.shape[1] - best.depth
         floor = np.maximum(floor, np.partition(near, kth, axis=1)[:, kth].astype(np.float64) - slack)
         best.floor[rows] = floor if usable else best.floor[rows]
-    query, column = np.nonzero(near >= (floor - slack)[:, None].astype(near.dtype))
+    reached = np.greater_equal(near, (floor - slack)[:, None].astype(near.dtype), out=space.array(np.dtype(bool), near.shape))
+    query, column = np.divmod(np.flatnonzero(reached), near.shape[1])
     for at in range(0, len(query), PAIRS):
         q, d = query[at : at + PAIRS] + rows.start, column[at : at + PAIRS] + columns.start
         best.add_pairs(q, np.einsum("ij,ij->i", asked.exact[q], documents.exact[d]), doc_ids[d])

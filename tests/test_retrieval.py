@@ -12,6 +12,7 @@ from answerloom.functions.words import ENGLISH_STOP_WORDS
 from answerloom.operators import blocks, dense, keyword, ranking
 from answerloom.plans import retrieval
 from tests.plans import physical_plan
+from workload import retrieval_queries
 
 RNG = np.random.default_rng(7)
 WORDS = [f"w{i}" for i in range(40)]
@@ -427,6 +428,34 @@ def test_vectors_met_in_single_precision_give_the_same(scale, rows):
     assert {(r["qid"], r["doc_id"]) for r in found.to_pylist()} == want
 
 
+def test_finds_of_all_tasks_are_merged_before_they_are_written(vectors, monkeypatch):
+    asked, written, save = vectors.withColumnRenamed("doc_id", "qid"), [], storage.save
+    whole = hits_of(dense.nearest(asked, vectors.repartition(6), 3))
+    monkeypatch.setattr(storage, "save", lambda df, name, *rest: written.append((name, save(df, name, *rest))) or written[-1][1])
+    monkeypatch.setattr(dense, "QUERY_NUMBERS_PER_BLOCK", 300)
+    assert hits_of(dense.nearest(asked, vectors.repartition(6), 3, block_numbers=100)) == whole
+    sizes = [table.count() for name, table in written if name == "vector-hits"]
+    assert len(sizes) > 1 and sum(sizes) == len(whole)
+
+
+def test_documents_are_encoded_once_for_all_blocks_of_queries(spark, monkeypatch):
+    corpora = []
+    monkeypatch.setattr(dense, "nearest", lambda asked, corpus, *rest, own=dense.nearest: corpora.append(corpus) or own(asked, corpus, *rest))
+    retrieval_queries.semantic_hits(spark, "/root/testdata/sf0.001")
+    assert "md5" not in physical_plan(corpora[0])
+
+
+@pytest.mark.parametrize("step", [1, 7])
+def test_documents_by_small_steps_give_the_same(vectors, monkeypatch, step):
+    held = vectors.toArrow().combine_chunks()
+    matrix = np.array(held["embedding"].to_pylist(), np.float64)
+    shared = type("Shared", (), {"value": (np.arange(40), matrix[:40])})
+    (whole,) = dense._scorer(shared, 5, 6, 64)(iter(held.to_batches()))
+    monkeypatch.setattr(dense, "DOCUMENTS_PER_STEP", step)
+    (found,) = dense._scorer(shared, 5, 6, 11)(iter(held.to_batches(max_chunksize=50)))
+    assert sorted(map(str, found.to_pylist())) == sorted(map(str, whole.to_pylist()))
+
+
 @pytest.fixture(scope="module")
 def grouped(spark):
     """Vectors around 25 centres, with some of other lengths, zeros and copies."""

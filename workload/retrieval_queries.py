@@ -284,9 +284,8 @@ def hash_encode(spark, sf_dir):
 
 def semantic_hits(spark, sf_dir):
     corpus, queries = fixtures.corpus(spark, sf_dir), fixtures.user_queries(spark, sf_dir)
-    return retrieval.vector_hits(
-        queries, corpus, hash_encoded(queries, "qid"), hash_encoded(retrieval.corpus_texts(corpus), "doc_id")
-    )
+    vectors = dense.build(retrieval.corpus_texts(corpus), hash_encoded)
+    return retrieval.vector_hits(queries, corpus, hash_encoded(queries, "qid"), vectors)
 
 
 @query("semantic_topk_boost", f"{SEMANTIC_HITS} {HITS}")
